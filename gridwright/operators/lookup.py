@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.props import overlay_all, sort_by
 from ..functions.text import delimiter_char, words
-from .scale import bounded
+from .scale import bounded, fits
 
 GLOBAL = "GLOBAL"
 ANY = "*"  # namespace of the merged default maps, used for headers that are no namespace themselves
@@ -147,32 +147,54 @@ def phrase_lookup(strings: DataFrame, pv_map: DataFrame, schema: PvSchema, keys:
                          F.transform("_o", lambda p: p["matched"]).alias("matched"))
 
 
-def substring_lookup(strings: DataFrame, pv_map: DataFrame, keys: Sequence[str], value: str = "value",
-                     word_boundary: bool = True, anchor: int = 4) -> DataFrame:
-    """Keys contained in the text, longest first, each one blanking the text it used.
+def _contained_keys(text: DataFrame, table: DataFrame, keys: Sequence[str], word_boundary: bool, few: int, anchor: int) -> DataFrame:
+    """``keys, key``: the map keys that occur in each text.
 
-    No cross join: text positions are matched on a short anchor against the distinct key heads,
-    which tell the key lengths worth cutting there; the cut pieces then meet the keys in an
-    equi-join on the whole key.
+    A map of at most ``few`` keys is tested directly on every text. A larger one is met by
+    equi-joins: every position, with no more text than the longest key, is matched by a short
+    anchor against the distinct key heads, which tell the key lengths worth cutting there; the cut
+    pieces then join the whole keys.
     """
+    boundary = lambda inner: r"(?<!\p{L})" + inner + r"(?!\p{L})"
+    if fits(table.select("key"), few):
+        literal = sorted(r["key"] for r in table.select("key").collect())
+        quoted = lambda k: "\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+        hit = lambda k: (F.col("_v").contains(k) & F.col("_v").rlike(boundary(quoted(k)))) if word_boundary else F.col("_v").contains(k)
+        found = F.array_compact(F.array(*[F.when(hit(k), F.lit(k)) for k in literal]))
+        return text.select(*keys, F.explode(found).alias("key"))
+    longest = table.agg(F.max(F.length("key"))).first()[0]
+    head = F.substr(F.col("key"), F.lit(1), F.least(F.length("key"), F.lit(anchor)))
+    heads = table.select(head.alias("head"), F.length("key").alias("n")).groupBy("head").agg(F.sort_array(F.collect_set("n")).alias("lengths"))
+    at = F.explode(F.transform(F.sequence(F.lit(1), F.length("_v")), lambda s: F.struct(
+        F.substr(F.col("_v"), s, F.lit(longest + 1)).alias("piece"),
+        F.when(s > 1, F.substr(F.col("_v"), s - 1, F.lit(1))).otherwise(F.lit("")).alias("left"))))
+    spots = text.select(*keys, at.alias("p")).select(*keys, "p.piece", "p.left").distinct()
+    anchors = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(anchor)), lambda k: F.substr(F.col("piece"), F.lit(1), k)))
+    cut = spots.select("*", F.explode(anchors).alias("head")).join(bounded(heads), "head").select(*keys, "piece", "left", F.explode("lengths").alias("n"))
+    cut = cut.filter(F.col("n") <= F.length("piece"))
+    if word_boundary:
+        cut = cut.filter(~F.col("left").rlike(r"\p{L}") & ~F.substr(F.col("piece"), F.col("n") + 1, F.lit(1)).rlike(r"\p{L}"))
+    pieces = cut.select(*keys, F.substr(F.col("piece"), F.lit(1), F.col("n")).alias("key")).distinct()
+    return pieces.join(bounded(table.select("key")), "key", "left_semi")
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    other = right.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_j{i}"))
+    return left.join(other, cond).drop(*[f"_j{i}" for i in range(len(keys))])
+
+
+def substring_lookup(strings: DataFrame, pv_map: DataFrame, keys: Sequence[str], value: str = "value",
+                     word_boundary: bool = True, few: int = 300, anchor: int = 4) -> DataFrame:
+    """Keys contained in the text, longest first, each one blanking the text it used."""
     table = pv_map.groupBy("key").agg(F.min_by("props", F.col("ord")).alias("props"), F.min("ord").alias("ord"))
-    head = lambda c, size: F.substr(c, F.lit(1), size)
-    heads = table.select(head(F.col("key"), F.least(F.length("key"), F.lit(anchor))).alias("head"), F.length("key").alias("n")) \
-        .groupBy("head").agg(F.sort_array(F.collect_set("n")).alias("lengths"))
     text = strings.select(*keys, F.col(value).alias("_v")).filter(F.length("_v") > 0)
-    starts = text.select(*keys, "_v", F.explode(F.sequence(F.lit(1), F.length("_v"))).alias("_s"))
-    anchored = starts.select("*", F.explode(F.transform(
-        F.sequence(F.lit(1), F.lit(anchor)), lambda k: F.substr(F.col("_v"), F.col("_s"), k))).alias("head")).distinct()
-    cut = anchored.join(bounded(heads), "head").select(*keys, "_v", "_s", F.explode("lengths").alias("_n")) \
-        .filter(F.col("_s") + F.col("_n") - 1 <= F.length("_v"))
-    if word_boundary:
-        left = (F.col("_s") == 1) | ~F.substr(F.col("_v"), F.col("_s") - 1, F.lit(1)).rlike(r"\p{L}")
-        right = ~F.substr(F.col("_v"), F.col("_s") + F.col("_n"), F.lit(1)).rlike(r"\p{L}")
-        cut = cut.filter(left & right)
-    pieces = cut.select(*keys, "_v", F.substr(F.col("_v"), F.col("_s"), F.col("_n")).alias("key")).distinct()
-    found = pieces.join(bounded(table), "key").groupBy(*keys).agg(
-        F.first("_v").alias("_v"),
+    pieces = _contained_keys(text, table, keys, word_boundary, few, anchor)
+    listed = pieces.join(bounded(table), "key").groupBy(*keys).agg(
         sort_by(F.collect_list(F.struct((-F.length("key")).alias("size"), "ord", "key", "props")), "size", "ord").alias("_c"))
+    found = _null_safe_join(listed, text, keys)
     start = F.struct(F.col("_v").alias("rest"), F.slice("_c", 1, 0).alias("picked"))
     folded = found.withColumn("_f", F.aggregate("_c", start, lambda acc, x: F.when(
         acc["rest"].contains(x["key"]),

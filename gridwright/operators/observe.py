@@ -30,7 +30,7 @@ def split_properties(props: Sequence[str], output_columns: Sequence[str] = ()) -
 def expand_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows with comma lists in the given columns become the product of their values."""
     for c in columns:
-        df = df.withColumn(c, F.explode_outer(F.transform(F.split(F.col(f"`{c}`"), ","), F.trim)))
+        df = df.withColumn(c, F.explode_outer(F.transform(F.split(F.col(f"`{c}`"), ","), lambda x: F.trim(x))))
     return df
 
 

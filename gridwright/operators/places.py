@@ -40,7 +40,7 @@ def ranked_parents(edges: DataFrame, types: DataFrame, order: Sequence[str]) ->
 def full_names(places: DataFrame) -> DataFrame:
     """Every name of a place alone and followed by the name of each direct parent: ``dcid, full_name``."""
     alt = F.filter(F.split(F.coalesce("alternate_name", F.lit("")), ","), lambda a: F.trim(a) != "")
-    names = places.select("dcid", F.explode(F.array_distinct(F.concat(F.array("name"), F.transform(alt, F.trim)))).alias("name"))
+    names = places.select("dcid", F.explode(F.array_distinct(F.concat(F.array("name"), F.transform(alt, lambda x: F.trim(x))))).alias("name"))
     parents = contained_edges(places).join(places.select(strip_namespace(F.col("dcid")).alias("parent"), F.col("name").alias("pname")), "parent")
     joined = names.join(parents.select(F.col("node"), "pname"), strip_namespace(F.col("dcid")) == F.col("node"))
     return names.select("dcid", F.col("name").alias("full_name")).unionByName(joined.select("dcid", F.concat_ws(" ", "name", "pname").alias("full_name"))).distinct()

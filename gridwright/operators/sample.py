@@ -58,9 +58,13 @@ def coverage_sample(df: DataFrame, ids: Sequence[str], categorical: Sequence[str
     return covered.unionByName(fill)
 
 
-def capped_rows(df: DataFrame, ids: Sequence[str], columns: Sequence[str], per_value: int = 3, per_column: int = 50, seed: int = 42) -> DataFrame:
-    """Rows wanted by any tracked column: the first ``per_value`` rows of its first ``per_column`` values."""
-    rows = long_values(df, columns, ids).withColumn("_h", row_hash(ids, seed))
+def capped_rows(df: DataFrame, ids: Sequence[str], columns: Sequence[str], per_value: int = 3, per_column: int = 50, seed: int = 42,
+                order: Column | None = None) -> DataFrame:
+    """Rows wanted by any tracked column: the first ``per_value`` rows of its first ``per_column`` values.
+
+    First means by ``order`` over the id columns, or by hash.
+    """
+    rows = long_values(df, columns, ids).withColumn("_h", row_hash(ids, seed) if order is None else order)
     best = Window.partitionBy("column", "value").orderBy("_h")
     few = rows.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= per_value)
     firsts = rows.groupBy("column", "value").agg(F.min("_h").alias("_first"))
@@ -69,6 +73,18 @@ def capped_rows(df: DataFrame, ids: Sequence[str], columns: Sequence[str], per_v
     return df.join(wanted.select(*ids).distinct(), list(ids), "left_semi")
 
 
+def diverse_nodes(triples: DataFrame, per_value: int = 2, per_prop: int = 10, n: int = 100) -> DataFrame:
+    """Up to ``n`` nodes of which every property and every property value is among the first few seen."""
+    by_value = Window.partitionBy("prop", "value").orderBy("node")
+    by_prop = Window.partitionBy("prop").orderBy("node")
+    # only the first rows of each group are numbered in full; the rest fail by absence
+    first = triples.withColumn("_v", F.row_number().over(by_value)).filter(F.col("_v") <= per_value)
+    passed = first.withColumn("_p", F.row_number().over(by_prop)).filter(F.col("_p") <= per_prop).groupBy("node").agg(F.count(F.lit(1)).alias("_ok"))
+    sizes = triples.join(passed, "node", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("_all"))
+    good = passed.join(sizes, "node").filter(F.col("_ok") == F.col("_all")).select("node")
+    return first_rows(good, [F.col("node")], n)
+
+
 def one_per_pattern(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row of each combination of the signature columns (the first five columns without any)."""
     sig = list(columns or df.columns[:5])

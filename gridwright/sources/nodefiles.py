@@ -16,7 +16,7 @@ def blocks_to_triples(blocks: DataFrame, text: str = "value", block: str = "bloc
 
     Whole-line quotes added by spreadsheets are removed, doubled quotes repaired; ``#`` lines stay as comments.
     """
-    lines = F.transform(F.split(F.col(text), "\n"), F.trim)
+    lines = F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x))
     fixed = F.transform(lines, lambda l: F.when(l.rlike('^"[A-Za-z].*: .*"$'), F.replace(F.regexp_replace(l, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(l))
     used = F.filter(fixed, lambda l: l != "")
     pick = lambda name: F.regexp_extract(F.get(F.filter(F.col("_l"), lambda l: l.rlike(f"^{name} *:")), F.lit(0)), r"^[^:]*: *(.*)$", 1)
