@@ -61,6 +61,13 @@ def valid_value(v: Column) -> Column:
     return v.isNotNull() & (v != "") & (v != '""') & ~open_at & ~(v.contains("{") & v.contains("}"))
 
 
+def valid_column(name: str) -> Column:
+    """:func:`valid_value` of a named column."""
+    c = f"`{name}`"
+    return F.expr(f"{c} IS NOT NULL AND {c} NOT IN ('', '\"\"') AND NOT (contains({c}, '@') AND NOT {c} RLIKE '@[a-z]{{2}}\"$') "
+                  f"AND NOT (contains({c}, '{{') AND contains({c}, '}}'))")
+
+
 def valid_pvs(pvs: Column, schemaless: bool = False) -> Column:
     return F.map_filter(pvs, lambda k, v: valid_property(k, schemaless) & valid_value(v))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.props import overlay_all, sort_by
 from ..functions.text import delimiter_char, words
+from ..session import materialise
 from .scale import bounded, fits
 
 GLOBAL = "GLOBAL"
@@ -207,19 +208,20 @@ def find_properties(strings: DataFrame, pv_map: DataFrame, schema: PvSchema, key
                     delimiter: str = " ", word_boundary: bool = True, table: DataFrame | None = None) -> DataFrame:
     """Exact key, else phrases (substrings for very wordy text), one row per string that hits."""
     table = bounded(with_default_namespace(pv_map)) if table is None else table
-    exact = exact_lookup(strings, pv_map, schema, keys, table=table).select(*keys, "props", F.array("matched").alias("matched"))
+    exact = materialise(exact_lookup(strings, pv_map, schema, keys, table=table).select(*keys, "props", F.array("matched").alias("matched")))
     if not delimiter:
         return exact
-    same = [strings[k].eqNullSafe(exact[k]) for k in keys]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    rest = strings.join(exact, cond, "left_anti")
     n_words = F.size(words(F.col("value"), delimiter))
+    many = strings.filter(n_words >= 2)
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & many[k].eqNullSafe(exact[k])
+    rest = many.join(exact, cond, "left_anti")
     wordy = F.lit(schema.n_pairs) < F.pow(F.greatest(n_words - F.lit(schema.max_words), F.lit(0)), F.lit(2))
-    phrases = phrase_lookup(rest.filter(~wordy), pv_map, schema, keys, delimiter=delimiter, table=table)
-    pieces = substring_lookup(rest.filter(wordy & (n_words >= 2)), pv_map, keys, word_boundary=word_boundary)
-    return exact.unionByName(phrases).unionByName(pieces)
+    out = exact.unionByName(phrase_lookup(rest.filter(~wordy), pv_map, schema, keys, delimiter=delimiter, table=table))
+    if many.filter(wordy).limit(1).count():
+        out = out.unionByName(substring_lookup(rest.filter(wordy), pv_map, keys, word_boundary=word_boundary))
+    return out
 
 
 def positional_keys(row: Column, col: Column) -> Column:

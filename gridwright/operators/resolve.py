@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.props import valid_value
+from ..functions.props import valid_column
 from .lookup import PvSchema
 
 _FIELD = re.compile(r"\{@?(\w+)(?::([^}]*))?\}")
@@ -46,7 +46,7 @@ def substitute(df: DataFrame, references: Mapping[str, frozenset[str]]) -> DataF
                 continue
             text = prop(p)
             for r in sorted((r for r in refs if r in present), key=lambda r: (-len(r), r)):
-                ready = valid_value(prop(r)) & prop(p).contains(r)
+                ready = valid_column(r) & prop(p).contains(r)
                 text = F.when(ready, _put(text, r, prop(r))).otherwise(text)
             changed[p] = text
         if changed:

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import ids
 from ..functions.dates import period_of, resolve_date
 from ..functions.numbers import parse_number
-from ..functions.props import valid_value
+from ..functions.props import valid_column, valid_value
 from ..functions.text import add_namespace, strip_namespace
 from ..operators import grid as g, observe, resolve
 from ..operators.lookup import PvSchema, find_properties, pv_schema, with_default_namespace, ANY, effective_namespace
 from ..operators.resolve import prop
 from ..operators.scale import bounded, localised, settle
+from ..session import materialise
 
 ROW_KEYS = ("file", "row_no", "col_no")
 
@@ -85,11 +86,12 @@ def attach_properties(cells: DataFrame, pv_map: DataFrame, schema: PvSchema, opt
         out = out.join(second, "_k2", "left").drop("_k2")
         found.append(F.col("_p2"))
 
+    # one pass collects the distinct texts; everything the searches do afterwards reads that table
     rest = tagged.filter(~F.col("_plain") & F.col("_want")).select(F.col("_h").alias("header"), "value").distinct()
-    strings = rest.withColumn("header", F.nullif(F.col("header"), F.lit("")))
+    strings = materialise(rest.withColumn("header", F.nullif(F.col("header"), F.lit(""))))
     hits = find_properties(strings, pv_map, schema, delimiter=options.word_delimiter, word_boundary=options.word_boundary, table=table)
-    hits = hits.select(F.coalesce("header", F.lit("")).alias("_h"), F.col("value"), F.col("props").alias("_p3"))
-    out = out.join(hits, ["_h", "value"], "left")
+    hits = materialise(hits.select(F.coalesce("header", F.lit("")).alias("_h"), F.col("value"), F.col("props").alias("_p3")))
+    out = out.join(bounded(hits), ["_h", "value"], "left")
     found.append(F.col("_p3"))
 
     if schema.prefixed_keys:
@@ -114,10 +116,14 @@ def _headed_cells(cells: DataFrame, pv_map: DataFrame, schema: PvSchema, options
                   table: DataFrame) -> DataFrame:
     """Body cells with own ``props`` and one ``h:<prop>`` column per header property."""
     if options.header_rows > 0:
-        top = attach_properties(cells.filter(F.col("row_no") <= options.header_rows), pv_map, schema, options, table)
-        folded = g.fold_headers(g.fill_merged(top, default=options.merged_cells))
-        body = g.attach_fixed_headers(cells.filter(F.col("row_no") > options.header_rows), folded)
-        body = attach_properties(body, pv_map, schema, options, table, "header" if len(schema.namespaces) > 1 or schema.prefixed_keys else None)
+        by_header = len(schema.namespaces) > 1 or schema.prefixed_keys
+        top_cells = cells.filter(F.col("row_no") <= options.header_rows)
+        known = attach_properties(top_cells if by_header else cells, pv_map, schema, options, table)
+        top = known.filter(F.col("row_no") <= options.header_rows)
+        folded = materialise(g.fold_headers(g.fill_merged(top, default=options.merged_cells)))
+        body = g.attach_fixed_headers((cells if by_header else known).filter(F.col("row_no") > options.header_rows), folded)
+        if by_header:
+            body = attach_properties(body, pv_map, schema, options, table, "header")
         return body.withColumns({f"h:{p}": F.col("header_props")[p] for p in props}).drop("header", "header_props")
 
     # header rows are those with mapped cells and no number
@@ -167,7 +173,7 @@ def resolve_cells(cells: DataFrame, schema: PvSchema, options: GridOptions, prop
     has = lambda p: prop(p).isNotNull() if p in wide.columns else F.lit(False)
     no_value = ~(has("value") | has("measurementResult"))
     shared = [p for p in wide.columns if p not in ROW_KEYS and p not in observe.INTERNAL_PROPS and p not in ("#Regex", "#Format", "#Eval", "value", "measurementResult")]
-    flows = wide.withColumns({f"_ok:{p}": F.when(valid_value(prop(p)), prop(p)) for p in schema.references if p in shared})
+    flows = wide.withColumns({f"_ok:{p}": F.when(valid_column(p), prop(p)) for p in schema.references if p in shared})
     # open references stay in their own cell
     carried = g.carry_row(flows.withColumns({p: prop(f"_ok:{p}") for p in schema.references if p in shared}), shared, no_value)
     carried = carried.drop(*[f"_ok:{p}" for p in schema.references])
@@ -225,7 +231,7 @@ def grid_to_observations(grid: DataFrame, pv_map: DataFrame, options: GridOption
         truthy = F.lower(prop("#IgnoreRow")).isin("true", "yes", "1")
         wide = wide.filter(F.coalesce(~truthy, F.lit(True)))
     result = valid_value(_value(wide, "measurementResult"))
-    candidates = wide.filter(F.coalesce(result, F.lit(False)) | F.coalesce(valid_value(prop("value")), F.lit(False)))
+    candidates = wide.filter(F.coalesce(result, F.lit(False)) | F.coalesce(valid_column("value"), F.lit(False)))
     if options.header_columns:
         candidates = candidates.filter(F.col("col_no") > options.header_columns)
     if "#ignore" in candidates.columns:
@@ -242,7 +248,7 @@ def grid_to_observations(grid: DataFrame, pv_map: DataFrame, options: GridOption
     obs_props, variable_props = observe.split_properties(present, options.output_columns)
     dated, extra = _dependants(dated, schema, options, variable_props)
 
-    columns = {p: F.when(valid_value(prop(p)), prop(p)) for p in variable_props}
+    columns = {p: F.when(valid_column(p), prop(p)) for p in variable_props}
     for name, default in options.variable_defaults.items():
         columns[name] = F.coalesce(columns.get(name, F.lit(None).cast("string")), F.lit(default))
     stated = strip_namespace(_value(dated, "variableMeasured"))

@@ -76,7 +76,8 @@ def grid_with_sections(t):
         "o_orderstatus", "o_orderpriority", F.lit(-1).cast("long").alias("o_orderkey"), F.array(F.concat(F.lit("All of "), "o_orderpriority"), *[F.lit("")] * 3).alias("cells"))
     head = o.select("o_orderstatus").distinct().select(
         "o_orderstatus", F.lit("").alias("o_orderpriority"), F.lit(-2).cast("long").alias("o_orderkey"), F.array(*[F.lit(x) for x in ("what", "Order Key", "Ordered", "Price")]).alias("cells"))
-    grid = with_position(body.unionByName(sections).unionByName(head), ["o_orderstatus", "o_orderpriority", "o_orderkey"], "row_no").select(F.col("o_orderstatus").alias("file"), "row_no", "cells")
+    grid = with_position(body.unionByName(sections).unionByName(head), ["o_orderstatus", "o_orderpriority", "o_orderkey"], "pos").select(
+        F.col("o_orderstatus").alias("file"), (F.col("pos") + 1).alias("row_no"), "cells")
     r = grid_to_observations(grid, pv_map_from_dict(o.sparkSession, SECTION_MAP), GridOptions())
     return r.observations.select("observationAbout", "observationDate", "variableMeasured", "value")
 
@@ -142,9 +143,9 @@ def keyed_merge(t):
     return out.withColumn("p_retailprice", F.round("p_retailprice", 6))
 
 
-@query("weighted_mean_merge", "SELECT o_custkey, round(sum(o_totalprice * (o_orderkey % 5 + 1)) / sum(o_orderkey % 5 + 1), 4) AS price FROM orders GROUP BY 1")
+@query("weighted_mean_merge", "SELECT o_custkey, round(sum(floor(o_totalprice) * (o_orderkey % 5 + 1)) / sum(o_orderkey % 5 + 1), 4) AS price FROM orders GROUP BY 1")
 def weighted_mean_merge(t):
-    rows = t("orders").select("o_custkey", F.col("o_totalprice").alias("price"), (F.col("o_orderkey") % 5 + 1).alias("weight"), F.col("o_orderkey").alias("ord"))
+    rows = t("orders").select("o_custkey", F.floor("o_totalprice").alias("price"), (F.col("o_orderkey") % 5 + 1).alias("weight"), F.col("o_orderkey").alias("ord"))
     return observe.merge_keyed(rows, ["o_custkey"], {"price": "mean"}, count_of={"price": "weight"}).withColumn("price", F.round("price", 4))
 
 
