@@ -42,11 +42,15 @@ def merge(triples: DataFrame) -> DataFrame:
 
 
 def value_text(triples: DataFrame, most: int = 100_000) -> DataFrame:
-    """Sorted unique values of each (node, prop) as comma text; raises beyond ``most`` values."""
-    joined = F.array_join(F.array_sort(F.collect_set("value")), ",")
-    out = triples.groupBy("node", "prop").agg(F.count(F.lit(1)).alias("_n"), F.min("ord").alias("ord"), joined.alias("value"))
+    """Sorted unique values of each (node, prop) as comma text; raises beyond ``most`` values.
+
+    Sizes are checked on distinct rows before anything is collected.
+    """
+    rows = triples.groupBy("node", "prop", "value").agg(F.min("ord").alias("ord"))
+    sizes = rows.groupBy("node", "prop").agg(F.count(F.lit(1)).alias("_n"))
     ok = F.when(F.col("_n") <= most, F.lit(True)).otherwise(F.raise_error(F.lit("too many values for one cell; use the long form")).cast("boolean"))
-    return out.filter(ok).drop("_n")
+    checked = rows.join(sizes, ["node", "prop"]).filter(ok)
+    return checked.groupBy("node", "prop").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("value"), F.min("ord").alias("ord"))
 
 
 def mergeable_blocks(triples: DataFrame, variable_type: str = "StatisticalVariable") -> tuple[DataFrame, DataFrame]:
@@ -138,21 +142,31 @@ def existence(ids: DataFrame, known: DataFrame, node: str = "node") -> DataFrame
 
 
 def normalised(triples: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
-    """Comparable triples: comments and listed properties dropped, values in normal form and merged per property."""
+    """Comparable distinct triples: comments and listed properties dropped, lists split, values in normal form."""
     kept = triples.filter(~F.col("prop").startswith("#") & ~F.col("prop").isin(*(("Node", "dcid") + tuple(ignore))) & (F.col("value") != ""))
-    clean = split_lists(kept).withColumns({"node": strip_namespace(F.col("node")), "value": normalize_value(F.col("value"))})
-    return clean.groupBy("node", "prop").agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("value"))
+    clean = split_lists(kept.select("node", "prop", "value"))
+    return clean.select(strip_namespace(F.col("node")).alias("node"), "prop", normalize_value(F.col("value")).alias("value"))
 
 
-def diff(left: DataFrame, right: DataFrame, ignore: Sequence[str] = (), only: Sequence[str] | None = None) -> DataFrame:
-    """Status of every (node, prop) of two node tables: matched, modified, added, deleted."""
-    a, b = normalised(left, ignore), normalised(right, ignore)
+def diff_values(left: DataFrame, right: DataFrame, ignore: Sequence[str] = (), only: Sequence[str] | None = None) -> DataFrame:
+    """``node, prop, value`` of both tables with flags for the sides a value is on. One union and one aggregate, no join."""
+    sides = normalised(left, ignore).withColumns({"l": F.lit(1), "r": F.lit(0)}).unionByName(normalised(right, ignore).withColumns({"l": F.lit(0), "r": F.lit(1)}))
     if only is not None:
-        a, b = a.filter(F.col("prop").isin(*only)), b.filter(F.col("prop").isin(*only))
-    joined = a.withColumnRenamed("value", "old").join(b.withColumnRenamed("value", "new"), ["node", "prop"], "full_outer")
-    status = (F.when(F.col("old").isNull(), F.lit("added")).when(F.col("new").isNull(), F.lit("deleted"))
-              .when(F.col("old") == F.col("new"), F.lit("matched")).otherwise(F.lit("modified")))
-    return joined.withColumn("status", status)
+        sides = sides.filter(F.col("prop").isin(*only))
+    return sides.groupBy("node", "prop", "value").agg(F.max("l").alias("in_left"), F.max("r").alias("in_right"))
+
+
+def diff(left: DataFrame, right: DataFrame, ignore: Sequence[str] = (), only: Sequence[str] | None = None) -> DataFrame:
+    """Status of every (node, prop) of two node tables: matched, modified, added, deleted.
+
+    Value sets are compared by counting values that are on one side only, so a property with any
+    number of values never becomes one row.
+    """
+    out = diff_values(left, right, ignore, only).groupBy("node", "prop").agg(
+        F.sum("in_left").alias("n_left"), F.sum("in_right").alias("n_right"), F.count_if(F.col("in_left") != F.col("in_right")).alias("n_differ"))
+    status = (F.when(F.col("n_left") == 0, F.lit("added")).when(F.col("n_right") == 0, F.lit("deleted"))
+              .when(F.col("n_differ") == 0, F.lit("matched")).otherwise(F.lit("modified")))
+    return out.withColumn("status", status)
 
 
 def diff_nodes(diffs: DataFrame) -> DataFrame:

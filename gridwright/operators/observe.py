@@ -116,32 +116,46 @@ def list_text(listed: DataFrame, key: Sequence[str], value: str = "value", most:
 
 
 def merge_keyed(rows: DataFrame, key: Sequence[str], how: dict[str, str], default: str = "sum", order: Sequence[str] = ("ord",),
-                count_of: dict[str, str] | None = None) -> DataFrame:
+                count_of: dict[str, str] | None = None, most: int = 100_000) -> DataFrame:
     """Per-column merge of rows with the same key. Text columns turn sum and mean into a list.
 
-    ``count_of`` names the weight column of a mean. Lists are sorted unique values joined by commas.
+    ``count_of`` names the weight column of a mean. Lists are sorted unique values joined by
+    commas; they are made distinct first and must not exceed ``most`` values, see :func:`listed_values`.
     """
     types = dict(rows.dtypes)
     aggs: list[Column] = []
-    for c in rows.columns:
-        if c in key or c in order or c in (count_of or {}).values():
-            continue
+    lists: list[tuple[str, str]] = []
+    merged = [c for c in rows.columns if c not in key and c not in order and c not in (count_of or {}).values()]
+    for c in merged:
         mode = how.get(c, default)
         if types[c] == "string" and mode in ("sum", "mean"):
             mode = "list"
         col = F.col(f"`{c}`")
+        if mode in ("list", "set"):
+            lists.append((c, mode))
+            continue
         if mode == "mean" and count_of and c in count_of:
             weight = F.coalesce(F.col(count_of[c]), F.lit(1))
             expr = F.sum(col * weight) / F.sum(F.when(col.isNotNull(), weight))
-        elif mode in ("list", "set"):
-            items = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split(col.cast("string"), ",")))))
-            expr = F.array_join(items, ",") if mode == "list" else items
         else:
             expr = {"sum": lambda: F.sum(col), "min": lambda: F.min(col), "max": lambda: F.max(col), "mean": lambda: F.avg(col),
                     "first": lambda: F.min_by(col, F.when(col.isNotNull(), F.struct(*order))),
                     "last": lambda: F.max_by(col, F.when(col.isNotNull(), F.struct(*order)))}[mode]()
         aggs.append(expr.alias(c))
-    return rows.groupBy(*key).agg(*aggs)
+    out = rows.groupBy(*key).agg(*aggs) if aggs else rows.select(*key).distinct()
+    for c, mode in lists:
+        items = listed_values(rows, key, c)
+        sizes = items.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+        ok = F.when(F.col("_n") <= most, F.lit(True)).otherwise(F.raise_error(F.lit("list too long for one cell; use listed_values")).cast("boolean"))
+        array = F.array_sort(F.collect_list("item"))
+        one = items.join(sizes, list(key)).filter(ok).groupBy(*key).agg((F.array_join(array, ",") if mode == "list" else array).alias(c))
+        out = out.join(one, list(key), "left")
+    return out.select(*key, *merged)
+
+
+def listed_values(rows: DataFrame, key: Sequence[str], column: str) -> DataFrame:
+    """Distinct listed values per key in long form (``key…, item``), for groups of any size."""
+    return rows.select(*key, F.explode(F.split(F.col(f"`{column}`").cast("string"), ",")).alias("item")).distinct()
 
 
 def missing_columns(required: Sequence[str]) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import parse_number
+from ..session import materialise
 from .scale import bounded, with_position
 
 # Header patterns of derived columns, with the header start their base column has.
@@ -69,6 +70,7 @@ def categorical_columns(profile: DataFrame) -> DataFrame:
 def redundant_pairs(df: DataFrame, profile: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Column pairs in 1:1 correspondence. Only pairs with equal distinct counts are compared, all in one pass."""
     columns = list(columns or df.columns)
+    profile = materialise(profile)
     counts = {r["column"]: r["n_distinct"] for r in profile.select("column", "n_distinct").collect()}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:] if counts[a] == counts[b] and counts[a] > 1]
     if not pairs:
@@ -133,7 +135,7 @@ def numeric_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def classify_columns(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """One label per column: constant, derived, metadata, redundant, numeric, categorical or text."""
-    profile = column_profile(df) if profile is None else profile
+    profile = materialise(column_profile(df) if profile is None else profile)
     pairs = redundant_pairs(df, profile).select(F.col("column_b").alias("column")).distinct().withColumn("_red", F.lit(True))
     numeric = [r["column"] for r in profile.filter(F.col("numeric_share") > 0.8).select("column").collect()]
     by_name = derived_by_name(df.columns)

@@ -49,9 +49,8 @@ def disallowed_urls(found: DataFrame, allowed: DataFrame, prefix: str = "prefix"
     The URL is cut to the lengths that occur among the prefixes, so the test is an equi-join.
     """
     table = allowed.select(F.col(prefix).alias("_p")).distinct()
-    lengths = F.broadcast(table.agg(F.sort_array(F.collect_set(F.length("_p"))).alias("_l")))
+    lens = [r["n"] for r in table.select(F.length("_p").alias("n")).distinct().collect()]
     distinct = found.select("url").distinct()
-    lens = [r for r in (lengths.first()["_l"] or [])]
     if not lens:
         return found
     starts = distinct.select("url", F.explode(F.array_distinct(F.array(*[F.substring("url", 1, n) for n in lens]))).alias("_p"))

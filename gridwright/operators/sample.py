@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise
 from .grid import TOTAL_WORDS
 from .profile import long_values
 from .scale import bounded, first_rows
@@ -49,7 +50,7 @@ def coverage_sample(df: DataFrame, ids: Sequence[str], categorical: Sequence[str
     """
     if df.limit(whole_below + 1).count() <= whole_below:
         return df
-    chosen = covering_rows(df, ids, categorical, numeric, ranges, seed)
+    chosen = materialise(covering_rows(df, ids, categorical, numeric, ranges, seed))
     covered = df.join(bounded(chosen), list(ids), "left_semi")
     have = chosen.limit(fill_to).count()
     if have >= fill_to:

@@ -83,8 +83,8 @@ def filter_outliers(obs: DataFrame, series: Sequence[str], date: str = "observat
         pdf = pdf.sort_values("_mid", kind="stable")
         changed = np.zeros(len(pdf), dtype=bool)
         for c in names:
-            a = pdf[c].to_numpy(dtype=object)
-            changed[1:] |= np.array([x != y for x, y in zip(a[1:], a[:-1])], dtype=bool)
+            codes, _ = pd.factorize(pdf[c], use_na_sentinel=False)
+            changed[1:] |= codes[1:] != codes[:-1]
         codes = np.cumsum(changed)
         v = pdf[value].to_numpy(dtype=float, na_value=np.nan)
         return pdf, _walk(codes, v, pdf["_day"].to_numpy(dtype=float, na_value=0.0), *rules, entry)

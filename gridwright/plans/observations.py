@@ -147,6 +147,8 @@ def _headed_cells(cells: DataFrame, pv_map: DataFrame, schema: PvSchema, options
     if len(schema.namespaces) > 1 or schema.prefixed_keys:
         flagged = flagged.withColumn("header", F.when(F.col("_head"), F.col("value")))
         names.append("header")
+    # read twice below: once for the carry inside buckets, once for the bucket ends
+    flagged = materialise(flagged)
     carried = g.attach_running_headers(flagged, names, options.carry_bucket).filter(~F.col("_head")).drop("_head", "_props")
     if "header" in names:
         carried = attach_properties(carried.drop("props"), pv_map, schema, options, table, "header").drop("header")

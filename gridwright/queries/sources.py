@@ -109,7 +109,7 @@ def template_fill(t):
 def sharded_write(t):
     c = t("customer")
     path = scratch(c.sparkSession, "shards")
-    tb.write_shards(c, path, "c_mktsegment", 2, salts=2)
+    tb.write_shards(c, path, "c_mktsegment", 2)
     back = c.sparkSession.read.option("header", True).schema("c_custkey string, shard string").csv(path)
     return back.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
 

@@ -91,9 +91,8 @@ def template_text(columns: Sequence[str], constants: Mapping[str, str], table: s
     return "\n".join(lines) + "\n"
 
 
-def write_shards(df: DataFrame, path: str, column: str, prefix: int = 0, salts: int = 1, mode: str = "errorifexists") -> None:
-    """One folder per value (or value prefix) of a column. ``salts`` spreads a large shard over several files."""
+def write_shards(df: DataFrame, path: str, column: str, prefix: int = 0, mode: str = "errorifexists") -> None:
+    """One folder per value (or value prefix) of a column. Rebalancing splits large shards over several files."""
     shard = F.substring(column, 1, prefix) if prefix else F.col(column).cast("string")
-    tagged = df.withColumn("shard", shard)
-    spread = tagged.repartition("shard") if salts == 1 else tagged.withColumn("_s", F.floor(F.rand(7) * salts)).repartition("shard", "_s").drop("_s")
-    spread.write.mode(mode).partitionBy("shard").option("header", True).csv(path)
+    tagged = df.withColumn("shard", shard).hint("rebalance", "shard")
+    tagged.write.mode(mode).partitionBy("shard").option("header", True).csv(path)
