@@ -102,10 +102,11 @@ def filter_outliers(obs: DataFrame, series: Sequence[str], date: str = "observat
         while todo:
             known = dict(entries)
 
-            def last_kept(key, pdf: pd.DataFrame, known=known) -> pd.DataFrame:
+            def last_kept(key, pdf: pd.DataFrame) -> pd.DataFrame:
                 _, (_, v, d) = stretch(pdf, known.get(key[0]))
                 return pd.DataFrame({"part": [key[0]], "v": [np.nan if v is None else v], "d": [d], "has": [v is not None]})
 
+            # collected before the next round rebinds ``known``
             walked = (cut.filter(F.col("_part").isin(*todo)).select(*needed).groupBy("_part")
                       .applyInPandas(last_kept, "part long, v double, d double, has boolean").collect())
             for r in walked:
