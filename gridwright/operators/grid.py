@@ -77,7 +77,7 @@ def attach_fixed_headers(cells: DataFrame, headers: DataFrame) -> DataFrame:
     return cells.join(bounded(headers), ["file", "col_no"], "left")
 
 
-def attach_running_headers(cells: DataFrame, header_columns: Sequence[str], bucket: int = 100_000) -> DataFrame:
+def attach_running_headers(cells: DataFrame, header_columns: Sequence[str], bucket: int = 20_000) -> DataFrame:
     """Carry header properties (one column each) down their column, newer header rows overlaying older ones."""
     return carry_forward(cells, ["file", "col_no"], "row_no", header_columns, bucket)
 

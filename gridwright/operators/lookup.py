@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.props import overlay_all, sort_by
 from ..functions.text import delimiter_char, words
 from ..session import materialise
-from .scale import bounded, fits
+from .scale import bounded, fits, spread
 
 GLOBAL = "GLOBAL"
 ANY = "*"  # namespace of the merged default maps, used for headers that are no namespace themselves
@@ -191,7 +191,7 @@ def substring_lookup(strings: DataFrame, pv_map: DataFrame, keys: Sequence[str],
                      word_boundary: bool = True, few: int = 300, anchor: int = 4) -> DataFrame:
     """Keys contained in the text, longest first, each one blanking the text it used."""
     table = pv_map.groupBy("key").agg(F.min_by("props", F.col("ord")).alias("props"), F.min("ord").alias("ord"))
-    text = strings.select(*keys, F.col(value).alias("_v")).filter(F.length("_v") > 0)
+    text = spread(strings.select(*keys, F.col(value).alias("_v")).filter(F.length("_v") > 0), *keys)
     pieces = _contained_keys(text, table, keys, word_boundary, few, anchor)
     listed = pieces.join(bounded(table), "key").groupBy(*keys).agg(
         sort_by(F.collect_list(F.struct((-F.length("key")).alias("size"), "ord", "key", "props")), "size", "ord").alias("_c"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import camel_to_words, capitalize_first, strip_namespace
-from .scale import bounded
+from .scale import bounded, spread
 
 URL = r"(https?://[^\s\"'<>,)]+)"
 # Properties whose values are not prose.
@@ -31,7 +31,7 @@ def misspelled(triples: DataFrame, dictionary: DataFrame, word: str = "word", ig
     Distinct words meet the dictionary first; the bad ones are joined back.
     """
     checked = triples.filter(~unspelled(F.col("prop"), F.col("value"), ignored))
-    spoken = checked.select("node", "prop", F.explode(F.concat(text_words(F.col("prop")), text_words(strip_namespace(F.col("value"))))).alias("w"))
+    spoken = spread(checked, "node").select("node", "prop", F.explode(F.concat(text_words(F.col("prop")), text_words(strip_namespace(F.col("value"))))).alias("w"))
     used = spoken.groupBy("node", "prop", F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     known = dictionary.select(F.lower(F.col(word)).alias("word")).distinct()
     bad = used.select("word").distinct().join(bounded(known), "word", "left_anti")

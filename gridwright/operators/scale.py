@@ -37,6 +37,13 @@ def localised(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BR
     return materialise(df)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a table that is read in fewer pieces than the cluster has cores, before costly
+    row-wise work such as tokenising long texts. Tables of many files or splits are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Keep the computed columns as they are below this point.
 
@@ -71,7 +78,7 @@ def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "pos
     return out.drop("_mid", "_part", "_offset")
 
 
-def carry_forward(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], bucket: int = 100_000,
+def carry_forward(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], bucket: int = 20_000,
                   include_current: bool = True) -> DataFrame:
     """Replace each column by its last non-null value up to this row of the group.
 

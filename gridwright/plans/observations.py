@@ -49,7 +49,7 @@ class GridOptions:
     id_ignore: Sequence[str] = ("description", "name", "nameWithLanguage", "descriptionUrl", "alternateName")
     boolean_props: Sequence[str] = ()
     affixes: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
-    carry_bucket: int = 100_000
+    carry_bucket: int = 20_000
 
 
 @dataclass(frozen=True)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import grid as g, lookup as l, observe, resolve
-from ..operators.scale import settle
+from ..operators.scale import settle, spread
 from ..sources.grids import grid_of
 from ..sources.pvmaps import pv_map_from_dict
 from .registry import query
@@ -11,7 +11,7 @@ from .registry import query
 
 def document_grid(t):
     """Each document is a sheet: its lines are rows, its words cells."""
-    lines = t("documents").select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    lines = spread(t("documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split("text", "\n")).alias("p", "line"))
     return lines.select("file", (F.col("p") + 1).cast("long").alias("row_no"), F.split("line", " ").alias("cells"))
 
 
@@ -231,3 +231,22 @@ SELECT c_mktsegment AS file, CAST(row_number() OVER (PARTITION BY c_mktsegment O
 UNION ALL SELECT DISTINCT c_mktsegment, CAST(1 AS BIGINT), 'c_name|c_nationkey' FROM customer""")
 def table_as_grid(t):
     return grid_of(t("customer"), ["c_name", "c_nationkey"], ["c_custkey"], "c_mktsegment").select("file", "row_no", F.array_join("cells", "|").alias("line"))
+
+
+@query("mapped_cell_predicate", DOC_GRID_SQL + """
+SELECT file, row_no, count(*)::BIGINT AS mapped FROM (SELECT file, row_no, unnest(range(1, len(cells) + 1)) AS col_no FROM grid) WHERE row_no <= 2 OR col_no IN (1, 4) GROUP BY 1, 2""")
+def mapped_cell_predicate(t):
+    cells = g.melt(document_grid(t)).filter(g.mapped_cells(mapped_rows=2, mapped_columns=[1, 4]))
+    return cells.groupBy("file", "row_no").agg(F.count(F.lit(1)).alias("mapped"))
+
+
+@query("dependent_variable_selection", """
+SELECT p_partkey, 'Count_Part_' || upper(p_type[1]) || lower(substr(p_type, 2)) || '_Big' AS chosen, 'Count_Part_' || upper(p_name[1]) || substr(split_part(p_name, ' ', 1), 2) AS rest_only FROM part""")
+def dependent_variable_selection(t):
+    from ..functions import ids
+
+    cols = {"measuredProperty": F.lit("count"), "populationType": F.lit("Part"), "kind": F.initcap("p_type"), "word": F.split("p_name", " ")[0]}
+    def made(rule):
+        names, fixed = resolve.selection(rule, list(cols))
+        return ids.variable_id({n: cols[n] for n in names} | {n: F.lit(v) for n, v in fixed.items()})
+    return t("part").select("p_partkey", made("measuredProperty,populationType,kind,+size=Big").alias("chosen"), made("-kind").alias("rest_only"))

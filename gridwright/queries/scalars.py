@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, numbers, props, text
+from ..operators.scale import spread
 from .registry import query
 
 
@@ -108,7 +109,7 @@ def place_id_test(t):
 @query("match_normal_form", r"""
 SELECT doc_id, md5(regexp_replace(trim(regexp_replace(lower(strip_accents(text)), ' +', ' ', 'g'), ' '), '[^\p{L}\p{N} ]', '', 'g')) AS form FROM documents""")
 def match_normal_form(t):
-    return t("documents").select("doc_id", F.md5(text.match_form(F.col("text"))).alias("form"))
+    return spread(t("documents").select("doc_id", "text"), "doc_id").select("doc_id", F.md5(text.match_form(F.col("text"))).alias("form"))
 
 
 @query("word_split", "SELECT doc_id, len(list_filter(string_split_regex(text, '[ \n]'), lambda x: x <> ''))::BIGINT AS n_words FROM documents")
