@@ -1,3 +1,10 @@
 """Statistical tables on Spark: grids in, long observations and variables out."""
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# functions sent to tasks travel with their code, so executors need no copy of the package
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

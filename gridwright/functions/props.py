@@ -61,11 +61,15 @@ def valid_value(v: Column) -> Column:
     return v.isNotNull() & (v != "") & (v != '""') & ~open_at & ~(v.contains("{") & v.contains("}"))
 
 
-def valid_column(name: str) -> Column:
-    """:func:`valid_value` of a named column."""
+def valid_sql(name: str) -> str:
+    """:func:`valid_value` of a named column as SQL text."""
     c = f"`{name}`"
-    return F.expr(f"{c} IS NOT NULL AND {c} NOT IN ('', '\"\"') AND NOT (contains({c}, '@') AND NOT {c} RLIKE '@[a-z]{{2}}\"$') "
-                  f"AND NOT (contains({c}, '{{') AND contains({c}, '}}'))")
+    return (f"({c} IS NOT NULL AND {c} NOT IN ('', '\"\"') AND NOT (contains({c}, '@') AND NOT {c} RLIKE '@[a-z]{{2}}\"$') "
+            f"AND NOT (contains({c}, '{{') AND contains({c}, '}}')))")
+
+
+def valid_column(name: str) -> Column:
+    return F.expr(valid_sql(name))
 
 
 def valid_pvs(pvs: Column, schemaless: bool = False) -> Column:

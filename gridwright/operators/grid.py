@@ -149,7 +149,7 @@ def footer_start(grid: DataFrame, last: int = 20, keywords: Sequence[str] = ("so
     sized = grid.withColumn("_f", _filled(F.col("cells")))
     stats = sized.groupBy("file").agg(F.max("row_no").alias("_n"), F.avg("_f").alias("_m"))
     word = _has_word(F.trim(F.get("cells", F.lit(0))), keywords)
-    tail = sized.join(bounded(stats), "file").filter(F.col("row_no") > F.col("_n") - last)
+    tail = sized.join(stats, "file").filter(F.col("row_no") > F.col("_n") - last)
     return tail.filter(word | (F.col("_f") < F.col("_m") * share)).groupBy("file").agg(F.min("row_no").alias("footer_row"))
 
 

@@ -137,7 +137,7 @@ def drop_known(triples: DataFrame, known: DataFrame, keep_additions: bool = Fals
 
 def existence(ids: DataFrame, known: DataFrame, node: str = "node") -> DataFrame:
     """Flag ids that are present in another node table."""
-    side = bounded(known.select(F.col("node").alias(node)).distinct().withColumn("_k", F.lit(1)))
+    side = known.select(F.col("node").alias(node)).distinct().withColumn("_k", F.lit(1))
     return ids.join(side, node, "left").withColumn("exists", F.col("_k").isNotNull()).drop("_k")
 
 

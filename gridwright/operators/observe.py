@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import number_text
 from ..functions.text import add_namespace, normalize_value, strip_namespace
-from .scale import bounded
 
 # Properties of an observation and defaults of variables and observations.
 OBS_PROPS = ("typeOf", "observationDate", "observationAbout", "value", "observationPeriod", "measurementMethod", "unit",
@@ -177,7 +176,7 @@ def prune_variables(variables: DataFrame, obs: DataFrame) -> DataFrame:
 
 def prune_observations(obs: DataFrame, variables: DataFrame) -> DataFrame:
     """Strict mode: observations whose variable is known."""
-    known = bounded(variables.select(F.col("dcid").alias("_id")).distinct())
+    known = variables.select(F.col("dcid").alias("_id")).distinct()
     return obs.join(known, strip_namespace(F.col("variableMeasured")) == F.col("_id"), "left_semi")
 
 

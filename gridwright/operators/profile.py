@@ -136,10 +136,10 @@ def numeric_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def classify_columns(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """One label per column: constant, derived, metadata, redundant, numeric, categorical or text."""
     profile = materialise(column_profile(df) if profile is None else profile)
-    pairs = redundant_pairs(df, profile).select(F.col("column_b").alias("column")).distinct().withColumn("_red", F.lit(True))
+    pairs = materialise(redundant_pairs(df, profile).select(F.col("column_b").alias("column")).distinct().withColumn("_red", F.lit(True)))
     numeric = [r["column"] for r in profile.filter(F.col("numeric_share") > 0.8).select("column").collect()]
     by_name = derived_by_name(df.columns)
-    by_share = percentage_columns(df, numeric).select(F.col("pct_column").alias("column")).distinct().withColumn("_pct", F.lit(True))
+    by_share = materialise(percentage_columns(df, numeric).select(F.col("pct_column").alias("column")).distinct().withColumn("_pct", F.lit(True)))
     labelled = profile.join(bounded(pairs), "column", "left").join(bounded(by_share), "column", "left")
     derived = F.coalesce(F.col("_pct"), F.lit(False)) | (F.col("column").isin(*by_name) if by_name else F.lit(False))
     label = (F.when(is_constant(), "constant").when(derived, "derived").when(is_metadata(), "metadata").when(F.col("_red"), "redundant")

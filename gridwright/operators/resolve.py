@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.props import valid_column
+from ..functions.props import valid_sql
 from .lookup import PvSchema
 
 _FIELD = re.compile(r"\{@?(\w+)(?::([^}]*))?\}")
@@ -21,12 +21,6 @@ def prop(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _put(text: Column, name: str, value: Column) -> Column:
-    for form in ("{%s}", "{@%s}", "@%s"):
-        text = F.replace(text, F.lit(form % name), value)
-    return text
-
-
 def chain_length(references: Mapping[str, frozenset[str]], limit: int = 8) -> int:
     """Longest chain of references between properties; cycles are cut at ``limit``."""
     def depth(p: str, seen: frozenset[str]) -> int:
@@ -44,11 +38,12 @@ def substitute(df: DataFrame, references: Mapping[str, frozenset[str]]) -> DataF
         for p, refs in references.items():
             if p not in present:
                 continue
-            text = prop(p)
+            text = f"`{p}`"
+            # an unresolved reference is replaced by itself, so the expression grows by one step per reference
             for r in sorted((r for r in refs if r in present), key=lambda r: (-len(r), r)):
-                ready = valid_column(r) & prop(p).contains(r)
-                text = F.when(ready, _put(text, r, prop(r))).otherwise(text)
-            changed[p] = text
+                for form in ("{%s}" % r, "{@%s}" % r, "@%s" % r):
+                    text = f"replace({text}, '{form}', CASE WHEN {valid_sql(r)} THEN `{r}` ELSE '{form}' END)"
+            changed[p] = F.expr(text)
         if changed:
             df = df.withColumns(changed)
     return df

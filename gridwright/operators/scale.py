@@ -24,6 +24,8 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCA
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if it was measured to be small, else unchanged.
 
+    Measuring evaluates ``df``: use it for stored tables, not for results of long jobs.
+
     Unchanged means a shuffled join, whose hot keys adaptive execution splits because the lookup
     side holds one row per key.
     """

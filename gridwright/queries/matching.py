@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import match as m, places as pl
+from ..operators.scale import bounded
 from .registry import query
 
 GRAMS = r"""
@@ -66,7 +67,7 @@ def containment_closure(t):
 @query("ranked_parents", """SELECT 'c' || c_custkey AS node, p AS parent, ty AS type, row_number() OVER (PARTITION BY c_custkey ORDER BY CASE ty WHEN 'Country' THEN 1 WHEN 'Continent' THEN 2 ELSE 3 END, p)::BIGINT AS parent_rank
 FROM customer JOIN nation ON n_nationkey = c_nationkey, LATERAL (SELECT unnest(['country/' || n_name, 'region/' || n_regionkey, 'segment/' || c_mktsegment]) AS p, unnest(['Country', 'Continent', NULL]) AS ty)""")
 def ranked_parents(t):
-    c = t("customer").join(F.broadcast(t("nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    c = t("customer").join(bounded(t("nation")), F.col("n_nationkey") == F.col("c_nationkey"))
     edges = c.select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.explode(F.array(F.concat(F.lit("segment/"), "c_mktsegment"), F.concat(F.lit("region/"), "n_regionkey"), F.concat(F.lit("country/"), "n_name"))).alias("parent"))
     out = pl.ranked_parents(edges, gazetteer(t).select(F.col("dcid").alias("node"), F.col("typeOf").alias("type")), ["Country", "Continent"])
     return out.withColumn("parent_rank", F.col("parent_rank").cast("long"))
@@ -88,7 +89,7 @@ def resolve_places(t):
 
 @query("place_name_match")
 def place_name_match(t):
-    names = t("customer").join(F.broadcast(t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))), F.col("c_nationkey") == F.col("n_nationkey"))
+    names = t("customer").join(bounded(t("nation").join(bounded(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))), F.col("c_nationkey") == F.col("n_nationkey"))
     queries = names.select(F.concat_ws(" ", "n_name", "r_name").alias("query")).distinct()
     return pl.match_names(queries, gazetteer(t), k=3, types=["Country"])
 
@@ -96,7 +97,7 @@ def place_name_match(t):
 @query("place_matches_wide", """
 SELECT n_name || ' ' || r_name AS query, 'country/' || n_name AS dcid_1 FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def place_matches_wide(t):
-    n = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = t("nation").join(bounded(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
     exact = n.select(F.concat_ws(" ", "n_name", "r_name").alias("query"))
     hits = pl.match_names(exact, gazetteer(t), k=1, types=["Country"], min_fraction=1.0)
     return pl.wide_matches(hits, 1)

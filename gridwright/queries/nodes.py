@@ -215,7 +215,7 @@ def new_schema_nodes(t):
     tr = part_nodes(t).filter(F.col("prop").isin("brand", "size")).select(F.col("p_partkey").alias("node"), "prop", "value")
     pop = t("part").select(F.col("p_partkey").alias("node"), F.lit("populationType").alias("prop"), F.lit("dcs:Part").alias("value"))
     known = tr.filter(F.col("value").startswith("dcs:Brand1")).select("value").distinct().unionByName(
-        t("part").limit(1).select(F.explode(F.array(F.lit("size"), F.lit("SizeEnum"), F.lit("populationType"), F.lit("Part"), F.lit("PopulationTypeEnum"))).alias("value")))
+        tr.sparkSession.createDataFrame([(x,) for x in ("size", "SizeEnum", "populationType", "Part", "PopulationTypeEnum")], "value string"))
     return quality.new_schema_nodes(tr.unionByName(pop), known)
 
 

@@ -47,9 +47,8 @@ def redundant_columns(t):
 @query("percentage_columns", """SELECT 'share' AS pct_column, 'c_acctbal' AS base_column, round(sum(abs(c_acctbal)) + 1, 0) AS total FROM customer""")
 def percentage_columns(t):
     c = t("customer").select(F.abs("c_acctbal").alias("c_acctbal"), "c_nationkey")
-    total = c.agg((F.sum("c_acctbal") + 1).alias("total"))
-    shares = c.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one")
-    df = shares.select("c_acctbal", "c_nationkey", (F.col("c_acctbal") / F.col("total") * 100).alias("share"))
+    total = c.agg(F.sum("c_acctbal") + 1).first()[0]
+    df = c.select("c_acctbal", "c_nationkey", (F.col("c_acctbal") / total * 100).alias("share"))
     return p.percentage_columns(df, ["c_acctbal", "share", "c_nationkey"]).withColumn("total", F.round("total", 0))
 
 

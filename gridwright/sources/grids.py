@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators.scale import bounded
+from ..operators.scale import bounded, with_position
+from ..session import materialise
 
 
 def _split_csv(line: str, delimiter: str):
@@ -40,7 +41,7 @@ def read_grid(spark: SparkSession, paths: str | Sequence[str], delimiter: str =
     blocks = lines.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    numbered = lines.join(bounded(offsets), ["file", "_start"])
+    numbered = lines.join(bounded(materialise(offsets)), ["file", "_start"])
     return numbered.select("file", (F.col("_offset") + F.col("_mid") - F.col("_first") + 1).alias("row_no"), _split_csv("value", delimiter).alias("cells"))
 
 
@@ -51,7 +52,7 @@ def _whole_files(spark: SparkSession, paths: Sequence[str], delimiter: str, most
     firsts = rows.groupBy("file").agg(F.min("_mid").alias("_first"))
     cells = F.array(*names)
     width = F.greatest(*[F.when(F.col(n).isNotNull(), F.lit(i + 1)).otherwise(F.lit(0)) for i, n in enumerate(names)])
-    return rows.join(bounded(firsts), "file").select("file", (F.col("_mid") - F.col("_first") + 1).alias("row_no"),
+    return rows.join(bounded(materialise(firsts)), "file").select("file", (F.col("_mid") - F.col("_first") + 1).alias("row_no"),
                                                      F.transform(F.slice(cells, 1, width), lambda c: F.coalesce(c, F.lit(""))).alias("cells"))
 
 
@@ -60,13 +61,11 @@ def grid_of(df: DataFrame, columns: Sequence[str], order: Sequence[str], file: s
 
     Row numbers come from a distributed prefix sum, not from one window per sheet.
     """
-    from ..operators.scale import with_position
-
     name = F.col(file) if file else F.lit("table")
     text = F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
     rows = with_position(df.select(name.cast("string").alias("file"), text.alias("cells"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)]),
                          ["file", *[f"_o{i}" for i in range(len(order))]], "_pos")
-    firsts = rows.groupBy("file").agg(F.min("_pos").alias("_first"))
+    firsts = materialise(rows.groupBy("file").agg(F.min("_pos").alias("_first")))
     body = rows.join(bounded(firsts), "file").select("file", (F.col("_pos") - F.col("_first") + 2).alias("row_no"), "cells")
     head = firsts.select("file", F.lit(1).cast("long").alias("row_no"), F.array(*[F.lit(c) for c in columns]).alias("cells"))
     return body.unionByName(head)

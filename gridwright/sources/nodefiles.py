@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import add_namespace, strip_namespace
-from ..operators.scale import bounded
 
 BLOCK_LINES = 10_000
 
@@ -57,7 +56,7 @@ def node_blocks(triples: DataFrame, defaults: Mapping[str, str] | None = None, c
     line = F.when(F.col("prop").startswith("#") & F.col("value").startswith("#"), F.col("value")).otherwise(F.concat_ws(": ", "prop", "value"))
     order = F.struct("prop", "ord", line.alias("line")) if sort else F.struct("ord", F.col("prop"), line.alias("line"))
     large = rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK_LINES).alias("_parts")).filter(F.col("_parts") > 1)
-    spread = rows.join(bounded(large), "node", "left")
+    spread = rows.join(large, "node", "left")
     part = F.coalesce(F.pmod(F.xxhash64("prop", "value"), F.col("_parts")), F.lit(0))
     grouped = spread.groupBy("node", part.alias("part")).agg(F.array_sort(F.collect_list(order)).alias("l"))
     body = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
