@@ -50,6 +50,23 @@ def _walk(codes: np.ndarray, values: np.ndarray, days: np.ndarray, lo, hi, ratio
     return keep, prev_v, prev_d
 
 
+def _within(parts: set[int]) -> Column:
+    """Ranges of the stored row numbers of some partitions, so that the files of others are skipped."""
+    ordered = sorted(parts)
+    runs = [[ordered[0], ordered[0]]]
+    for p in ordered[1:]:
+        if p == runs[-1][1] + 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    if len(runs) > 200:
+        runs = [[ordered[0], ordered[-1]]]
+    cond = F.lit(False)
+    for a, b in runs:
+        cond = cond | ((F.col("_mid") >= F.lit(a << 33)) & (F.col("_mid") < F.lit((b + 1) << 33)))
+    return cond
+
+
 def filter_outliers(obs: DataFrame, series: Sequence[str], date: str = "observationDate", value: str = "value", min_value: float | None = None,
                     max_value: float | None = None, max_change_ratio: float | None = None, max_yearly_change: float | None = None,
                     keep_recent: bool = True, tie: Sequence[str] = ()) -> DataFrame:
@@ -107,7 +124,7 @@ def filter_outliers(obs: DataFrame, series: Sequence[str], date: str = "observat
                 return pd.DataFrame({"part": [key[0]], "v": [np.nan if v is None else v], "d": [d], "has": [v is not None]})
 
             # collected before the next round rebinds ``known``
-            walked = (cut.filter(F.col("_part").isin(*todo)).select(*needed).groupBy("_part")
+            walked = (cut.filter(_within(todo) & F.col("_part").isin(*todo)).select(*needed).groupBy("_part")
                       .applyInPandas(last_kept, "part long, v double, d double, has boolean").collect())
             for r in walked:
                 exits[r["part"]] = (r["v"], r["d"]) if r["has"] else None
