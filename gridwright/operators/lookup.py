@@ -50,7 +50,7 @@ def pv_schema(pv_map: DataFrame) -> PvSchema:
     """Collect the distinct properties, reference texts and rules of a PV map (never its keys)."""
     row = pv_map.agg(F.collect_set("namespace").alias("ns"), F.sum(F.size("props")).alias("pairs"),
                      F.max("n_words").alias("words"), F.max(F.col("key").contains(":")).alias("colon"),
-                     F.max(F.col("key").rlike("^[0-9]+( [0-9]+)+$")).alias("digits")).first()
+                     F.max(F.col("key").rlike("(^|:)-?[0-9]+( [0-9]+)+$")).alias("digits")).first()
     pairs = pv_map.select(F.explode("props").alias("prop", "value"))
     props = [r["prop"] for r in pairs.select("prop").distinct().collect()]
     selects = F.col("prop").isin("measurementDenominator", "variableMeasured")

@@ -67,7 +67,7 @@ def attach_properties(cells: DataFrame, pv_map: DataFrame, schema: PvSchema, opt
     shuffle. Only the remaining distinct (header, text) pairs go through the fall-backs and the
     phrase search, and are joined back.
     """
-    numeric = r"^[+-]?[0-9][0-9.,]*$"
+    numeric = r"^-?[0-9]+([.,][0-9]+)*$"
     plain = F.col("value").rlike("^[a-z0-9_%$-]*$")
     if not schema.spaced_digits:
         plain = plain | F.col("value").rlike(numeric)
