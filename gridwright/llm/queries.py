@@ -10,6 +10,8 @@ from .exact import exact_dedup
 from .mixture import curriculum
 from .packing import pack
 from .shards import shard
+from .simhash import near_duplicates
+from .substrings import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +31,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_simhash")
+def op1_simhash(t):
+    return near_duplicates(t("documents"))
+
+
 @query("op4_shards")
 def op4_shards(t):
     out = shard(t("documents"))
@@ -73,3 +80,9 @@ def op6_exact_dedup(t):
 @query("op8_packing")
 def op8_packing(t):
     return pack(t("documents"))
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(t):
+    out = remove_repeats(t("documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
