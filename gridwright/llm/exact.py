@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import BLANKS, BROADCAST_IDS, fresh_dir, located, text_of
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # many small stores: no space on disk reserved ahead
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text_col: str) -> Column:
@@ -32,18 +35,20 @@ def keep_state(stream: DataFrame, checkpoint: str) -> DataFrame:
     spark = stream.sparkSession
     state = stream.groupBy("digest").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__file", "__row")).alias("keeper"), F.count(F.lit(1)).alias("n"))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         run = (state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start())
         run.awaitTermination()
         table = spark.read.format("statestore").load(checkpoint)
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     names = table.schema["value"].dataType.names  # the aggregates, in the order above
     return table.select(F.col("key").getField(table.schema["key"].dataType.names[0]).alias("digest"),
                         F.col("value").getField(names[0]).alias("keeper"), F.col("value").getField(names[1]).alias("n"))
