@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .exact import exact_dedup
 from .mixture import curriculum
 from .packing import pack
+from .secrets import CANDIDATE_LEAST, KINDS, LEAST, MARGIN, PATTERNS, STATES, find_secrets
 from .shards import shard
 from .simhash import near_duplicates
 from .substrings import remove_repeats
@@ -36,6 +37,40 @@ def op1_simhash(t):
     return near_duplicates(t("documents"))
 
 
+def _secret_matches() -> str:
+    kinds = [*((i, PATTERNS[k], 2 if k == "assign" else 0, LEAST[k]) for i, k in enumerate(KINDS)), (3, "[A-Za-z0-9_-]+", 0, CANDIDATE_LEAST)]
+    return " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS kind, {least} AS least, regexp_extract_all(t, {p}, 0) AS w, regexp_extract_all(t, {p}, {group}) AS v, string_split_regex(t, {p}) AS g FROM d"
+        for i, pattern, group, least in kinds for p in ["'" + pattern.replace("'", "''") + "'"])
+
+
+@query("op2_secrets", f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    m AS ({_secret_matches()}),
+    e AS (SELECT doc_id, kind, least, i, len(g[i]) AS gap, len(w[i]) AS long, v[i] AS value FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM m)),
+    s AS (SELECT doc_id, kind, value, least, long, (gap + coalesce(sum(gap + long) OVER (PARTITION BY doc_id, kind ORDER BY i
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS a FROM e),
+    f AS (SELECT doc_id, kind, value, a, a + long AS z FROM s WHERE len(value) >= least),
+    x AS (SELECT value, true AS r FROM f WHERE kind < 3 UNION ALL SELECT to_base64(unhex(md5(t))), true FROM d
+          UNION ALL SELECT value, false FROM f WHERE kind = 3 AND regexp_full_match(value, '[A-Za-z_-]+')),
+    p AS (SELECT r, substr(value, i, 2) AS pair, count(*) AS n FROM (SELECT r, value, unnest(range(1, len(value))) AS i FROM x) GROUP BY 1, 2),
+    st AS (SELECT r, substr(pair, 1, 1) AS c, sum(n)::BIGINT AS n FROM p GROUP BY 1, 2),
+    c AS (SELECT doc_id, a, z, substr(value, i, 2) AS pair FROM (SELECT *, unnest(range(1, len(value))) AS i FROM f WHERE kind = 3)),
+    l AS (SELECT pair, round(1000 * (ln((coalesce(p1.n, 0) + 1)::DOUBLE / (coalesce(s1.n, 0) + {STATES})) - ln((coalesce(p0.n, 0) + 1)::DOUBLE / (coalesce(s0.n, 0) + {STATES}))))::BIGINT AS llr
+          FROM (SELECT DISTINCT pair FROM c) q LEFT JOIN (SELECT pair, n FROM p WHERE r) p1 USING (pair) LEFT JOIN (SELECT pair, n FROM p WHERE NOT r) p0 USING (pair)
+          LEFT JOIN (SELECT c, n FROM st WHERE r) s1 ON s1.c = substr(pair, 1, 1) LEFT JOIN (SELECT c, n FROM st WHERE NOT r) s0 ON s0.c = substr(pair, 1, 1)),
+    k AS (SELECT doc_id, a, z FROM c JOIN l USING (pair) GROUP BY 1, 2, 3 HAVING sum(llr - {MARGIN}) > 0),
+    y AS (SELECT doc_id, kind, a, z FROM f WHERE kind < 3 UNION ALL
+          SELECT doc_id, 3, a, z FROM k WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = k.doc_id AND f.kind < 3 AND f.a < k.z AND k.a < f.z)),
+    o AS (SELECT doc_id, kind, ['assign', 'access', 'hex', 'markov'][kind + 1] || ':' || a || ':' || z AS txt, a FROM y)
+    SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+      count(*) FILTER (kind = 3) AS n_markov, sha256(coalesce(string_agg(txt, ',' ORDER BY a, kind) FILTER (kind < 3), '')) AS base_sha256,
+      coalesce(string_agg(txt, ',' ORDER BY a, kind), '') AS spans
+    FROM d LEFT JOIN o USING (doc_id) GROUP BY doc_id""")
+def op2_secrets(t):
+    return find_secrets(t("documents"))
+
+
 @query("op4_shards")
 def op4_shards(t):
     out = shard(t("documents"))
