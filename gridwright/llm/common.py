@@ -55,7 +55,7 @@ def in_chunks(df: DataFrame, by: Sequence[str], chunk: str, order: Sequence[str]
     return joined.select(*df.columns, *[(F.col(n) + F.col(f"__base_{n}")).alias(n) for n in sums])
 
 
-def chunk_bits(rows: int, per_chunk: int = 50_000, least: int = 4, most: int = 20) -> int:
+def chunk_bits(rows: int, per_chunk: int = 20_000, least: int = 8, most: int = 22) -> int:
     """Bits of a hash that cut ``rows`` rows into chunks of about ``per_chunk``."""
     return max(least, min(most, (rows // per_chunk).bit_length()))
 

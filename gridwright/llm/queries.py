@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import quality_fm, quality_rules
 from .exact import exact_dedup
 from .mixture import curriculum
 from .packing import pack
@@ -37,6 +38,18 @@ def op1_simhash(t):
     return near_duplicates(t("documents"))
 
 
+@query("op3_quality_fm")
+def op3_quality_fm(t):
+    model = quality_fm.learn(t("documents"), t("labels"))
+    return quality_fm.score(t("documents"), model)
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(t):
+    model = quality_rules.learn(t("documents"), t("labels"))
+    return quality_rules.judge(t("documents"), model)
+
+
 def _secret_matches() -> str:
     kinds = [*((i, PATTERNS[k], 2 if k == "assign" else 0, LEAST[k]) for i, k in enumerate(KINDS)), (3, "[A-Za-z0-9_-]+", 0, CANDIDATE_LEAST)]
     return " UNION ALL ".join(
