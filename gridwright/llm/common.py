@@ -73,8 +73,11 @@ def hex_bits(digest: Column, bits: int) -> Column:
 def located(df: DataFrame) -> DataFrame:
     """``df`` with ``__file`` and ``__row``, where each row's content lies.
 
-    A table read from files is left there; any other is written to the shared folder first.
+    A table read from files is left there; any other is written to the shared folder first. One
+    that has both columns is returned as it is.
     """
+    if {"__file", "__row"} <= set(df.columns):
+        return df
     try:
         return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     except AnalysisException:
@@ -87,17 +90,17 @@ def fresh_dir(spark, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def without_rows(docs: DataFrame, dropped: DataFrame, keys: Mapping[str, Column]) -> DataFrame:
-    """``docs`` without the rows whose ``keys`` stand in ``dropped`` (a stored table with those columns).
+def at_row() -> list[Column]:
+    """A located row's file and number as two longs, for joins."""
+    return [F.xxhash64("__file").alias("__f"), F.col("__row").alias("__r")]
 
-    The side of dropped rows is broadcast when its counted rows fit ``BROADCAST_IDS``; else both
-    sides are shuffled.
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Located ``docs`` without the rows that ``dropped`` names by ``__file`` and ``__row``; gives back the plain columns.
+
+    The dropped rows are stored and counted: up to ``BROADCAST_IDS`` they are broadcast, else both sides are shuffled.
     """
-    side = dropped.select(*[F.col(k).alias(f"__drop_{k}") for k in keys])
-    if dropped.count() <= BROADCAST_IDS:
-        side = F.broadcast(side)
-    on = None
-    for k, c in keys.items():
-        same = c.eqNullSafe(F.col(f"__drop_{k}"))
-        on = same if on is None else on & same
-    return docs.join(side, on, "left_anti")
+    side = materialise(dropped.select(*at_row()))
+    side = F.broadcast(side) if side.count() <= BROADCAST_IDS else side
+    plain = [c for c in docs.columns if c not in ("__file", "__row")]
+    return docs.select("*", *at_row()).join(side, ["__f", "__r"], "left_anti").select(*[F.col(f"`{c}`") for c in plain])

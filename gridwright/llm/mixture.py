@@ -73,7 +73,7 @@ def curriculum(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), slopes: Sequ
     return out.select(
         F.col("__id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", F.size("__turns").alias("copies"),
         (F.size("__turns") * F.col("__size")).cast("long").alias("taken"), F.transform("__turns", position).alias("positions"),
-        *[F.col(f"__keep_{c}") for c in keep])
+        *[F.col(f"__keep_{c}").alias(c) for c in keep])
 
 
 def training_order(mixed: DataFrame) -> DataFrame:

@@ -117,28 +117,37 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, id_col:
     return fit(rows, np.array([r["good"] for r in got], dtype=np.float32))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", keep: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """Score every whole text in Arrow batches: the id, ``held_out``, ``score`` (0 to 1), ``predicted``.
 
     Inputs of the score are the text and the recorded length alone. Null or empty text is scored by
-    its structure; repeated rows get equal scores; ids may be null; empty table: no rows. Other columns
-    are not read, but those of ``keep`` are handed on under their names.
+    its structure; repeated rows get equal scores; ids may be null; empty table: no rows. Other
+    columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, own = WordHashes(), shared.value
         for batch in batches:
-            scores = [own.score(t.as_py() or b"", c, cache) for t, c in zip(batch.column("__text"), batch.column("__chars").to_pylist(), strict=True)]
-            kept = [i for i, n in enumerate(batch.schema.names) if n not in ("__text", "__chars")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(scores, pa.float64())],
-                                             names=[*[batch.schema.names[i] for i in kept], "__score"])
-
-    passed = docs.select(F.col(id_col).alias("__own_id"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
-    rows = docs.select(F.col(id_col).alias("__own_id"), *[F.col(c).alias(f"__keep_{c}") for c in keep],
-                       F.col(text_col).cast("string").cast("binary").alias("__text"), F.col(chars_col).cast("long").alias("__chars"))
-    schema = ", ".join(f"`{n}` {k}" for n, k in passed.dtypes) + ", __score double"
-    scored = rows.mapInArrow(scan, schema)
-    return scored.select(
-        F.col("__own_id").alias(id_col), *[F.col(f"__keep_{c}").alias(c) for c in keep if c != id_col],
-        (fold_of(F.col("__own_id")) == HELD_OUT).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+            scores = [own.score(t.as_py() or b"", c, cache) for t, c in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(chars_col).cast("long").alias("chars"))
+    scored = rows.mapInArrow(scan, f"id {dict(docs.dtypes)[id_col]}, score double")
+    return scored.select(F.col("id").alias(id_col), (fold_of(F.col("id")) == HELD_OUT).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least ``least``; scored as in ``score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_at, chars_at = docs.columns.index(text_col), docs.columns.index(chars_col)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, own = WordHashes(), shared.value
+        for batch in batches:
+            texts = batch.column(text_at).cast(pa.binary())
+            yield batch.filter(pa.array([own.score(t.as_py() or b"", c, cache) >= least
+                                         for t, c in zip(texts, batch.column(chars_at).to_pylist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)

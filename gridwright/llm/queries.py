@@ -14,6 +14,7 @@ from .secrets import CANDIDATE_LEAST, KINDS, LEAST, MARGIN, PATTERNS, STATES, fi
 from .shards import shard
 from .simhash import near_duplicates
 from .substrings import remove_repeats
+from .toolcalls import declared_tools, events_of, link
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +36,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_simhash")
 def op1_simhash(t):
-    return near_duplicates(t("documents"))
+    return near_duplicates(t("documents")).select("doc_id", "fingerprint", "component_id")
 
 
 @query("op3_quality_fm")
@@ -125,6 +126,31 @@ def op6_exact_dedup(t):
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+@query("op7_tool_calls", """
+    WITH a AS (SELECT conv_id AS conv, turn, 'c' || conv_id || '-' || turn AS id, ['search', 'fetch', 'convert'][len(text) % 3 + 1] AS name, len(text) AS n,
+            'c' || conv_id || '-' || (turn // 2) AS need, text FROM conversations WHERE role = 'assistant'),
+    r AS (SELECT conv_id AS conv, turn, 'c' || conv_id || '-' || (turn - 1) AS id, text FROM conversations WHERE role = 'user' AND turn > 0),
+    l0 AS (SELECT id, need FROM a WHERE turn // 2 < turn),
+    e AS (SELECT l0.id, l0.need FROM l0 JOIN a ON a.id = l0.need),
+    l AS (WITH RECURSIVE w(id, level) AS (SELECT id, 0 FROM a WHERE id NOT IN (SELECT id FROM e) UNION ALL
+            SELECT e.id, w.level + 1 FROM e JOIN w ON e.need = w.id) SELECT id, max(level) AS level FROM w GROUP BY id),
+    c AS (SELECT conv, turn, id, 'call' AS event, '{"arguments":{' || CASE WHEN n % 11 = 0 THEN '"Extra":{"a":null,"b":true},' ELSE '' END || '"after":["' || need || '"],'
+            || CASE WHEN n % 7 = 0 THEN '' WHEN n % 5 = 0 THEN '"limit":"' || (n % 50) || '",' ELSE '"limit":' || (n % 50) || ',' END
+            || '"query":' || to_json(substr(text, 1, 60))::VARCHAR || '},"id":"' || id || '","name":"' || name || '","type":"call"}' AS json,
+            CASE name WHEN 'convert' THEN 'unknown tool' ELSE array_to_string(list_sort(list_filter([
+              CASE WHEN n % 7 = 0 AND name = 'fetch' THEN 'missing limit' END, CASE WHEN n % 7 <> 0 AND n % 5 = 0 THEN 'type of limit' END,
+              CASE WHEN n % 11 = 0 AND name = 'search' THEN 'unknown Extra' END], lambda x: x IS NOT NULL)), ',') END AS problems FROM a),
+    v AS (SELECT conv, turn, id, event, json, problems, id IN (SELECT id FROM r) AS linked FROM c UNION ALL
+          SELECT conv, turn, id, 'result', '{"content":' || to_json(text)::VARCHAR || ',"id":"' || id || '","type":"result"}',
+            CASE WHEN id IN (SELECT id FROM a) THEN '' ELSE 'no call' END, id IN (SELECT id FROM a) FROM r)
+    SELECT conv, id, event, row_number() OVER (PARTITION BY conv ORDER BY coalesce(level, 1048576), turn, event, id, json) - 1 AS position, coalesce(level, -1) AS level, linked, problems, json
+    FROM v LEFT JOIN l USING (id)""")
+def op7_tool_calls(t):
+    talks = t("conversations")
+    linked = link(*events_of(talks), declared_tools(talks.sparkSession))
+    return linked.withColumn("level", F.coalesce("level", F.lit(-1)))
+
+
 @query("op8_packing")
 def op8_packing(t):
     return pack(t("documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +35,17 @@ def fingerprint(text: bytes) -> int:
     return sum(1 << b for b in range(64) if 2 * ones[b] > n)
 
 
-def with_fingerprint(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and ``fp`` (the fingerprint as a signed long) of every row; null text is empty."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``id``, the columns of ``keep`` and ``fp`` (the fingerprint as a signed long) of every row; null text is empty."""
+    kept = docs.select(F.col(id_col).cast("long").alias("id"), *keep)
+    rows = docs.select(F.col(text_col).cast("string").cast("binary").alias("__text"), F.col(id_col).cast("long").alias("id"), *keep)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py() or b"") for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["id", "fp"])
+            prints = np.array([fingerprint(t.as_py() or b"") for t in batch.column(0)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints.view(np.int64))], names=[*batch.schema.names[1:], "fp"])
 
-    return rows.mapInArrow(scan, "id long, fp long")
+    return rows.mapInArrow(scan, ", ".join(f"`{n}` {k}" for n, k in kept.dtypes) + ", fp long")
 
 
 def _half(fp: Column, half: int) -> Column:
@@ -90,7 +91,8 @@ def crowd_links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return stars.select(F.explode("all").alias("u"), F.array_min("all").alias("v")).filter("u <> v").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED,
+                    keep: Sequence[str] = ()) -> DataFrame:
     """Fingerprint and component of every document.
 
     Copies share a fingerprint and are one node. Crowds of fingerprints are joined first, so that
@@ -98,16 +100,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the work, never the result.
 
     Returns one row per input row: the id, ``fingerprint`` (16 hex digits) and ``component_id``, the
-    smallest id among all documents reached over links, itself included. Null or empty text has
+    smallest id among all documents reached over links, itself included, then ``component`` (a long that
+    names the component also where ids are null) and the columns of ``keep``. Null or empty text has
     fingerprint zero and is linked like any other. A null id never names a component unless all its
     ids are null. Repeated rows are kept. Empty table: no rows. Ids are integers; other columns are not read.
     """
-    rows = materialise(with_fingerprint(docs, id_col, text_col))
+    rows = materialise(with_fingerprint(docs, id_col, text_col, keep))
     nodes = materialise(rows.groupBy("fp").agg(F.min("id").alias("least")))
     crowds = components(crowd_links(nodes, crowded)).select(F.col("node").alias("fp"), "root")
     labelled = materialise(nodes.join(crowds, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("label")))
     roots = components(links(labelled)).select(F.col("node").alias("label"), "root")
     rooted = materialise(labelled.join(roots, "label", "left").select("fp", "least", F.coalesce("root", "label").alias("root")))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(names, "root").select("fp", "component_id", F.col("root").alias("component"))
+    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", *keep)
