@@ -10,7 +10,7 @@ from . import quality_fm, quality_rules
 from .exact import exact_dedup
 from .mixture import curriculum
 from .packing import pack
-from .secrets import CANDIDATE_LEAST, KINDS, LEAST, MARGIN, PATTERNS, STATES, find_secrets
+from .secrets import CANDIDATE_LEAST, KINDS, LEAN, LEAST, MARGIN, PATTERNS, STATES, find_secrets
 from .shards import shard
 from .simhash import near_duplicates
 from .substrings import remove_repeats
@@ -69,10 +69,15 @@ def _secret_matches() -> str:
           UNION ALL SELECT value, false FROM f WHERE kind = 3 AND regexp_full_match(value, '[A-Za-z_-]+')),
     p AS (SELECT r, substr(value, i, 2) AS pair, count(*) AS n FROM (SELECT r, value, unnest(range(1, len(value))) AS i FROM x) GROUP BY 1, 2),
     st AS (SELECT r, substr(pair, 1, 1) AS c, sum(n)::BIGINT AS n FROM p GROUP BY 1, 2),
+    sn AS (SELECT r, substr(pair, 2, 1) AS c, sum(n)::BIGINT AS n FROM p GROUP BY 1, 2),
+    tt AS (SELECT coalesce(sum(n) FILTER (r), 0)::BIGINT AS t1, coalesce(sum(n) FILTER (NOT r), 0)::BIGINT AS t0 FROM p),
     c AS (SELECT doc_id, a, z, substr(value, i, 2) AS pair FROM (SELECT *, unnest(range(1, len(value))) AS i FROM f WHERE kind = 3)),
-    l AS (SELECT pair, round(1000 * (ln((coalesce(p1.n, 0) + 1)::DOUBLE / (coalesce(s1.n, 0) + {STATES})) - ln((coalesce(p0.n, 0) + 1)::DOUBLE / (coalesce(s0.n, 0) + {STATES}))))::BIGINT AS llr
+    l AS (SELECT pair, round(1000 * (
+            ln((coalesce(p1.n, 0) + {LEAN} * ((coalesce(n1.n, 0) + 1)::DOUBLE / (t1 + {STATES}))) / (coalesce(s1.n, 0) + {LEAN}))
+            - ln((coalesce(p0.n, 0) + {LEAN} * ((coalesce(n0.n, 0) + 1)::DOUBLE / (t0 + {STATES}))) / (coalesce(s0.n, 0) + {LEAN}))))::BIGINT AS llr
           FROM (SELECT DISTINCT pair FROM c) q LEFT JOIN (SELECT pair, n FROM p WHERE r) p1 USING (pair) LEFT JOIN (SELECT pair, n FROM p WHERE NOT r) p0 USING (pair)
-          LEFT JOIN (SELECT c, n FROM st WHERE r) s1 ON s1.c = substr(pair, 1, 1) LEFT JOIN (SELECT c, n FROM st WHERE NOT r) s0 ON s0.c = substr(pair, 1, 1)),
+          LEFT JOIN (SELECT c, n FROM st WHERE r) s1 ON s1.c = substr(pair, 1, 1) LEFT JOIN (SELECT c, n FROM st WHERE NOT r) s0 ON s0.c = substr(pair, 1, 1)
+          LEFT JOIN (SELECT c, n FROM sn WHERE r) n1 ON n1.c = substr(pair, 2, 1) LEFT JOIN (SELECT c, n FROM sn WHERE NOT r) n0 ON n0.c = substr(pair, 2, 1), tt),
     k AS (SELECT doc_id, a, z FROM c JOIN l USING (pair) GROUP BY 1, 2, 3 HAVING sum(llr - {MARGIN}) > 0),
     y AS (SELECT doc_id, kind, a, z FROM f WHERE kind < 3 UNION ALL
           SELECT doc_id, 3, a, z FROM k WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = k.doc_id AND f.kind < 3 AND f.a < k.z AND k.a < f.z)),

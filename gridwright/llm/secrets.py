@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -28,6 +29,7 @@ CANDIDATE_LEAST = 16
 ORDINARY = "^[A-Za-z_-]+$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 STATES = len(ALPHABET) + 1
+LEAN = 8
 MARGIN = 300  # thousandths of a nat per character that the random model must lead by
 
 
@@ -80,17 +82,24 @@ def matched(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
 def train(samples: DataFrame) -> list[int]:
     """Log-likelihood ratios of character pairs in thousandths of a nat, from ``value`` and ``random`` (boolean).
 
-    One first-order model per class with one added to each count; at most 2 x 69 x 69 counts reach the driver.
+    One first-order model per class. A character's row leans on the class's single characters with
+    the weight of ``LEAN`` pairs, and these have one added to each count. At most 2 x 69 x 69 counts
+    reach the driver.
     """
     codes = _codes(F.col("value"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.get("c", i) * STATES + F.get("c", i + 1))
     counts = (samples.select("random", codes.alias("c")).filter(F.size("c") > 1).select("random", F.explode(pairs).alias("pair"))
               .groupBy("random", "pair").count().collect())
-    seen = {(r["random"], r["pair"]): r["count"] for r in counts}
-    starts = {(c, a): sum(seen.get((c, a * STATES + b), 0) for b in range(STATES)) for c in (True, False) for a in range(STATES)}
+    seen, firsts, seconds, total = Counter(), Counter(), Counter(), Counter()
+    for r in counts:
+        seen[r["random"], r["pair"]] += r["count"]
+        firsts[r["random"], r["pair"] // STATES] += r["count"]
+        seconds[r["random"], r["pair"] % STATES] += r["count"]
+        total[r["random"]] += r["count"]
 
     def log(c: bool, pair: int) -> float:
-        return math.log((seen.get((c, pair), 0) + 1) / (starts[c, pair // STATES] + STATES))
+        alone = (seconds[c, pair % STATES] + 1) / (total[c] + STATES)
+        return math.log((seen[c, pair] + LEAN * alone) / (firsts[c, pair // STATES] + LEAN))
 
     return [round(1000 * (log(True, p) - log(False, p))) for p in range(STATES * STATES)]
 
