@@ -101,10 +101,30 @@ def quoted(v: Column) -> Column:
     return F.when(bare.rlike(r"[ ,]") & ~bare.rlike(r"^\[.*\]$"), F.concat(F.lit('"'), bare, F.lit('"'))).otherwise(bare)
 
 
+# stands for a delimiter while quoted text is set apart; a real one is read as a replacement character
+_CUT = "\x01"
+
+
+def split_quoted(v: Column, delimiter: str = ",") -> Column:
+    """Split at delimiters outside double quotes, in time linear in the text; quotes stay.
+
+    Every second piece between quotes is quoted text. With an odd number of quotes they are plain characters.
+    """
+    parts = F.split(F.translate(v, _CUT, "\ufffd"), '"')
+    cut = F.array_join(F.transform(parts, lambda s, i: F.when(i % 2 == 0, F.replace(s, F.lit(delimiter), F.lit(_CUT))).otherwise(s)), '"')
+    loose = F.replace(F.translate(v, _CUT, "\ufffd"), F.lit(delimiter), F.lit(_CUT))
+    return F.split(F.when(F.size(parts) % 2 == 1, cut).otherwise(loose), _CUT)
+
+
+def unquoted(cell: Column) -> Column:
+    """A wholly quoted cell without its quotes, doubled quotes as one."""
+    bare = F.replace(F.regexp_replace(F.regexp_replace(cell, r'^\s*"', ""), r'"\s*$', ""), F.lit('""'), F.lit('"'))
+    return F.when(F.trim(cell).startswith('"') & F.trim(cell).endswith('"') & (F.length(F.trim(cell)) > 1), bare).otherwise(cell)
+
+
 def value_list(v: Column) -> Column:
     """Comma list to array; commas inside double quotes do not split."""
-    pieces = F.split(v, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(pieces, lambda x: F.trim(x))
+    return F.transform(split_quoted(v), lambda x: F.trim(x))
 
 
 def sorted_list_text(v: Column) -> Column:

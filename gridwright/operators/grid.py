@@ -110,6 +110,7 @@ def file_properties(grid: DataFrame, delimiter: str = " ") -> DataFrame:
 # Words that mark summary rows and table notes.
 TOTAL_WORDS = ("total", "all", "sum", "overall", "national", "combined", "whole", "entire", "grand")
 NOTE_WORDS = ("table", "figure", "year:", "note", "source", "(number", "unnamed:")
+FOOTER_MARKS = ("source", "note", "data from", "footnote", "*", "†", "‡")
 
 
 def _has_word(text: Column, words: Sequence[str]) -> Column:
@@ -144,12 +145,15 @@ def header_row_count(grid: DataFrame, most: int = 5, notes: Sequence[str] = NOTE
     return head.groupBy("file").agg(F.greatest(first_body - 1, F.lit(1)).alias("header_rows"))
 
 
-def footer_start(grid: DataFrame, last: int = 20, keywords: Sequence[str] = ("source", "note", "footnote", "copyright"), share: float = 0.3) -> DataFrame:
-    """First footer row among the last rows of each file: a keyword or far fewer filled cells than usual."""
+def footer_start(grid: DataFrame, last: int = 20, keywords: Sequence[str] = FOOTER_MARKS, share: float = 0.3, header_rows: int = 0) -> DataFrame:
+    """First footer row among the last rows of each file: a mark in the first cell, or far fewer filled cells
+    than the mean of the rows between the header and those last rows."""
     sized = grid.withColumn("_f", _filled(F.col("cells")))
-    stats = sized.groupBy("file").agg(F.max("row_no").alias("_n"), F.avg("_f").alias("_m"))
+    ends = sized.groupBy("file").agg(F.max("row_no").alias("_n"))
+    body = sized.join(ends, "file").filter((F.col("row_no") > header_rows) & (F.col("row_no") <= F.col("_n") - last))
+    stats = ends.join(body.groupBy("file").agg(F.avg("_f").alias("_m")), "file", "left").withColumn("_m", F.coalesce("_m", F.lit(0.0)))
     word = _has_word(F.trim(F.get("cells", F.lit(0))), keywords)
-    tail = sized.join(stats, "file").filter(F.col("row_no") > F.col("_n") - last)
+    tail = sized.join(stats, "file").filter((F.col("row_no") > F.col("_n") - last) & (F.col("row_no") > header_rows))
     return tail.filter(word | (F.col("_f") < F.col("_m") * share)).groupBy("file").agg(F.min("row_no").alias("footer_row"))
 
 

@@ -39,6 +39,7 @@ class PvSchema:
         made = {g for r in self.rules.get("#Regex", ()) for g in _GROUP.findall(r)}
         for name in ("#Format", "#Eval"):
             made |= {r.split("=", 1)[0].strip() for r in self.rules.get(name, ()) if "=" in r}
+        made |= {r.split(":=", 1)[0].strip() for n, rules in self.rules.items() if n.startswith("#Filter") for r in rules if ":=" in r}
         return tuple(sorted(set(self.props) | {p for p in made if p != "Data"}))
 
 
@@ -205,8 +206,9 @@ def substring_lookup(strings: DataFrame, pv_map: DataFrame, keys: Sequence[str],
 
 
 def find_properties(strings: DataFrame, pv_map: DataFrame, schema: PvSchema, keys: Sequence[str] = ("header", "value"),
-                    delimiter: str = " ", word_boundary: bool = True, table: DataFrame | None = None) -> DataFrame:
-    """Exact key, else phrases (substrings for very wordy text), one row per string that hits."""
+                    delimiter: str = " ", word_boundary: bool = True, table: DataFrame | None = None,
+                    substrings: bool = False) -> DataFrame:
+    """Exact key, else phrases (with ``substrings``, keys anywhere in the text), one row per string that hits."""
     table = bounded(with_default_namespace(pv_map)) if table is None else table
     exact = materialise(exact_lookup(strings, pv_map, schema, keys, table=table).select(*keys, "props", F.array("matched").alias("matched")))
     if not delimiter:
@@ -217,11 +219,9 @@ def find_properties(strings: DataFrame, pv_map: DataFrame, schema: PvSchema, key
     for k in keys:
         cond = cond & many[k].eqNullSafe(exact[k])
     rest = many.join(exact, cond, "left_anti")
-    wordy = F.lit(schema.n_pairs) < F.pow(F.greatest(n_words - F.lit(schema.max_words), F.lit(0)), F.lit(2))
-    out = exact.unionByName(phrase_lookup(rest.filter(~wordy), pv_map, schema, keys, delimiter=delimiter, table=table))
-    if many.filter(wordy).limit(1).count():
-        out = out.unionByName(substring_lookup(rest.filter(wordy), pv_map, keys, word_boundary=word_boundary))
-    return out
+    if not substrings:
+        return exact.unionByName(phrase_lookup(rest, pv_map, schema, keys, delimiter=delimiter, table=table))
+    return exact.unionByName(substring_lookup(rest, pv_map, keys, word_boundary=word_boundary))
 
 
 def positional_keys(row: Column, col: Column) -> Column:

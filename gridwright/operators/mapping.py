@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from difflib import SequenceMatcher
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import normalize_value
-from .scale import bounded, first_rows, fits
+from .scale import bounded, first_rows
 
 
 def compare_maps(truth: DataFrame, generated: DataFrame, normalise: bool = False, ignore_directives: bool = False) -> DataFrame:
@@ -48,47 +46,45 @@ def mapping_metrics(compared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         "pv_accuracy": pct(m, m + o + d), "precision": pct(m + o, m + o + a), "recall": pct(m, m + o + d)})
 
 
-def _squeeze(name: str) -> str:
-    return name.lower().replace("_", "").replace("-", "")
-
-
-def _likeness(a: str, b: str) -> float:
-    if a in b or b in a:
-        return 0.5 if min(len(a), len(b)) / max(len(a), len(b), 1) < 0.5 else 0.9
-    return SequenceMatcher(None, a, b).ratio()
+def _squeeze(name: str) -> Column:
+    return F.translate(F.lower(F.col(name)), "_-", "")
 
 
 def match_run_names(names: DataFrame, benchmark: DataFrame, overrides: DataFrame | None = None, excluded: DataFrame | None = None,
-                    threshold: float = 0.6, most: int = 10_000) -> DataFrame:
+                    threshold: float = 0.6, without_shared_word: float = 0.75) -> DataFrame:
     """Best benchmark name per run name: ``name, match, score``.
 
-    Overrides come first and excluded names are left out. The benchmark list is small and checked;
-    it is sent to the tasks, each of which scores its names. A fuzzy match of several words must share one.
+    Overrides come first and excluded names are left out. Names are compared in lower case without
+    ``_`` and ``-``: one inside the other scores 0.9 (0.5 if under half as long), others one less their edit
+    distance over the longer length. The best match (least name on ties) must reach ``threshold``, and
+    ``without_shared_word`` where no ``_``-separated word is shared. Pairs meet by pairs of letters: at
+    a threshold of one half or more, likely names always share enough of them, so no pair is lost.
     """
+    if threshold < 0.5:
+        raise ValueError("threshold must be at least 0.5")
     todo = names.select(F.col(names.columns[0]).alias("name")).distinct()
     if excluded is not None:
         todo = todo.join(bounded(excluded.select(F.col(excluded.columns[0]).alias("name"))), "name", "left_anti")
     bench = benchmark.select(F.col(benchmark.columns[0]).alias("match")).distinct()
-    if not fits(bench, most):
-        raise ValueError(f"more than {most} benchmark names; match them by key instead")
     fixed = None
     if overrides is not None:
         fixed = todo.join(bounded(overrides.select(F.col(overrides.columns[0]).alias("name"), F.col(overrides.columns[1]).alias("match"))), "name").join(
             bench, "match", "left_semi").select("name", "match", F.lit(1.0).alias("score"))
         todo = todo.join(fixed.select("name"), "name", "left_anti")
-    targets = sorted(r["match"] for r in bench.collect())
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        clean = [(t, _squeeze(t)) for t in targets]
-        for pdf in batches:
-            rows = []
-            for name in pdf["name"]:
-                score, match = max(((_likeness(_squeeze(name), c), t) for t, c in clean), key=lambda x: x[0], default=(0.0, None))
-                if score >= threshold:
-                    rows.append((name, match, float(score)))
-            yield pd.DataFrame(rows, columns=["name", "match", "score"])
-
-    found = todo.mapInPandas(best, "name string, match string, score double")
+
+    def grams(df: DataFrame, name: str, form: str) -> DataFrame:
+        padded = F.concat(F.lit("^"), F.col(form), F.lit("$"))
+        pairs = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substr(padded, i, F.lit(2)))
+        return df.withColumn(form, _squeeze(name)).filter(F.length(form) > 0).select(name, form, F.explode(F.array_distinct(pairs)).alias("gram"))
+
+    met = grams(todo, "name", "a").join(grams(bench, "match", "b"), "gram").select("name", "match", "a", "b").distinct()
+    shorter, longer = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
+    inside = F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a"))
+    score = F.when(inside, F.when(shorter / longer < 0.5, 0.5).otherwise(0.9)).otherwise(1 - F.levenshtein("a", "b") / longer)
+    shared = F.arrays_overlap(F.split(F.lower("name"), "_"), F.split(F.lower("match"), "_"))
+    best = met.select("name", F.struct((-score).alias("s"), "match", shared.alias("shared")).alias("x")).groupBy("name").agg(F.min("x").alias("x"))
+    found = best.select("name", "x.match", (-F.col("x.s")).alias("score"), "x.shared").filter(
+        (F.col("score") >= threshold) & (F.col("shared") | (F.col("score") >= without_shared_word))).drop("shared")
     return found if fixed is None else found.unionByName(fixed)
 
 

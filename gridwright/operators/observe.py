@@ -17,6 +17,7 @@ VARIABLE_DEFAULTS = {"typeOf": "dcs:StatisticalVariable", "statType": "dcs:measu
 REQUIRED_VARIABLE = ("measuredProperty", "populationType")
 REQUIRED_OBS = ("variableMeasured", "observationAbout", "observationDate", "value")
 KEY_IGNORED = ("value", "measurementResult")
+AGGREGATES = ("sum", "min", "max", "mean", "first", "last")
 
 
 def split_properties(props: Sequence[str], output_columns: Sequence[str] = ()) -> tuple[list[str], list[str]]:
@@ -75,6 +76,14 @@ def drop_flagged(variables: DataFrame, conflicts: DataFrame) -> DataFrame:
     return variables.join(flagged, "dcid", "left_anti")
 
 
+def aggregate_method(method: Column, how: Column, merged: Column, default_method: str = "Aggregate", method_prefix: str = "dcAggregate/") -> Column:
+    """Measurement method of a combined value: its own, marked if several rows were merged."""
+    bare = strip_namespace(method)
+    return (F.when(~merged, F.nullif(method, F.lit(""))).when(bare == "", F.lit(f"dcs:{default_method}"))
+            .when(bare.startswith(method_prefix) | (bare == default_method) | how.isin("first", "last"), method)
+            .otherwise(F.concat(F.lit(f"dcs:{method_prefix}"), bare)))
+
+
 def aggregate_duplicates(obs: DataFrame, key: Sequence[str], how: str, value: str = "value", order: Sequence[str] = ("ord",),
                          method: str = "measurementMethod", default_method: str = "Aggregate", method_prefix: str = "dcAggregate/") -> DataFrame:
     """Sum, min, max, mean, first, last or list of the values per key, marking keys that merged rows.
@@ -93,11 +102,7 @@ def aggregate_duplicates(obs: DataFrame, key: Sequence[str], how: str, value: st
         aggs.append(F.min_by(F.coalesce(F.col(method), F.lit("")), F.struct(*order)).alias("_m"))
     out = obs.groupBy(*key).agg(*aggs)
     merged = F.col("n_rows") > 1
-    bare = strip_namespace(F.col("_m")) if has_method else F.lit("")
-    marked = (F.when(~merged, F.nullif(F.col("_m"), F.lit("")) if has_method else F.lit(None).cast("string"))
-              .when(bare == "", F.lit(f"dcs:{default_method}"))
-              .when(bare.startswith(method_prefix) | (bare == default_method) | F.lit(how in ("first", "last")), F.col("_m") if has_method else F.lit(""))
-              .otherwise(F.concat(F.lit(f"dcs:{method_prefix}"), bare)))
+    marked = aggregate_method(F.col("_m") if has_method else F.lit(""), F.lit(how), merged, default_method, method_prefix)
     if method not in key:
         out = out.withColumn(method, marked)
     if how == "mean":
@@ -105,21 +110,18 @@ def aggregate_duplicates(obs: DataFrame, key: Sequence[str], how: str, value: st
     return out.drop("_m")
 
 
-def list_text(listed: DataFrame, key: Sequence[str], value: str = "value", most: int = 100_000) -> DataFrame:
-    """Comma text of short lists; raises on a key with more than ``most`` values rather than cutting it."""
-    sizes = listed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    checked = listed.join(sizes, list(key)).filter(F.when(F.col("_n") <= most, F.lit(True)).otherwise(
-        F.raise_error(F.lit("list too long for one cell; use the long form")).cast("boolean")))
+def list_text(listed: DataFrame, key: Sequence[str], value: str = "value") -> DataFrame:
+    """Comma text of the lists, one cell per key; the long form that goes in suits keys with very many values."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("value_no", F.col(value).alias("v")))), lambda s: number_text(s["v"], 10)), ",")
-    return checked.groupBy(*key).agg(text.alias(value))
+    return listed.groupBy(*key).agg(text.alias(value))
 
 
 def merge_keyed(rows: DataFrame, key: Sequence[str], how: dict[str, str], default: str = "sum", order: Sequence[str] = ("ord",),
-                count_of: dict[str, str] | None = None, most: int = 100_000) -> DataFrame:
+                count_of: dict[str, str] | None = None) -> DataFrame:
     """Per-column merge of rows with the same key. Text columns turn sum and mean into a list.
 
     ``count_of`` names the weight column of a mean. Lists are sorted unique values joined by
-    commas; they are made distinct first and must not exceed ``most`` values, see :func:`listed_values`.
+    commas; they are made distinct, combined per task, before a cell is built. :func:`listed_values` is their long form.
     """
     types = dict(rows.dtypes)
     aggs: list[Column] = []
@@ -143,12 +145,13 @@ def merge_keyed(rows: DataFrame, key: Sequence[str], how: dict[str, str], defaul
         aggs.append(expr.alias(c))
     out = rows.groupBy(*key).agg(*aggs) if aggs else rows.select(*key).distinct()
     for c, mode in lists:
-        items = listed_values(rows, key, c)
-        sizes = items.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-        ok = F.when(F.col("_n") <= most, F.lit(True)).otherwise(F.raise_error(F.lit("list too long for one cell; use listed_values")).cast("boolean"))
         array = F.array_sort(F.collect_list("item"))
-        one = items.join(sizes, list(key)).filter(ok).groupBy(*key).agg((F.array_join(array, ",") if mode == "list" else array).alias(c))
-        out = out.join(one, list(key), "left")
+        one = listed_values(rows, key, c).groupBy(*key).agg((F.array_join(array, ",") if mode == "list" else array).alias(c))
+        one = one.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], c)
+        same = F.lit(True)
+        for i, k in enumerate(key):  # a null key is a key
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        out = out.join(one, same, "left").drop(*[f"_k{i}" for i in range(len(key))])
     return out.select(*key, *merged)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import add_namespace, is_place_id, strip_namespace
 from .match import gram_match
 from .scale import bounded
+from ..session import materialise
 
 
 def contained_edges(places: DataFrame) -> DataFrame:
@@ -17,15 +18,21 @@ def contained_edges(places: DataFrame) -> DataFrame:
         "node", strip_namespace(F.col("parent")).alias("parent")).distinct()
 
 
-def closure(edges: DataFrame, levels: int = 7) -> DataFrame:
-    """All ancestors: ``node, ancestor, level`` with the smallest level, found level by level."""
-    step = edges.select("node", F.col("parent").alias("ancestor"))
-    out = step.withColumn("level", F.lit(1))
-    up = edges.select(F.col("node").alias("ancestor"), F.col("parent").alias("_next"))
-    for level in range(2, levels + 1):
-        step = step.join(up, "ancestor").select("node", F.col("_next").alias("ancestor")).distinct()
+def closure(edges: DataFrame) -> DataFrame:
+    """All ancestors: ``node, ancestor, level`` with the smallest level.
+
+    Each round adds the pairs one level further up that aren't known yet, until there are none, so
+    any depth and any cycle is closed. A round ends in a stored table.
+    """
+    pairs = materialise(edges.select("node", F.col("parent").alias("ancestor")).distinct())
+    up = pairs.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_next"))
+    out, step, level = pairs.withColumn("level", F.lit(1)), pairs, 1
+    while step.head(1):
+        level += 1
+        further = step.join(up, "ancestor").select("node", F.col("_next").alias("ancestor")).distinct()
+        step = materialise(further.join(out, ["node", "ancestor"], "left_anti"))
         out = out.unionByName(step.withColumn("level", F.lit(level)))
-    return out.groupBy("node", "ancestor").agg(F.min("level").alias("level"))
+    return out
 
 
 def ranked_parents(edges: DataFrame, types: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -136,8 +143,9 @@ def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     return F.pmod(F.size(F.filter(edges, crosses)), F.lit(2)) == 1
 
 
-def containing_areas(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat", cell: float = 5.0) -> DataFrame:
-    """Areas (``area, ring``) around each point.
+def containing_areas(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat", cell: float = 5.0,
+                     keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Areas (``area, ring``) around each point. ``keep`` filters the found rows (a user's own rule for areas).
 
     Polygons are listed under every grid cell their box touches and met by the point's cell in an
     equi-join; the ring test runs on those candidates only.
@@ -149,4 +157,5 @@ def containing_areas(points: DataFrame, polygons: DataFrame, lon: str = "lon", l
     near = located.join(bounded(cells), ["_cx", "_cy"])
     inside = (F.col(lon) >= F.col("x0")) & (F.col(lon) <= F.col("x1")) & (F.col(lat) >= F.col("y0")) & (F.col(lat) <= F.col("y1"))
     hit = near.filter(inside & in_ring(F.col(lon), F.col(lat), F.col("ring")))
-    return hit.select(*[c for c in points.columns], "area")
+    found = hit.select(*[c for c in points.columns], "area")
+    return keep(found) if keep else found

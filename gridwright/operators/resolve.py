@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.props import valid_sql
 from .lookup import PvSchema
+from .scale import settle
 
 _FIELD = re.compile(r"\{@?(\w+)(?::([^}]*))?\}")
 
@@ -21,31 +22,47 @@ def prop(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def chain_length(references: Mapping[str, frozenset[str]], limit: int = 8) -> int:
-    """Longest chain of references between properties; cycles are cut at ``limit``."""
-    def depth(p: str, seen: frozenset[str]) -> int:
-        nexts = [r for r in references.get(p, ()) if r not in seen]
-        return 1 + max((depth(r, seen | {r}) for r in nexts), default=0) if p in references else 0
-
-    return min(limit, max((depth(p, frozenset({p})) for p in references), default=0))
+def reference_levels(references: Mapping[str, frozenset[str]]) -> list[list[str]]:
+    """Properties in the order in which they are substituted: each after those it refers to.
+
+    Properties that refer to each other in a ring have no such order; they come together once for
+    each of them, which carries a value all the way round.
+    """
+    open_ = {p: {r for r in refs if r in references and r != p} for p, refs in references.items()}
+    levels: list[list[str]] = []
+    while open_:
+        ready = sorted(p for p, refs in open_.items() if not refs & open_.keys())
+        if not ready:  # the ring, or rings, that all others wait for
+            reach = {p: set(refs) & open_.keys() for p, refs in open_.items()}
+            for _ in reach:
+                reach = {p: refs | {n for r in refs for n in reach[r]} for p, refs in reach.items()}
+            ready = sorted(p for p in open_ if p in reach[p] and all(p in reach[r] for r in reach[p]))
+            levels += [ready] * (len(ready) - 1)
+        levels.append(ready)
+        for p in ready:
+            del open_[p]
+    return levels
 
 
 def substitute(df: DataFrame, references: Mapping[str, frozenset[str]]) -> DataFrame:
-    """Replace ``@X``, ``{X}`` and ``{@X}`` by the column ``X`` where that is resolved."""
+    """Replace ``@X``, ``{X}`` and ``{@X}`` by the column ``X`` where that is resolved; chains of any length.
+
+    Long chains are settled after every level, so that a level's expressions aren't copied into the next.
+    """
     present = set(df.columns)
-    for _ in range(chain_length(references)):
+    levels = reference_levels({p: refs for p, refs in references.items() if p in present})
+    for number, level in enumerate(levels):
         changed = {}
-        for p, refs in references.items():
-            if p not in present:
-                continue
+        for p in level:
             text = f"`{p}`"
             # an unresolved reference is replaced by itself, so the expression grows by one step per reference
-            for r in sorted((r for r in refs if r in present), key=lambda r: (-len(r), r)):
+            for r in sorted((r for r in references[p] if r in present), key=lambda r: (-len(r), r)):
                 for form in ("{%s}" % r, "{@%s}" % r, "@%s" % r):
                     text = f"replace({text}, '{form}', CASE WHEN {valid_sql(r)} THEN `{r}` ELSE '{form}' END)"
             changed[p] = F.expr(text)
-        if changed:
-            df = df.withColumns(changed)
+        df = df.withColumns(changed)
+        if len(levels) > 3 and number < len(levels) - 1:
+            df = settle(df)
     return df
 
 
@@ -112,14 +129,25 @@ def apply_expressions(df: DataFrame, expressions: Sequence[str], rule: str = "#E
     return df.withColumns({t: F.coalesce(*o, *([prop(t)] if t in df.columns else [])) for t, o in made.items()}) if made else df
 
 
+_ASSIGN = re.compile(r"^\s*([A-Za-z]\w*)\s*:=\s*(.+)$", re.S)
+
+
 def apply_filters(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFrame:
-    """``#Filter…``: each rule is a SQL predicate; a null result keeps the row."""
-    keep = F.lit(True)
+    """``#Filter…``: each rule is a SQL predicate (a null result keeps the row), or ``prop := <expression>``.
+
+    An assignment sets the property where its value is not null and always keeps the row.
+    """
+    keep, made = F.lit(True), {}
     for name, texts in rules.items():
         if name.startswith("#Filter") and name in df.columns:
             for text in texts:
-                keep = keep & F.coalesce(F.when(prop(name) == text, F.expr(text)), F.lit(True))
-    return df.filter(keep)
+                assigned = _ASSIGN.match(text)
+                if assigned:
+                    made.setdefault(assigned.group(1), []).append(F.when(prop(name) == text, F.expr(assigned.group(2)).cast("string")))
+                else:
+                    keep = keep & F.coalesce(F.when(prop(name) == text, F.expr(text)), F.lit(True))
+    kept = df.filter(keep)
+    return kept.withColumns({t: F.coalesce(*o, *([prop(t)] if t in df.columns else [])) for t, o in made.items()}) if made else kept
 
 
 def process(df: DataFrame, schema: PvSchema) -> DataFrame:

@@ -43,12 +43,12 @@ def covering_rows(df: DataFrame, ids: Sequence[str], categorical: Sequence[str],
 
 
 def coverage_sample(df: DataFrame, ids: Sequence[str], categorical: Sequence[str], numeric: Sequence[str] = (), ranges: DataFrame | None = None,
-                    whole_below: int = 40, fill_to: int = 80, seed: int = 42) -> DataFrame:
+                    whole_below: int | None = None, fill_to: int = 80, seed: int = 42) -> DataFrame:
     """A row for every categorical value and numeric range, filled up at random to ``fill_to`` rows.
 
-    Tables of at most ``whole_below`` rows are returned whole.
+    With ``whole_below``, tables of at most that many rows are returned whole.
     """
-    if df.limit(whole_below + 1).count() <= whole_below:
+    if whole_below is not None and df.limit(whole_below + 1).count() <= whole_below:
         return df
     chosen = materialise(covering_rows(df, ids, categorical, numeric, ranges, seed))
     covered = df.join(bounded(chosen), list(ids), "left_semi")

@@ -14,10 +14,8 @@ BROADCAST_BYTES = 64 << 20
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Count at most ``max_rows + 1`` rows of ``df`` and their text size."""
-    row = (df.limit(max_rows + 1)
-           .agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).alias("b"))
-           .first())
+    """Count the rows of ``df`` and their text size; every task sends one row of counts."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).alias("b")).first()
     return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 
@@ -40,10 +38,9 @@ def localised(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BR
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a table that is read in fewer pieces than the cluster has cores, before costly
-    row-wise work such as tokenising long texts. Tables of many files or splits are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows evenly before costly row-wise work such as tokenising long texts: few pieces become
+    many, and adaptive execution chooses how many. No job runs while the plan is built."""
+    return df.repartition(*keys) if keys else df.hint("rebalance")
 
 
 def settle(df: DataFrame) -> DataFrame:

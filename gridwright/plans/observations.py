@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ids
 from ..functions.dates import period_of, resolve_date
 from ..functions.numbers import parse_number
-from ..functions.props import valid_column, valid_value
+from ..functions.props import overlay_all, valid_column, valid_value
 from ..functions.text import add_namespace, strip_namespace
 from ..operators import grid as g, observe, resolve
 from ..operators.lookup import PvSchema, find_properties, pv_schema, with_default_namespace, ANY, effective_namespace
+from ..operators.nodes import reuse_existing
 from ..operators.resolve import prop
 from ..operators.scale import bounded, localised, settle
 from ..session import materialise
+from ..sources.pvmaps import config_rows
 
 ROW_KEYS = ("file", "row_no", "col_no")
 
@@ -36,6 +38,7 @@ class GridOptions:
     max_rows: int | None = None
     max_columns: int | None = None
     word_delimiter: str = " "
+    substrings: bool = False
     word_boundary: bool = True
     merged_cells: int | None = None
     decimal: str = "."
@@ -50,13 +53,91 @@ class GridOptions:
     boolean_props: Sequence[str] = ()
     affixes: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
     carry_bucket: int = 20_000
+    resolve_duplicates: bool = True
+    unused_variables: bool = False
+    default_pv_key: str = "DEFAULT_PV"
+    hook: Callable[[DataFrame], DataFrame] | None = None
 
 
 @dataclass(frozen=True)
 class Result:
+    """``dropped``: observations that lack a required column. ``rejects``: every lost cell or observation with its
+    ``stage`` and ``reason``. ``conflicts``: keys that had different values."""
+
     observations: DataFrame
     variables: DataFrame
     dropped: DataFrame
+    rejects: DataFrame
+    conflicts: DataFrame | None = None
+
+    def counters(self) -> DataFrame:
+        return observe.count_reasons(self.rejects)
+
+
+def with_config_rows(options: GridOptions, pv_map: DataFrame) -> GridOptions:
+    """Options overridden by the map's own ``config:`` rows (a few rows of text)."""
+    kinds = {f.name: f for f in fields(GridOptions)}
+    changed = {}
+    for r in config_rows(pv_map).collect():
+        if r["option"] not in kinds:
+            continue
+        was = getattr(options, r["option"])
+        text = r["value"].strip()
+        if isinstance(was, bool):
+            changed[r["option"]] = text.lower() in ("true", "yes", "1")
+        elif isinstance(was, int) or "int" in str(kinds[r["option"]].type):
+            changed[r["option"]] = int(text)
+        elif isinstance(was, str) or "str |" in str(kinds[r["option"]].type):
+            changed[r["option"]] = text
+        elif "Sequence[str]" in str(kinds[r["option"]].type):
+            changed[r["option"]] = tuple(x.strip() for x in text.split(",") if x.strip())
+    return replace(options, **changed)
+
+
+def file_level_properties(grid: DataFrame, pv_map: DataFrame, schema: PvSchema, options: GridOptions, table: DataFrame) -> DataFrame:
+    """``file, file_props``: what the map says about the file's name, over its default entry."""
+    named = g.file_properties(grid, options.word_delimiter)
+    hits = find_properties(named.select("header", "value").distinct(), pv_map, schema, delimiter=options.word_delimiter, table=table).select("value", "props")
+    default = table.filter((F.col("namespace") == ANY) & (F.col("key") == options.default_pv_key)).select(F.lit(1).alias("_one"), F.col("props").alias("_default"))
+    joined = named.join(hits, "value", "left").withColumn("_one", F.lit(1)).join(F.broadcast(default), "_one", "left")  # one row at most
+    return joined.select("file", overlay_all(F.array_compact(F.array("_default", "props"))).alias("file_props")).filter(F.size("file_props") > 0)
+
+
+def ignored_reason(wide: DataFrame) -> Column:
+    """Why a cell is left out by its ``#IgnoreRow`` or ``#ignore``; null for the others."""
+    reason = F.lit(None).cast("string")
+    if "#ignore" in wide.columns:
+        reason = F.when(prop("#ignore").isNotNull(), "#ignore")
+    if "#IgnoreRow" in wide.columns:
+        reason = F.when(F.coalesce(F.lower(prop("#IgnoreRow")).isin("true", "yes", "1"), F.lit(False)), "#IgnoreRow").otherwise(reason)
+    return reason
+
+
+def merge_duplicates(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per observation key, and the keys with different values, in one aggregate combined per task.
+
+    Rows that carry ``#Aggregate`` are combined by its method, whatever their measurement method; the others must agree.
+    """
+    key = observe.obs_key_columns(obs, ["#Aggregate", "measurementMethod"])
+    columns = [c for c in obs.columns if c != "#Aggregate"]
+    others = [c for c in columns if c not in key]
+    how = F.lower(F.coalesce(F.col("`#Aggregate`"), F.lit(""))) if "#Aggregate" in obs.columns else F.lit("")
+    tagged = obs.withColumn("_how", F.when(how.isin(*observe.AGGREGATES), how).otherwise(""))
+    method = F.col("measurementMethod") if "measurementMethod" in columns else F.lit(None).cast("string")
+    grouped = tagged.groupBy(*key, "_how", F.when(F.col("_how") == "", method).alias("_method")).agg(
+        F.min_by(F.struct(*others), "ord").alias("_first"), F.max_by("value", "ord").alias("_last"), F.sum("value").alias("_sum"),
+        F.avg("value").alias("_mean"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.count(F.lit(1)).alias("n_rows"))
+    chosen = F.col("_first.value")
+    for name, column in (("sum", "_sum"), ("mean", "_mean"), ("min", "min_value"), ("max", "max_value"), ("last", "_last")):
+        chosen = F.when(F.col("_how") == name, F.col(column)).otherwise(chosen)
+    made = {"value": chosen}
+    if "measurementMethod" in columns:
+        marked = observe.aggregate_method(F.coalesce("_first.measurementMethod", F.lit("")), F.col("_how"), F.col("n_rows") > 1)
+        made["measurementMethod"] = F.when(F.col("_how") == "", F.col("_first.measurementMethod")).otherwise(marked)
+    agree = (F.col("_how") != "") | F.col("min_value").eqNullSafe(F.col("max_value"))
+    good = grouped.filter(agree).select(*[(made[c] if c in made else F.col(f"_first.`{c}`") if c in others else prop(c)).alias(c) for c in columns])
+    names = [F.col("_method").alias("measurementMethod")] if "measurementMethod" in columns else []
+    return good, grouped.filter(~agree).select(*[prop(k) for k in key], *names, "n_rows", "min_value", "max_value")
 
 
 def attach_properties(cells: DataFrame, pv_map: DataFrame, schema: PvSchema, options: GridOptions, table: DataFrame,
@@ -89,19 +170,19 @@ def attach_properties(cells: DataFrame, pv_map: DataFrame, schema: PvSchema, opt
     # one pass collects the distinct texts; everything the searches do afterwards reads that table
     rest = tagged.filter(~F.col("_plain") & F.col("_want")).select(F.col("_h").alias("header"), "value").distinct()
     strings = materialise(rest.withColumn("header", F.nullif(F.col("header"), F.lit(""))))
-    hits = find_properties(strings, pv_map, schema, delimiter=options.word_delimiter, word_boundary=options.word_boundary, table=table)
+    hits = find_properties(strings, pv_map, schema, delimiter=options.word_delimiter, word_boundary=options.word_boundary, table=table, substrings=options.substrings)
     hits = materialise(hits.select(F.coalesce("header", F.lit("")).alias("_h"), F.col("value"), F.col("props").alias("_p3")))
     out = out.join(bounded(hits), ["_h", "value"], "left")
     found.append(F.col("_p3"))
 
     if schema.prefixed_keys:
-        out = _positional_fallback(out.withColumn("_p", F.coalesce(*found)), table)
+        out = positional_fallback(out.withColumn("_p", F.coalesce(*found)), table)
         found = [F.col("_p")]
     out = out.withColumn("props", F.coalesce(*found))
     return out.drop("_ns", "_k", "_h", "_plain", "_want", "_p1", "_p2", "_p3", "_p")
 
 
-def _positional_fallback(cells: DataFrame, table: DataFrame) -> DataFrame:
+def positional_fallback(cells: DataFrame, table: DataFrame) -> DataFrame:
     """``Cell:r:c``, ``Column:c``, ``Row:r`` keys for cells whose text has no entry."""
     spots = table.filter((F.col("namespace") == ANY) & F.col("key").rlike(r"^(Cell:\d+:\d+|Column:\d+|Row:\d+)$"))
     side = spots.select(F.col("key").alias("_spot"), F.col("props").alias("_q"))
@@ -216,28 +297,35 @@ def _as_map(columns: Mapping[str, Column]) -> Column:
 
 
 def grid_to_observations(grid: DataFrame, pv_map: DataFrame, options: GridOptions = GridOptions(), places: DataFrame | None = None,
-                         file_props: DataFrame | None = None, id_map: DataFrame | None = None) -> Result:
-    """Observations, variables and dropped cells of a grid (``file, row_no, cells``).
-
-    ``places`` (name, dcid) resolves names; ``id_map`` (old, new) renames generated ids.
+                         file_props: DataFrame | None = None, id_map: DataFrame | None = None, known_variables: DataFrame | None = None) -> Result:
+    """Observations, variables and rejects of a grid (``file, row_no, cells``).
+
+    ``places`` (name, dcid) resolves names; ``id_map`` (old, new) renames generated ids;
+    ``known_variables`` (node, props) lend their ids to variables with the same properties. File
+    properties are looked up in the map by file name unless ``file_props`` gives them. The map's
+    ``config:`` rows override ``options``. ``options.hook`` sees the observations before validation.
+    Lost cells are listed in ``rejects`` with the stage that lost them.
     """
     pv_map = localised(pv_map)
+    options = with_config_rows(options, pv_map)
+    pv_map = pv_map.filter(~F.lower("key").startswith("config:"))
     schema = pv_schema(pv_map)
     table = localised(with_default_namespace(pv_map))
+    if file_props is None:
+        file_props = materialise(file_level_properties(grid, pv_map, schema, options, table))
+        file_props = file_props if file_props.head(1) else None
     props = [p for p in dict.fromkeys((*schema.all_props, "value")) if p not in ("Data",)]
     rows = g.select_rows(grid, options.skip_rows, options.process_rows, options.ignore_rows, options.min_columns, options.max_rows, options.max_columns)
     cells = _headed_cells(g.melt(rows), pv_map, schema, options, props, table)
     wide = resolve_cells(cells, schema, options, props, file_props)
 
-    if "#IgnoreRow" in wide.columns:
-        truthy = F.lower(prop("#IgnoreRow")).isin("true", "yes", "1")
-        wide = wide.filter(F.coalesce(~truthy, F.lit(True)))
     result = valid_value(_value(wide, "measurementResult"))
     candidates = wide.filter(F.coalesce(result, F.lit(False)) | F.coalesce(valid_column("value"), F.lit(False)))
     if options.header_columns:
         candidates = candidates.filter(F.col("col_no") > options.header_columns)
-    if "#ignore" in candidates.columns:
-        candidates = candidates.filter(prop("#ignore").isNull())
+    reason = ignored_reason(candidates)
+    rejects = [_rejected(candidates.filter(reason.isNotNull()), "cells", reason)]
+    candidates = candidates.filter(reason.isNull())
     candidates = observe.expand_values(candidates, [p for p in options.multi_value if p in candidates.columns])
 
     number = parse_number(prop("value"))
@@ -245,7 +333,11 @@ def grid_to_observations(grid: DataFrame, pv_map: DataFrame, options: GridOption
     date = resolve_date(_value(candidates, "observationDate"), _value(candidates, "#DateFormat") if "#DateFormat" in candidates.columns else options.date_format,
                         options.output_date_format)
     dated = settle(candidates.withColumns({"_amount": amount, "observationDate": date}))
-    dated = resolve.apply_filters(dated, schema.rules)
+    if any(n.startswith("#Filter") for n in schema.rules):
+        unfiltered = dated
+        dated = resolve.apply_filters(dated, schema.rules)
+        lost = unfiltered.select(*ROW_KEYS).join(dated.select(*ROW_KEYS), list(ROW_KEYS), "left_anti")
+        rejects.append(_rejected(lost, "filters", F.lit("#Filter")))
     present = [c for c in dated.columns if c not in ROW_KEYS and not c.startswith("_")]
     obs_props, variable_props = observe.split_properties(present, options.output_columns)
     dated, extra = _dependants(dated, schema, options, variable_props)
@@ -273,10 +365,52 @@ def grid_to_observations(grid: DataFrame, pv_map: DataFrame, options: GridOption
         F.col("_amount").alias("value"), prop("value").alias("value_raw"),
         F.when(period == "", period_of(F.col("observationDate"))).otherwise(period).alias("observationPeriod"), *[prop(p) for p in rest])
     required = [c for c in observe.REQUIRED_OBS if c != "value"]
-    good, bad = observe.validate(settle(obs), required)
+    obs = settle(obs)
+    if options.hook:
+        obs = options.hook(obs)
+    good, bad = observe.validate(obs, required)
+    rejects.append(bad.select(F.lit("validation").alias("stage"), F.concat(F.lit("no "), F.array_join("missing", ", ")).alias("reason"), "ord.*"))
+    conflicts = None
+    if options.resolve_duplicates:
+        complete = good
+        good, conflicts = merge_duplicates(complete)
+    good = good.drop("#Aggregate")
     variables = tagged.select(F.col("_id").alias("dcid"), _as_map(columns).alias("props"))
     for e in extra:
         variables = variables.unionByName(e)
     # maps cannot be grouped: the entries stand in for them
     variables = variables.select("dcid", F.map_entries("props").alias("e")).distinct().select("dcid", F.map_from_entries("e").alias("props"))
-    return Result(good, variables, bad)
+    if conflicts is not None:
+        key = [c for c in conflicts.columns if c not in ("n_rows", "min_value", "max_value")]
+        same = F.lit(True)
+        for i, k in enumerate(key):
+            same = same & prop(k).eqNullSafe(F.col(f"_k{i}"))
+        lost = complete.join(conflicts.select(*[prop(k).alias(f"_k{i}") for i, k in enumerate(key)]), same, "left_semi")
+        rejects.append(_rejected(lost.select("ord.*"), "duplicates", F.lit("different values")))
+    if known_variables is not None:
+        renamed = reuse_existing(variables.withColumnRenamed("dcid", "node").withColumn("_made", F.col("node")), known_variables)
+        renamed = materialise(renamed.select("node", "_made", F.map_entries("props").alias("e")))
+        names = renamed.filter("node <> _made").select("_made", F.col("node").alias("_known")).distinct()
+        bare = strip_namespace(F.col("variableMeasured"))
+        good = good.join(names, bare == F.col("_made"), "left").withColumn(
+            "variableMeasured", F.coalesce(add_namespace(F.col("_known")), F.col("variableMeasured"))).drop("_made", "_known")
+        variables = renamed.select(F.col("node").alias("dcid"), "e").distinct().select("dcid", F.map_from_entries("e").alias("props"))
+    if options.unused_variables:
+        return Result(good, variables, bad, _all(rejects), conflicts)
+    # denominators and other dependants stay: observations name them only through their own variable
+    dependants = [e.select("dcid") for e in extra]
+    used = good.select(strip_namespace(F.col("variableMeasured")).alias("dcid"))
+    for e in dependants:
+        used = used.unionByName(e)
+    return Result(good, variables.join(used.distinct(), "dcid", "left_semi"), bad, _all(rejects), conflicts)
+
+
+def _rejected(rows: DataFrame, stage: str, reason: Column) -> DataFrame:
+    return rows.select(F.lit(stage).alias("stage"), reason.alias("reason"), *ROW_KEYS)
+
+
+def _all(tables: Sequence[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out

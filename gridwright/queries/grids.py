@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grid as g, lookup as l, observe, resolve
 from ..operators.scale import settle, spread
+from ..plans.observations import ignored_reason, positional_fallback
 from ..sources.grids import grid_of
 from ..sources.pvmaps import pv_map_from_dict
 from .registry import query
@@ -54,9 +55,10 @@ def header_row_counts(t):
 
 @query("footer_starts", DOC_GRID_SQL + """
 , sized AS (SELECT *, len(list_filter(cells, lambda c: trim(c) <> '')) AS f FROM grid),
-stats AS (SELECT file, max(row_no) AS n, avg(f) AS m FROM sized GROUP BY file)
-SELECT file, min(row_no)::BIGINT AS footer_row FROM sized JOIN stats USING (file)
-WHERE row_no > n - 20 AND (f < m * 0.3 OR len(list_filter(['source','note','footnote','copyright'], lambda w: contains(lower(trim(cells[1])), w))) > 0) GROUP BY file""")
+ends AS (SELECT file, max(row_no) AS n FROM sized GROUP BY file),
+means AS (SELECT file, avg(f) AS m FROM sized JOIN ends USING (file) WHERE row_no <= n - 20 GROUP BY file)
+SELECT file, min(row_no)::BIGINT AS footer_row FROM sized JOIN ends USING (file) LEFT JOIN means USING (file)
+WHERE row_no > n - 20 AND (f < coalesce(m, 0) * 0.3 OR regexp_matches(lower(trim(cells[1])), 'source|note|data from|footnote|[*]|†|‡')) GROUP BY file""")
 def footer_starts(t):
     return g.footer_start(document_grid(t))
 
@@ -129,9 +131,9 @@ def substring_lookup_documents(t):
 SELECT o_orderkey, CASE WHEN o_orderkey = 7 THEN 'cell' ELSE 'column' END AS kind FROM orders""")
 def positional_lookup(t):
     m = pv_map_from_dict(t("orders").sparkSession, {"GLOBAL": {"Cell:7:2": {"kind": "cell"}, "Column:2": {"kind": "column"}, "Row:7": {"kind": "row"}}})
-    cells = t("orders").select("o_orderkey", F.explode(l.positional_keys(F.col("o_orderkey"), F.lit(2))).alias("c")).select("o_orderkey", "c.rank", "c.key")
-    hit = cells.join(F.broadcast(m.select("key", "props")), "key")
-    return hit.groupBy("o_orderkey").agg(F.min_by(F.col("props")["kind"], "rank").alias("kind"))
+    cells = t("orders").select("o_orderkey", F.col("o_orderkey").alias("row_no"), F.lit(2).alias("col_no"), F.lit(None).cast("map<string,string>").alias("_p"), F.lit(True).alias("_want"))
+    hit = positional_fallback(cells, l.with_default_namespace(m))
+    return hit.select("o_orderkey", F.col("_p")["kind"].alias("kind"))
 
 
 @query("id_remap", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'Construction' ELSE c_mktsegment END AS segment FROM customer")
@@ -221,9 +223,8 @@ def file_name_properties(t):
 
 @query("ignore_rows_and_cells", "SELECT o_orderkey FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderstatus <> 'P'")
 def ignore_rows_and_cells(t):
-    pvs = F.when(F.col("o_orderstatus") == "P", F.create_map(F.lit("#ignore"), F.lit("1"))).otherwise(F.create_map(F.lit("#IgnoreRow"), (F.col("o_orderpriority") == "5-LOW").cast("string")))
-    tagged = t("orders").select("o_orderkey", pvs.alias("props"))
-    return tagged.filter(~F.map_contains_key("props", "#ignore") & (F.coalesce(F.col("props")["#IgnoreRow"], F.lit("false")) != "true")).select("o_orderkey")
+    tagged = t("orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", F.lit("1")).alias("#ignore"), (F.col("o_orderpriority") == "5-LOW").cast("string").alias("#IgnoreRow"))
+    return tagged.filter(ignored_reason(tagged).isNull()).select("o_orderkey")
 
 
 @query("table_as_grid", """

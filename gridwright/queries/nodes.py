@@ -34,11 +34,11 @@ def node_value_text(t):
 
 
 @query("mergeable_blocks", TRIPLES + """
-, b AS (SELECT node, p_partkey, string_agg(prop || '=' || value, ';' ORDER BY prop) AS fp FROM tr WHERE prop <> 'size' GROUP BY 1, 2),
+, b AS (SELECT node, p_partkey, string_agg(prop || '=' || value, ';' ORDER BY prop) AS fp FROM tr GROUP BY 1, 2),
 f AS (SELECT node, arg_min(fp, p_partkey) AS ffp, min(p_partkey) AS b0 FROM b GROUP BY 1)
 SELECT node, p_partkey AS block FROM b JOIN f USING (node) WHERE p_partkey = b0 OR fp = ffp""")
 def mergeable_blocks(t):
-    tr = part_nodes(t).filter(F.col("prop") != "size").withColumnRenamed("p_partkey", "block")
+    tr = part_nodes(t).withColumnRenamed("p_partkey", "block")
     typed = tr.select("node", "block").distinct().select("node", "block", F.lit(-1).alias("ord"), F.lit("typeOf").alias("prop"), F.lit("dcs:StatisticalVariable").alias("value"))
     return n.mergeable_blocks(tr.unionByName(typed))[0].select("node", "block").distinct()
 
@@ -121,18 +121,20 @@ def node_diff_summary(t):
     return n.diff_nodes(n.diff(*versions(t)))
 
 
-@query("missing_ids", DIFF + "SELECT DISTINCT node, 'right' AS side FROM b WHERE node NOT IN (SELECT node FROM a)")
+@query("missing_ids", DIFF + """SELECT DISTINCT node, 'right' AS side FROM b WHERE old_only = 0 AND node NOT IN (SELECT node FROM a)
+UNION ALL SELECT DISTINCT node, 'left' FROM a WHERE node NOT IN (SELECT node FROM b WHERE old_only = 0)""".replace("old_only = 0", "right(node, 1) <> '7'"))
 def missing_ids(t):
-    return n.missing_ids(*versions(t))
+    left, right = versions(t)
+    return n.missing_ids(left, right.filter(~F.col("node").endswith("7")))
 
 
 @query("fingerprint_diff", """
-WITH a AS (SELECT min(s_suppkey) AS l, s_nationkey FROM supplier WHERE s_acctbal > 0 GROUP BY 2), b AS (SELECT min(c_custkey) AS r, c_nationkey FROM customer WHERE c_acctbal > 9000 GROUP BY 2)
-SELECT l AS left_node, r AS right_node, CASE WHEN l IS NULL THEN 'added' WHEN r IS NULL THEN 'deleted' ELSE 'matched' END AS status FROM a FULL JOIN b ON s_nationkey = c_nationkey""")
+WITH a AS (SELECT min(s_suppkey) AS l, s_nationkey AS n, floor(s_acctbal / 1000)::BIGINT AS k FROM supplier GROUP BY 2, 3), b AS (SELECT min(c_custkey) AS r, c_nationkey AS n, floor(c_acctbal / 1000)::BIGINT AS k FROM customer GROUP BY 2, 3)
+SELECT l AS left_node, r AS right_node, CASE WHEN l IS NULL THEN 'added' WHEN r IS NULL THEN 'deleted' ELSE 'matched' END AS status FROM a FULL JOIN b ON a.n = b.n AND a.k = b.k""")
 def fingerprint_diff(t):
-    side = lambda df, k, nat: df.select(F.col(k).alias("node"), F.create_map(F.lit("nation"), F.concat(F.lit("N"), nat), F.lit("dcid"), F.col(k).cast("string")).alias("props"))
-    a = side(t("supplier").filter("s_acctbal > 0"), "s_suppkey", "s_nationkey")
-    return n.diff_by_fingerprint(a, side(t("customer").filter("c_acctbal > 9000"), "c_custkey", "c_nationkey")).select("left_node", "right_node", "status")
+    side = lambda df, k, nat, bal: df.select(F.col(k).alias("node"), F.create_map(F.lit("nation"), F.concat(F.lit("N"), nat), F.lit("band"), F.concat(F.lit("B"), F.floor(F.col(bal) / 1000).cast("string")), F.lit("dcid"), F.col(k).cast("string")).alias("props"))
+    a = side(t("supplier"), "s_suppkey", "s_nationkey", "s_acctbal")
+    return n.diff_by_fingerprint(a, side(t("customer"), "c_custkey", "c_nationkey", "c_acctbal")).select("left_node", "right_node", "status")
 
 
 @query("reuse_existing", "SELECT p_partkey, (SELECT min('part' || lpad(CAST(q.p_partkey AS VARCHAR), 9, '0')) FROM part q WHERE q.p_brand = part.p_brand AND q.p_type = part.p_type AND q.p_size = part.p_size) AS node FROM part")
@@ -212,10 +214,10 @@ UNION ALL SELECT v, 'name', '"Brand ' || substr(v, 6, 1) || ' ' || substr(v, 7)
 UNION ALL SELECT * FROM (VALUES ('brand', 'typeOf', 'schema:Property'), ('brand', 'name', '"brand"'), ('brand', 'domainIncludes', 'dcs:Part'), ('brand', 'rangeIncludes', 'dcs:BrandEnum'), ('brand', 'isProvisional', 'dcs:True'),
   ('BrandEnum', 'typeOf', 'schema:Class'), ('BrandEnum', 'name', '"BrandEnum"'), ('BrandEnum', 'subClassOf', 'schema:Enumeration'), ('BrandEnum', 'isProvisional', 'dcs:True'))""")
 def new_schema_nodes(t):
-    tr = part_nodes(t).filter(F.col("prop").isin("brand", "size")).select(F.col("p_partkey").alias("node"), "prop", "value")
+    tr = part_nodes(t).select(F.col("p_partkey").alias("node"), "prop", "value")
     pop = t("part").select(F.col("p_partkey").alias("node"), F.lit("populationType").alias("prop"), F.lit("dcs:Part").alias("value"))
-    known = tr.filter(F.col("value").startswith("dcs:Brand1")).select("value").distinct().unionByName(
-        tr.sparkSession.createDataFrame([(x,) for x in ("size", "SizeEnum", "populationType", "Part", "PopulationTypeEnum")], "value string"))
+    known = tr.filter(F.col("value").startswith("dcs:Brand1") | ~F.col("prop").isin("brand", "size")).select("value").distinct().unionByName(
+        tr.sparkSession.createDataFrame([(x,) for x in ("size", "SizeEnum", "kind", "KindEnum", "populationType", "Part", "PopulationTypeEnum")], "value string"))
     return quality.new_schema_nodes(tr.unionByName(pop), known)
 
 
@@ -271,11 +273,20 @@ def most_improved_runs(t):
     return mapping.extremes(runs(t)[1].withColumn("delta", F.round("delta", 4))).select("name")
 
 
-@query("run_name_overlap", "SELECT coalesce(c_nationkey, s_nationkey)::BIGINT AS nation, CASE WHEN c_nationkey IS NOT NULL AND s_nationkey IS NOT NULL THEN 'both' WHEN c_nationkey IS NOT NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9900) FULL JOIN (SELECT DISTINCT s_nationkey FROM supplier) ON c_nationkey = s_nationkey")
+@query("run_name_overlap", "SELECT coalesce(c, s) AS name, CASE WHEN c IS NOT NULL AND s IS NOT NULL THEN 'both' WHEN c IS NOT NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT DISTINCT c_nationkey || '/' || floor(c_acctbal / 100)::BIGINT AS c FROM customer) FULL JOIN (SELECT DISTINCT s_nationkey || '/' || floor(s_acctbal / 100)::BIGINT AS s FROM supplier) ON c = s")
 def run_name_overlap(t):
-    return mapping.name_overlap(t("customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").cast("long").alias("nation")), t("supplier").select(F.col("s_nationkey").cast("long").alias("nation")), "nation")
+    named = lambda df, p: df.select(F.concat_ws("/", f"{p}_nationkey", F.floor(F.col(f"{p}_acctbal") / 100).cast("string")).alias("name"))
+    return mapping.name_overlap(named(t("customer"), "c"), named(t("supplier"), "s"), "name")
 
 
-@query("match_run_names")
+@query("match_run_names", """
+WITH r AS (SELECT DISTINCT replace(p_name, ' ', '_') || '_' || p_size AS name FROM part), b AS (SELECT DISTINCT replace(p_name, ' ', '') || p_size AS match FROM part),
+p AS (SELECT name, match, replace(replace(lower(name), '_', ''), '-', '') AS x, replace(replace(lower(match), '_', ''), '-', '') AS y FROM r, b),
+s AS (SELECT name, match, CASE WHEN contains(x, y) OR contains(y, x) THEN CASE WHEN least(len(x), len(y)) / greatest(len(x), len(y)) < 0.5 THEN 0.5::DOUBLE ELSE 0.9::DOUBLE END
+  ELSE 1 - levenshtein(x, y) / greatest(len(x), len(y)) END AS score, list_has_any(string_split(lower(name), '_'), string_split(lower(match), '_')) AS shared FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, match) AS i FROM s)
+SELECT name, match, round(score, 6) AS score FROM k WHERE i = 1 AND score >= 0.6 AND (shared OR score >= 0.75)""")
 def match_run_names(t):
-    return mapping.match_run_names(t("part").select(F.concat_ws("_", F.split("p_name", " ")).alias("name")), t("part").select(F.replace("p_name", F.lit(" "), F.lit("")).alias("match")).distinct())
+    sized = lambda joiner: F.concat(F.replace("p_name", F.lit(" "), F.lit(joiner)), F.lit(joiner), F.col("p_size"))
+    found = mapping.match_run_names(t("part").select(sized("_").alias("name")), t("part").select(sized("").alias("match")))
+    return found.withColumn("score", F.round("score", 6))

@@ -108,9 +108,9 @@ def conflicting_observations(t):
 
 
 @query("drop_conflicting_variables", """
-SELECT DISTINCT l_suppkey::VARCHAR AS dcid FROM lineitem WHERE l_suppkey NOT IN (SELECT l_suppkey FROM lineitem GROUP BY l_suppkey, l_orderkey HAVING min(l_quantity) <> max(l_quantity))""")
+SELECT DISTINCT l_partkey::VARCHAR AS dcid FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem GROUP BY l_partkey, l_orderkey HAVING min(l_quantity) <> max(l_quantity))""")
 def drop_conflicting_variables(t):
-    obs = t("lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("ord"), F.col("l_suppkey").cast("string").alias("variableMeasured"), "l_orderkey", F.col("l_quantity").alias("value"))
+    obs = t("lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("ord"), F.col("l_partkey").cast("string").alias("variableMeasured"), "l_orderkey", F.col("l_quantity").alias("value"))
     conflicts = observe.dedupe(obs, ["variableMeasured", "l_orderkey"])[1]
     return observe.drop_flagged(obs.select(F.col("variableMeasured").alias("dcid")).distinct(), conflicts)
 
@@ -169,9 +169,14 @@ def prune_observations(t):
     return observe.prune_observations(obs, known).select("o_orderkey")
 
 
-@query("constant_columns", """SELECT 'source' AS "column", 'orders' AS value""")
+CONSTANTS = {"o_orderkey": "o_orderkey", "o_orderstatus": "o_orderstatus", "century": "cast(year(o_orderdate) AS int) - year(o_orderdate) % 100", "wide": "cast(length(o_orderpriority) > 3 AS string)",
+             "priced": "CASE WHEN o_totalprice >= 0 THEN 'yes' ELSE 'no' END", "sparse": "CASE WHEN o_orderstatus = 'O' THEN 'x' END", "rank": "cast(cast(substr(o_orderpriority, 1, 1) AS int) > 0 AS string)"}
+
+
+@query("constant_columns", " UNION ALL ".join(
+    f"SELECT '{name}' AS \"column\", min(v)::VARCHAR AS value FROM (SELECT {expr.replace(' AS string)', ' AS VARCHAR)')} AS v FROM orders) HAVING min(v) = max(v) AND count(v) = count(*)" for name, expr in CONSTANTS.items()))
 def constant_columns(t):
-    return observe.constant_columns(t("orders").select("o_orderkey", "o_orderstatus", F.lit("orders").alias("source"), F.when(F.col("o_orderstatus") == "O", F.lit("x")).alias("sparse")))
+    return observe.constant_columns(t("orders").select(*[F.expr(expr).alias(name) for name, expr in CONSTANTS.items()]))
 
 
 @query("distinct_per_column", """

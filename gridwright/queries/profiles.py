@@ -70,11 +70,17 @@ def column_labels(t):
     return p.classify_columns(c).select("column", "label")
 
 
-@query("derived_headers", "SELECT 'EP_POV' AS header UNION ALL SELECT 'share_pct' UNION ALL SELECT 'RPL_X'")
+@query("derived_headers", """
+WITH s AS (SELECT DISTINCT s_nationkey AS n FROM supplier), c AS (SELECT DISTINCT c_nationkey AS n FROM customer WHERE c_acctbal > 0)
+SELECT 'EP_N' || n AS header FROM c WHERE n IN (SELECT n FROM s) UNION ALL SELECT 'N' || n || '_pct' FROM s WHERE n % 5 = 0 UNION ALL SELECT 'RPL_N' || n FROM c WHERE n % 7 = 0""")
 def derived_headers(t):
-    c = t("customer").select(F.col("c_custkey").alias("E_POV"), F.col("c_custkey").alias("EP_POV"), F.col("c_custkey").alias("EP_LONE"), F.col("c_custkey").alias("share_pct"), F.col("c_custkey").alias("RPL_X"))
-    names = p.derived_by_name(c.columns)
-    return p.long_values(c, names).select(F.col("column").alias("header")).distinct()
+    """Headers named after the nations (25 at most) that have suppliers or customers in credit."""
+    s = [r[0] for r in t("supplier").select("s_nationkey").distinct().collect()]
+    c = [r[0] for r in t("customer").filter("c_acctbal > 0").select("c_nationkey").distinct().collect()]
+    names = [f"E_N{n}" for n in s] + [f"EP_N{n}" for n in c] + [f"N{n}_pct" for n in s if n % 5 == 0] + [f"RPL_N{n}" for n in c if n % 7 == 0]
+    derived = p.derived_by_name(names)
+    wide = t("customer").select(*[F.col("c_custkey").alias(n) for n in derived])
+    return p.long_values(wide, derived).select(F.col("column").alias("header")).distinct()
 
 
 @query("cell_kinds", """

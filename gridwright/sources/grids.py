@@ -6,18 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.text import split_quoted, unquoted
 from ..operators.scale import bounded, with_position
 from ..session import materialise
 
 
 def _split_csv(line: str, delimiter: str):
-    if delimiter == ",":
-        pattern = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    else:
-        pattern = "\\" + delimiter if not delimiter.isalnum() and len(delimiter) == 1 and delimiter != "\t" else delimiter
-    cells = F.split(F.col(line), pattern, -1)
-    unquoted = lambda c: F.replace(F.regexp_replace(F.regexp_replace(c, r'^\s*"', ""), r'"\s*$', ""), F.lit('""'), F.lit('"'))
-    return F.transform(cells, lambda c: F.when(c.rlike(r'^\s*".*"\s*$'), unquoted(c)).otherwise(c))
+    return F.transform(split_quoted(F.col(line), delimiter), unquoted)
 
 
 def read_grid(spark: SparkSession, paths: str | Sequence[str], delimiter: str = ",", quoted_newlines: bool = False, exact: bool = True) -> DataFrame:
@@ -45,15 +40,11 @@ def read_grid(spark: SparkSession, paths: str | Sequence[str], delimiter: str =
     return numbered.select("file", (F.col("_offset") + F.col("_mid") - F.col("_first") + 1).alias("row_no"), _split_csv("value", delimiter).alias("cells"))
 
 
-def _whole_files(spark: SparkSession, paths: Sequence[str], delimiter: str, most_columns: int = 512) -> DataFrame:
-    names = [f"c{i}" for i in range(most_columns)]
-    rows = spark.read.csv(paths, schema=", ".join(f"{n} string" for n in names), sep=delimiter, multiLine=True, quote='"', escape='"',
-                          mode="PERMISSIVE").select(*names, F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_mid"))
-    firsts = rows.groupBy("file").agg(F.min("_mid").alias("_first"))
-    cells = F.array(*names)
-    width = F.greatest(*[F.when(F.col(n).isNotNull(), F.lit(i + 1)).otherwise(F.lit(0)) for i, n in enumerate(names)])
-    return rows.join(bounded(materialise(firsts)), "file").select("file", (F.col("_mid") - F.col("_first") + 1).alias("row_no"),
-                                                     F.transform(F.slice(cells, 1, width), lambda c: F.coalesce(c, F.lit(""))).alias("cells"))
+def _whole_files(spark: SparkSession, paths: Sequence[str], delimiter: str) -> DataFrame:
+    """Line ends inside quotes don't end a row: rows are cut as cells are, by a delimiter outside quotes."""
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+    rows = files.select("file", F.posexplode(split_quoted(F.regexp_replace("text", "\n$", ""), "\n")).alias("_at", "line")).filter(F.col("line") != "")
+    return rows.select("file", (F.col("_at") + 1).cast("long").alias("row_no"), _split_csv("line", delimiter).alias("cells"))
 
 
 def grid_of(df: DataFrame, columns: Sequence[str], order: Sequence[str], file: str | None = None) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import add_namespace, strip_namespace
+from ..operators.scale import with_position
 
 BLOCK_LINES = 10_000
 
@@ -29,10 +30,28 @@ def blocks_to_triples(blocks: DataFrame, text: str = "value", block: str = "bloc
         (F.col("prop") != "") & ~F.col("prop").isin("Node"))
 
 
+def text_blocks(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``block, value`` of text files whose blocks are parted by blank lines, blanks and any line ends allowed.
+
+    Lines are read in parallel. A line's block is the number of blank lines before it: those of its
+    own split, and those of the file's earlier splits from one row per split.
+    """
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    blank = (F.trim(F.translate("value", "\t\r\x0b\x0c", "    ")) == "").cast("long")
+    per_split = lines.groupBy("file", "start").agg(F.sum(blank).alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_split.select("file", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    upto = Window.partitionBy("file", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = lines.withColumn("blank", blank).withColumn("local", F.sum("blank").over(upto)).join(offsets, ["file", "start"])
+    kept = numbered.filter("blank = 0").withColumn("no", F.col("base") + F.col("local"))
+    grouped = kept.groupBy("file", "no").agg(F.array_sort(F.collect_list(F.struct("start", "at", "value"))).alias("l"), F.min("at").alias("block"))
+    return grouped.select("block", F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("value"))
+
+
 def read_nodes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Read node files in parallel, one record per block."""
-    text = spark.read.text(paths if isinstance(paths, str) else list(paths), lineSep="\n\n")
-    return blocks_to_triples(text.withColumn("block", F.monotonically_increasing_id()))
+    return blocks_to_triples(text_blocks(spark, paths))
 
 
 def read_csv_nodes(spark: SparkSession, paths: str | Sequence[str], id_column: str = "dcid") -> DataFrame:
@@ -64,13 +83,25 @@ def node_blocks(triples: DataFrame, defaults: Mapping[str, str] | None = None, c
 
 
 def write_nodes(triples: DataFrame, path: str, header: str | None = None, defaults: Mapping[str, str] | None = None, comments: bool = True,
-                sort: bool = True, nodes_per_file: int | None = None, mode: str = "errorifexists") -> None:
-    """Write blocks as text files; a block is one record, so ``nodes_per_file`` never cuts a node's lines."""
-    blocks = node_blocks(triples, defaults, comments, sort)
+                sort: bool = True, nodes_per_file: int | None = None, bytes_per_file: int | None = None, mode: str = "errorifexists") -> None:
+    """Write blocks as text files; a block is one record, so neither bound ever cuts a node's lines.
+
+    The header is one record ahead of the first node. With ``bytes_per_file`` blocks go to folders
+    ``shard=0``, ``shard=1``, … by the bytes before them, each a file of about that size.
+    """
+    blocks = node_blocks(triples, defaults, comments, sort).select("node", "part", "text")
+    if header:
+        first = triples.sparkSession.createDataFrame([("", -1, f"{header}\n")], "node string, part int, text string")
+        blocks = first.unionByName(blocks.withColumn("part", F.col("part").cast("int")))
+    if bytes_per_file:
+        sized = with_position(blocks.withColumn("size", F.octet_length("text") + 1), ["node", "part"], "before", "size")
+        sharded = sized.withColumn("shard", F.floor(F.col("before") / bytes_per_file).cast("long"))
+        (sharded.repartition("shard").sortWithinPartitions("shard", "node", "part").select("shard", "text")
+         .write.mode(mode).partitionBy("shard").option("lineSep", "\n").text(path))
+        return
     if sort:
         blocks = blocks.repartitionByRange("node", "part").sortWithinPartitions("node", "part")
-    out = blocks.select(F.concat(F.lit(f"{header}\n\n"), "text").alias("text") if header else F.col("text"))
-    writer = out.write.mode(mode)
+    writer = blocks.select("text").write.mode(mode)
     if nodes_per_file:
         writer = writer.option("maxRecordsPerFile", nodes_per_file)
     writer.option("lineSep", "\n").text(path)

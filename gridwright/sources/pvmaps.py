@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.props import overlay_all, sort_by
 from ..functions.text import words
+from ..operators.scale import with_position
+from .grids import read_grid
 
 PV_SCHEMA = "namespace string, key string, props map<string,string>, n_words int, ord long"
 
@@ -28,19 +30,19 @@ def pv_map_from_dict(spark: SparkSession, maps: Mapping[str, Mapping[str, Mappin
 
 def load_pv_map(spark: SparkSession, path: str, namespace: str = "GLOBAL", delimiter: str = " ") -> DataFrame:
     """Read ragged CSV rows. A key with a single value gets the namespace as its property; ``#`` rows are comments."""
-    most = 60
-    names = [f"c{i}" for i in range(most)]
-    raw = spark.read.csv(path, schema=", ".join(f"{n} string" for n in names), mode="PERMISSIVE",
-                         ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, comment="#")
-    cells = F.array(*[F.col(n) for n in names[1:]])
-    filled = raw.filter((F.coalesce("c0", F.lit("")) != "") & (F.lower(F.col("c0")) != "key")).withColumn("ord", F.monotonically_increasing_id())
-    pairs = F.transform(F.sequence(F.lit(0), F.lit((most - 3) // 2)), lambda i: F.struct(
-        F.get(cells, i * 2).alias("key"), F.get(cells, i * 2 + 1).alias("value")))
-    used = F.filter(pairs, lambda p: (F.coalesce(p["key"], F.lit("")) != "") & p["value"].isNotNull())
+    raw = read_grid(spark, path).filter(~F.trim(F.get("cells", F.lit(0))).startswith("#"))
+    cells = F.transform("cells", lambda c: F.nullif(F.trim(c), F.lit("")))
+    lines = raw.select(F.struct("file", "row_no").alias("_at"), cells.alias("cells"))
+    keyed = lines.select("_at", F.get("cells", F.lit(0)).alias("c0"), F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))).alias("rest"))
+    filled = with_position(keyed.filter(F.col("c0").isNotNull() & (F.lower("c0") != "key")), ["_at"], "ord")
+    pairs = F.transform(F.sequence(F.lit(0), F.ceil(F.size("rest") / 2).cast("int")), lambda i: F.struct(
+        F.get("rest", i * 2).alias("key"), F.get("rest", i * 2 + 1).alias("value")))
+    used = F.filter(pairs, lambda p: p["key"].isNotNull() & p["value"].isNotNull())
     # the last of repeated properties on one row wins
     latest = F.filter(F.transform(used, lambda p: p), lambda p: F.element_at(F.filter(used, lambda q: q["key"] == p["key"]), -1)["value"] == p["value"])
-    single = F.col("c1").isNotNull() & F.col("c2").isNull()
-    props = F.when(single, F.create_map(F.lit(namespace), F.col("c1"))).otherwise(F.map_from_entries(F.array_distinct(latest)))
+    first, second = F.get("rest", F.lit(0)), F.get("rest", F.lit(1))
+    single = first.isNotNull() & second.isNull()
+    props = F.when(single, F.create_map(F.lit(namespace), first)).otherwise(F.map_from_entries(F.array_distinct(latest)))
     return _finish(filled.select(F.lit(namespace).alias("namespace"), F.col("c0").alias("key"), props.alias("props"), "ord").filter(F.size("props") > 0), delimiter)
 
 

@@ -11,10 +11,20 @@ from ..operators.observe import drop_constant_columns, merge_keyed, output_text
 
 def load_keyed(spark: SparkSession, paths: str | Sequence[str], key: Sequence[str], how: Mapping[str, str] | None = None, default: str = "last",
                delimiter: str = ",", schema: str | None = None) -> DataFrame:
-    """A CSV table with one row per key; repeated keys merge column by column."""
+    """A CSV table with one row per key; repeated keys merge column by column.
+
+    First and last go by the order of ``paths``, then by file name, place in the file and row.
+    """
+    given = [paths] if isinstance(paths, str) else list(paths)
     reader = spark.read.option("sep", delimiter).option("header", True)
-    rows = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(paths if isinstance(paths, str) else list(paths))
-    return merge_keyed(rows.withColumn("ord", F.monotonically_increasing_id()), key, dict(how or {}), default)
+    reader = reader.schema(schema if schema else reader.option("inferSchema", True).csv(given).schema)
+    rows = None
+    for i, path in enumerate(given):
+        at = F.struct(F.lit(i).alias("path"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                      F.monotonically_increasing_id().alias("row"))
+        part = reader.csv(path).select("*", at.alias("ord"))
+        rows = part if rows is None else rows.unionByName(part)
+    return merge_keyed(rows, key, dict(how or {}), default)
 
 
 def keyed_table(rows: DataFrame, props: str = "props", key: str = "key") -> DataFrame:
@@ -35,7 +45,7 @@ def _leaves(schema: T.StructType, path: str = "", name: str = "") -> list[tuple[
     return out
 
 
-def flatten_records(df: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), explode_lists: bool = False, most_items: int | None = None) -> DataFrame:
+def flatten_records(df: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), explode_lists: bool = False) -> DataFrame:
     """Nested records to dotted columns, newlines in text to spaces.
 
     Lists become one column per position (``a.0``, ``a.1``, as many as the longest list, found by
@@ -52,7 +62,7 @@ def flatten_records(df: DataFrame, include: Sequence[str] = (), exclude: Sequenc
         else:
             sizes = flat.agg(*[F.max(F.size(F.col(f"`{n}`"))).alias(f"s{i}") for i, (_, n, _) in enumerate(lists)]).first()
             for i, (_, n, _) in enumerate(lists):
-                size = max(sizes[i] or 0, 0) if most_items is None else min(sizes[i] or 0, most_items)
+                size = max(sizes[i] or 0, 0)
                 flat = flat.select(*[F.col(f"`{c}`") for c in flat.columns if c != n], *[F.get(F.col(f"`{n}`"), F.lit(j)).alias(f"{n}.{j}") for j in range(size)])
         df = flat
     def clean(c: str, t: str) -> Column:
