@@ -132,8 +132,10 @@ def apply_expressions(df: DataFrame, expressions: Sequence[str], rule: str = "#E
 _ASSIGN = re.compile(r"^\s*([A-Za-z]\w*)\s*:=\s*(.+)$", re.S)
 
 
-def apply_filters(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFrame:
-    """``#Filter…``: each rule is a SQL predicate (a null result keeps the row), or ``prop := <expression>``.
+def filter_rules(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> tuple[Column, dict[str, Column]]:
+    """Whether a row stays, and the properties that it gets, by its ``#Filter…`` rules.
+
+    Each is a SQL predicate (a null result keeps the row), or ``prop := <expression>``.
 
     An assignment sets the property where its value is not null and always keeps the row.
     """
@@ -146,8 +148,14 @@ def apply_filters(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFram
                     made.setdefault(assigned.group(1), []).append(F.when(prop(name) == text, F.expr(assigned.group(2)).cast("string")))
                 else:
                     keep = keep & F.coalesce(F.when(prop(name) == text, F.expr(text)), F.lit(True))
+    return keep, {t: F.coalesce(*o, *([prop(t)] if t in df.columns else [])) for t, o in made.items()}
+
+
+def apply_filters(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Rows that their filters keep, with what those assign."""
+    keep, made = filter_rules(df, rules)
     kept = df.filter(keep)
-    return kept.withColumns({t: F.coalesce(*o, *([prop(t)] if t in df.columns else [])) for t, o in made.items()}) if made else kept
+    return kept.withColumns(made) if made else kept
 
 
 def process(df: DataFrame, schema: PvSchema) -> DataFrame:

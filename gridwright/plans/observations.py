@@ -269,8 +269,11 @@ def _value(df: DataFrame, name: str) -> Column:
     return prop(name) if name in df.columns else F.lit(None).cast("string")
 
 
-def _dependants(df: DataFrame, schema: PvSchema, options: GridOptions, variable_props: Sequence[str]) -> tuple[DataFrame, list[DataFrame]]:
-    """Denominators and variables given as property selections become ids of further variables."""
+def _dependants(df: DataFrame, schema: PvSchema, options: GridOptions, variable_props: Sequence[str]) -> DataFrame:
+    """Denominators and variables given as property selections become ids of further variables.
+
+    Those variables are added in columns ``_dep…``, arrays of structs (``dcid``, ``e``: entries).
+    """
     extra = []
     for target in ("measurementDenominator", "variableMeasured"):
         if target not in df.columns:
@@ -285,15 +288,16 @@ def _dependants(df: DataFrame, schema: PvSchema, options: GridOptions, variable_
             for n, v in options.variable_defaults.items():
                 columns.setdefault(n, F.lit(v))
             made = ids.variable_id(columns, options.id_ignore, options.boolean_props, options.affixes)
-            extra.append(df.filter(prop(target) == rule).select(made.alias("dcid"), _as_map(columns).alias("props")))
+            extra.append(F.when(prop(target) == rule, F.struct(made.alias("dcid"), _entries(columns).alias("e"))))
             text = F.when(prop(target) == rule, add_namespace(made)).otherwise(text)
-        df = df.withColumn(target, text)
-    return df, extra
+        df = df.withColumns({f"_dep{len(extra)}:{target}": F.array_compact(F.array(*extra)), target: text}) if extra else df.withColumn(target, text)
+        extra = []
+    return df
 
 
-def _as_map(columns: Mapping[str, Column]) -> Column:
+def _entries(columns: Mapping[str, Column]) -> Column:
     entries = F.array(*[F.struct(F.lit(n).alias("key"), c.alias("value")) for n, c in sorted(columns.items())])
-    return F.map_from_entries(F.filter(entries, lambda e: valid_value(e["value"])))
+    return F.filter(entries, lambda e: valid_value(e["value"]))
 
 
 def grid_to_observations(grid: DataFrame, pv_map: DataFrame, options: GridOptions = GridOptions(), places: DataFrame | None = None,
@@ -323,9 +327,7 @@ def grid_to_observations(grid: DataFrame, pv_map: DataFrame, options: GridOption
     candidates = wide.filter(F.coalesce(result, F.lit(False)) | F.coalesce(valid_column("value"), F.lit(False)))
     if options.header_columns:
         candidates = candidates.filter(F.col("col_no") > options.header_columns)
-    reason = ignored_reason(candidates)
-    rejects = [_rejected(candidates.filter(reason.isNotNull()), "cells", reason)]
-    candidates = candidates.filter(reason.isNull())
+    candidates = candidates.withColumn("_reason", ignored_reason(candidates))
     candidates = observe.expand_values(candidates, [p for p in options.multi_value if p in candidates.columns])
 
     number = parse_number(prop("value"))
@@ -333,14 +335,12 @@ def grid_to_observations(grid: DataFrame, pv_map: DataFrame, options: GridOption
     date = resolve_date(_value(candidates, "observationDate"), _value(candidates, "#DateFormat") if "#DateFormat" in candidates.columns else options.date_format,
                         options.output_date_format)
     dated = settle(candidates.withColumns({"_amount": amount, "observationDate": date}))
-    if any(n.startswith("#Filter") for n in schema.rules):
-        unfiltered = dated
-        dated = resolve.apply_filters(dated, schema.rules)
-        lost = unfiltered.select(*ROW_KEYS).join(dated.select(*ROW_KEYS), list(ROW_KEYS), "left_anti")
-        rejects.append(_rejected(lost, "filters", F.lit("#Filter")))
+    keep, assigned = resolve.filter_rules(dated, schema.rules)
+    dated = dated.withColumns({"_reason": F.when(F.col("_reason").isNull() & ~keep, "#Filter").otherwise(F.col("_reason")), **assigned})
     present = [c for c in dated.columns if c not in ROW_KEYS and not c.startswith("_")]
     obs_props, variable_props = observe.split_properties(present, options.output_columns)
-    dated, extra = _dependants(dated, schema, options, variable_props)
+    dated = _dependants(dated, schema, options, variable_props)
+    entry = "struct<dcid:string,e:array<struct<key:string,value:string>>>"
 
     columns = {p: F.when(valid_column(p), prop(p)) for p in variable_props}
     for name, default in options.variable_defaults.items():
@@ -360,57 +360,45 @@ def grid_to_observations(grid: DataFrame, pv_map: DataFrame, options: GridOption
         about = F.when(is_place_id(about), about).otherwise(add_namespace(F.col("_pid")))
     rest = [p for p in obs_props if p in ("unit", "measurementMethod", "scalingFactor", "measurementResult", "#Aggregate") or p in options.output_columns]
     period = _value(tagged, "observationPeriod")
-    obs = tagged.select(
+    # read several times below: by the validation, the merge of duplicates, the variables and the rejects
+    stored = materialise(settle(tagged.select(
         F.struct(*ROW_KEYS).alias("ord"), "observationDate", about.alias("observationAbout"), add_namespace(F.col("_id")).alias("variableMeasured"),
         F.col("_amount").alias("value"), prop("value").alias("value_raw"),
-        F.when(period == "", period_of(F.col("observationDate"))).otherwise(period).alias("observationPeriod"), *[prop(p) for p in rest])
+        F.when(period == "", period_of(F.col("observationDate"))).otherwise(period).alias("observationPeriod"), *[prop(p) for p in rest],
+        "_reason", F.struct(F.col("_id").alias("dcid"), _entries(columns).alias("e")).cast(entry).alias("_variable"),
+        F.flatten(F.array(F.array().cast(f"array<{entry}>"), *[prop(d).cast(f"array<{entry}>") for d in tagged.columns if d.startswith("_dep")])).alias("_further"))))
+    rejects = stored.filter(F.col("_reason").isNotNull()).select(
+        F.when(F.col("_reason") == "#Filter", "filters").otherwise("cells").alias("stage"), F.col("_reason").alias("reason"), "ord.*")
+    left = stored.filter(F.col("_reason").isNull())
     required = [c for c in observe.REQUIRED_OBS if c != "value"]
-    obs = settle(obs)
+    obs = left.drop("_reason", "_variable", "_further")
     if options.hook:
         obs = options.hook(obs)
-    good, bad = observe.validate(obs, required)
-    rejects.append(bad.select(F.lit("validation").alias("stage"), F.concat(F.lit("no "), F.array_join("missing", ", ")).alias("reason"), "ord.*"))
-    conflicts = None
+    complete, bad = observe.validate(obs, required)
+    rejects = rejects.unionByName(bad.select(F.lit("validation").alias("stage"), F.concat(F.lit("no "), F.array_join("missing", ", ")).alias("reason"), "ord.*"))
+    good, conflicts = complete.drop("#Aggregate"), None
     if options.resolve_duplicates:
-        complete = good
         good, conflicts = merge_duplicates(complete)
-    good = good.drop("#Aggregate")
-    variables = tagged.select(F.col("_id").alias("dcid"), _as_map(columns).alias("props"))
-    for e in extra:
-        variables = variables.unionByName(e)
-    # maps cannot be grouped: the entries stand in for them
-    variables = variables.select("dcid", F.map_entries("props").alias("e")).distinct().select("dcid", F.map_from_entries("e").alias("props"))
-    if conflicts is not None:
         key = [c for c in conflicts.columns if c not in ("n_rows", "min_value", "max_value")]
         same = F.lit(True)
         for i, k in enumerate(key):
             same = same & prop(k).eqNullSafe(F.col(f"_k{i}"))
         lost = complete.join(conflicts.select(*[prop(k).alias(f"_k{i}") for i, k in enumerate(key)]), same, "left_semi")
-        rejects.append(_rejected(lost.select("ord.*"), "duplicates", F.lit("different values")))
+        rejects = rejects.unionByName(lost.select(F.lit("duplicates").alias("stage"), F.lit("different values").alias("reason"), "ord.*"))
+
+    further = left.select(F.explode("_further").alias("v")).select("v.*").distinct()
+    # maps cannot be grouped: the entries stand in for them
+    variables = left.select("_variable.*").distinct()
     if known_variables is not None:
-        renamed = reuse_existing(variables.withColumnRenamed("dcid", "node").withColumn("_made", F.col("node")), known_variables)
-        renamed = materialise(renamed.select("node", "_made", F.map_entries("props").alias("e")))
+        made = variables.select(F.col("dcid").alias("node"), F.col("dcid").alias("_made"), F.map_from_entries("e").alias("props"))
+        renamed = materialise(reuse_existing(made, known_variables).select("node", "_made", F.map_entries("props").alias("e")))
         names = renamed.filter("node <> _made").select("_made", F.col("node").alias("_known")).distinct()
-        bare = strip_namespace(F.col("variableMeasured"))
-        good = good.join(names, bare == F.col("_made"), "left").withColumn(
+        good = good.join(names, strip_namespace(F.col("variableMeasured")) == F.col("_made"), "left").withColumn(
             "variableMeasured", F.coalesce(add_namespace(F.col("_known")), F.col("variableMeasured"))).drop("_made", "_known")
-        variables = renamed.select(F.col("node").alias("dcid"), "e").distinct().select("dcid", F.map_from_entries("e").alias("props"))
-    if options.unused_variables:
-        return Result(good, variables, bad, _all(rejects), conflicts)
-    # denominators and other dependants stay: observations name them only through their own variable
-    dependants = [e.select("dcid") for e in extra]
-    used = good.select(strip_namespace(F.col("variableMeasured")).alias("dcid"))
-    for e in dependants:
-        used = used.unionByName(e)
-    return Result(good, variables.join(used.distinct(), "dcid", "left_semi"), bad, _all(rejects), conflicts)
-
-
-def _rejected(rows: DataFrame, stage: str, reason: Column) -> DataFrame:
-    return rows.select(F.lit(stage).alias("stage"), reason.alias("reason"), *ROW_KEYS)
-
-
-def _all(tables: Sequence[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+        variables = renamed.select(F.col("node").alias("dcid"), "e").distinct()
+    if not options.unused_variables:
+        used = good.select(strip_namespace(F.col("variableMeasured")).alias("dcid")).distinct()
+        variables = variables.join(used, "dcid", "left_semi")
+    # denominators and other dependants stay: observations name them through their own variable
+    variables = variables.unionByName(further).distinct().select("dcid", F.map_from_entries("e").alias("props"))
+    return Result(good, variables, bad, rejects, conflicts)
