@@ -130,11 +130,11 @@ def missing_ids(t):
 
 @query("fingerprint_diff", """
 WITH a AS (SELECT min(s_suppkey) AS l, s_nationkey AS n, floor(s_acctbal / 1000)::BIGINT AS k FROM supplier GROUP BY 2, 3), b AS (SELECT min(c_custkey) AS r, c_nationkey AS n, floor(c_acctbal / 1000)::BIGINT AS k FROM customer GROUP BY 2, 3)
-SELECT l AS left_node, r AS right_node, CASE WHEN l IS NULL THEN 'added' WHEN r IS NULL THEN 'deleted' ELSE 'matched' END AS status FROM a FULL JOIN b ON a.n = b.n AND a.k = b.k""")
+SELECT coalesce(l, -1) AS left_node, coalesce(r, -1) AS right_node, CASE WHEN l IS NULL THEN 'added' WHEN r IS NULL THEN 'deleted' ELSE 'matched' END AS status FROM a FULL JOIN b ON a.n = b.n AND a.k = b.k""")
 def fingerprint_diff(t):
     side = lambda df, k, nat, bal: df.select(F.col(k).alias("node"), F.create_map(F.lit("nation"), F.concat(F.lit("N"), nat), F.lit("band"), F.concat(F.lit("B"), F.floor(F.col(bal) / 1000).cast("string")), F.lit("dcid"), F.col(k).cast("string")).alias("props"))
     a = side(t("supplier"), "s_suppkey", "s_nationkey", "s_acctbal")
-    return n.diff_by_fingerprint(a, side(t("customer"), "c_custkey", "c_nationkey", "c_acctbal")).select("left_node", "right_node", "status")
+    return n.diff_by_fingerprint(a, side(t("customer"), "c_custkey", "c_nationkey", "c_acctbal")).select(*[F.coalesce(c, F.lit(-1)).alias(c) for c in ("left_node", "right_node")], "status")
 
 
 @query("reuse_existing", "SELECT p_partkey, (SELECT min('part' || lpad(CAST(q.p_partkey AS VARCHAR), 9, '0')) FROM part q WHERE q.p_brand = part.p_brand AND q.p_type = part.p_type AND q.p_size = part.p_size) AS node FROM part")
