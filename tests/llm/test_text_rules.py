@@ -140,7 +140,7 @@ def pipeline():
 
 def test_pipeline_stages(spark, tmp_path):
     """Every stage of the pipeline against a plain version of its decision on its own input."""
-    from .test_near_and_substrings import grouped, simhash
+    from .test_similar import grouped, share
 
     module, sf = pipeline(), "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -164,8 +164,10 @@ def test_pipeline_stages(spark, tmp_path):
         first[k] = min(first.get(k, r["doc_id"]), r["doc_id"])
     assert unique.columns == columns and sorted(r["doc_id"] for r in unique.select("doc_id").collect()) == sorted(first.values())
     far = stage("near_dedup", unique)
-    prints = {r["doc_id"]: (r["doc_id"], simhash(r["text"])) for r in unique.select("doc_id", "text").collect()}
-    assert far.columns == columns and sorted(r["doc_id"] for r in far.select("doc_id").collect()) == sorted(set(grouped(prints).values()))
+    groups = list(grouped(unique).values())
+    text = {r["doc_id"]: r["text"] for r in unique.select("doc_id", "text").collect()}
+    assert all(max(share(text[d], text[o]) for o in g - {d}) >= 0.8 for g in groups if len(g) > 1 for d in g)
+    assert far.columns == columns and sorted(r["doc_id"] for r in far.select("doc_id").collect()) == sorted(map(min, groups))
     mixed = stage("mixture", far)
     from gridwright.llm.mixture import curriculum
 
