@@ -13,8 +13,8 @@ from .scale import bounded, first_rows
 
 
 def row_hash(ids: Sequence[str], seed: int = 42) -> Column:
-    """Repeatable random order of rows."""
-    return F.xxhash64(F.lit(seed), *[F.col(f"`{i}`") for i in ids])
+    """Repeatable random order of rows: an md5 of the seed and the ids, in hex."""
+    return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(f"`{i}`").cast("string") for i in ids]))
 
 
 def range_bucket(v: Column, lo: Column, q1: Column, med: Column, q3: Column, hi: Column, near: float = 0.001) -> Column:
@@ -95,7 +95,7 @@ def one_per_pattern(df: DataFrame, columns: Sequence[str], order: Sequence[str])
 
 def sample_fraction(df: DataFrame, ids: Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
     """Hash-threshold sample: the same rows on every run and any partitioning."""
-    return df.filter(F.pmod(row_hash(ids, seed), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    return df.filter(F.conv(F.substring(row_hash(ids, seed), 1, 8), 16, 10).cast("long") < int(fraction * (1 << 32)))
 
 
 def coverage_report(df: DataFrame, sample: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -118,7 +118,15 @@ def coverage_of_sample(t):
     return s.coverage_report(o, s.coverage_sample(o, ["o_orderkey"], SAMPLE_COLUMNS, ["o_totalprice"], p.numeric_ranges(o, ["o_totalprice"])), SAMPLE_COLUMNS)
 
 
-@query("coverage_sample")
+@query("coverage_sample", """
+WITH o AS (SELECT *, md5('42|' || o_orderkey) AS h FROM orders),
+r AS (SELECT v[1] AS lo, v[len(v) // 4 + 1] AS q1, v[len(v) // 2 + 1] AS q2, v[len(v) * 3 // 4 + 1] AS q3, v[len(v)] AS hi FROM (SELECT list_sort(list(o_totalprice)) AS v FROM orders)),
+g AS (SELECT o_orderkey, h, 's' AS c, o_orderstatus AS v FROM o UNION ALL SELECT o_orderkey, h, 'p', o_orderpriority FROM o UNION ALL
+  SELECT o_orderkey, h, 't', CASE WHEN abs(o_totalprice - lo) < 0.001 THEN 'min' WHEN abs(o_totalprice - hi) < 0.001 THEN 'max' WHEN o_totalprice <= q1 THEN 'q1'
+    WHEN o_totalprice <= q2 THEN 'q2' WHEN o_totalprice <= q3 THEN 'q3' ELSE 'q4' END FROM o, r),
+c AS (SELECT DISTINCT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY c, v ORDER BY h, o_orderkey) AS i FROM g) WHERE i = 1),
+f AS (SELECT o_orderkey FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM c) ORDER BY h LIMIT (SELECT greatest(80 - count(*), 0) FROM c))
+SELECT * FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM c UNION ALL SELECT o_orderkey FROM f)""")
 def coverage_sample(t):
     o = t("orders")
     return s.coverage_sample(o, ["o_orderkey"], SAMPLE_COLUMNS, ["o_totalprice"], p.numeric_ranges(o, ["o_totalprice"]))
@@ -138,7 +146,8 @@ def one_per_pattern(t):
     return s.one_per_pattern(t("orders").select("o_orderkey", *SAMPLE_COLUMNS), SAMPLE_COLUMNS, ["o_orderkey"]).select(*SAMPLE_COLUMNS, "o_orderkey")
 
 
-@query("hash_sample")
+@query("hash_sample", """
+SELECT * FROM lineitem WHERE ('0x' || substr(md5('42|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey), 1, 8))::BIGINT < 42949672""")
 def hash_sample(t):
     return s.sample_fraction(t("lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], 0.01)
 
