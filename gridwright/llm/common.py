@@ -60,11 +60,6 @@ def chunk_bits(rows: int, per_chunk: int = 20_000, least: int = 8, most: int = 2
     return max(least, min(most, (rows // per_chunk).bit_length()))
 
 
-def top_bits(hash_column: Column, bits: int) -> Column:
-    """The leading bits of a 64-bit hash, unsigned."""
-    return F.shiftrightunsigned(hash_column, 64 - bits)
-
-
 def hex_bits(digest: Column, bits: int) -> Column:
     """The leading bits of a hex digest, rising with the digest's own order."""
     return F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), 32 - bits)

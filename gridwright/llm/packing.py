@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
-from .common import chunk_bits, in_chunks, literal_array, text_of, top_bits, word_count
+from .common import chunk_bits, hex_bits, in_chunks, literal_array, text_of, word_count
 
 EXACT_CELLS = 4096  # lengths up to here are histogram cells of their own
 
@@ -58,7 +58,7 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, id_col: str =
     Tokens are words. The global histogram of lengths (one row per cell) goes to the driver, where
     the dynamic programme finds the bucket ends. A batch of a bucket with end ``e`` holds
     ``budget // e`` documents padded to ``e``; longer documents than the budget are batches of one.
-    Rows are numbered inside a bucket by chunks of a hash, so a bucket may hold any share of the table.
+    Rows are numbered inside a bucket in the order of an md5 of the id, by chunks of it, so a bucket may hold any share of the table.
 
     Returns id, ``n_tokens``, ``bucket``, ``bucket_len``, ``batch`` (0, 1, ... in a bucket), ``slot``
     and ``padding``. Null or empty text: length 0, in the lowest bucket. Repeated rows are packed
@@ -66,13 +66,13 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, id_col: str =
     """
     rows = materialise(docs.select(
         F.col(id_col).alias("id"), word_count(text_of(text_col)).alias("n_tokens"),
-        F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("hash")))
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("hash")))
     cells = rows.groupBy(cell_of(F.col("n_tokens")).alias("cell")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
     found = sorted((r["cell"], r["docs"], r["tokens"]) for r in cells.collect())
     edges = best_edges(found, buckets)
     n_rows = sum(c[1] for c in found)
     bucket = F.size(F.filter(literal_array(edges), lambda e: e < F.col("n_tokens")))
-    chunk = top_bits(F.col("hash"), chunk_bits(n_rows))
+    chunk = hex_bits(F.col("hash"), chunk_bits(n_rows))
     dealt = in_chunks(rows.withColumn("bucket", bucket).withColumn("chunk", chunk).withColumn("one", F.lit(1)),
                       ["bucket"], "chunk", ["hash", "id", "n_tokens"], {"at": "one"})
     per_batch = literal_array([max(1, budget // max(1, e)) for e in edges])

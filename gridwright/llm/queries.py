@@ -156,7 +156,27 @@ def op7_tool_calls(t):
     return linked.withColumn("level", F.coalesce("level", F.lit(-1)))
 
 
-@query("op8_packing")
+def _packing_sql(buckets: int = 16, budget: int = 65_536) -> str:
+    """The dynamic programme with one CTE per bucket: layer k has the least cost of the first j cells in k buckets."""
+    layers = ["l0 AS (SELECT 0::BIGINT AS j, 0::BIGINT AS cost, 0::BIGINT AS cut)"]
+    for k in range(1, buckets + 1):
+        layers.append(f"""l{k} AS MATERIALIZED (SELECT j, least.cost AS cost, least.a AS cut FROM (
+            SELECT c.j, min({{'cost': p.cost + c.cell * (c.docs - q.docs) - (c.tokens - q.tokens), 'a': p.j}}) AS least
+            FROM c JOIN l{k - 1} p ON p.j < c.j JOIN z q ON q.j = p.j GROUP BY c.j))""")
+    back = [f"b{buckets} AS (SELECT j, cut FROM l{buckets} WHERE j = (SELECT max(j) FROM c))"]
+    back += [f"b{k} AS (SELECT l{k}.j, l{k}.cut FROM l{k} JOIN b{k + 1} ON l{k}.j = b{k + 1}.cut)" for k in range(buckets - 1, 0, -1)]
+    edges = " UNION ALL ".join(f"SELECT {k - 1} AS bucket, cell AS e FROM b{k} JOIN c USING (j)" for k in range(1, buckets + 1))
+    step = "pow(2, greatest(0, ceil(log2(greatest(n, 1))) - 12))"
+    return f"""WITH d AS (SELECT doc_id, {WORD_COUNT}::BIGINT AS n, md5(doc_id::VARCHAR) AS o FROM documents),
+    h AS (SELECT CASE WHEN n <= 4096 THEN n ELSE (ceil(n / {step}) * {step})::BIGINT END AS cell, count(*) AS docs, sum(n)::BIGINT AS tokens FROM d GROUP BY 1),
+    c AS MATERIALIZED (SELECT row_number() OVER w AS j, cell, (sum(docs) OVER w)::BIGINT AS docs, (sum(tokens) OVER w)::BIGINT AS tokens FROM h WINDOW w AS (ORDER BY cell)),
+    z AS MATERIALIZED (SELECT j, docs, tokens FROM c UNION ALL SELECT 0, 0, 0), {", ".join(layers)}, {", ".join(back)}, e AS ({edges}),
+    a AS (SELECT doc_id, n, o, min(bucket) AS bucket, min(e) AS e FROM d JOIN e ON n <= e.e GROUP BY 1, 2, 3),
+    i AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY o, doc_id, n) - 1 AS pos, greatest(1, {budget} // greatest(1, e)) AS per FROM a)
+    SELECT doc_id, n AS n_tokens, bucket, e AS bucket_len, pos // per AS batch, pos % per AS slot, e - n AS padding FROM i"""
+
+
+@query("op8_packing", _packing_sql())
 def op8_packing(t):
     return pack(t("documents"))
 
