@@ -87,10 +87,10 @@ def _nfkd(s: pd.Series) -> pd.Series:
 def match_form(v: Column, fold_accents: bool = True, keep_symbols: bool = False) -> Column:
     """Form used for fuzzy equality: decomposed, lower case, single spaces, letters and digits only.
 
-    Pure ASCII needs no decomposition; with ``fold_accents=False`` the whole expression stays in
+    Pure ASCII needs no decomposition and isn't sent to Python; with ``fold_accents=False`` the whole expression stays in
     the JVM and composed letters are kept.
     """
-    base = _nfkd(v) if fold_accents else v
+    base = F.coalesce(_nfkd(F.when(v.rlike(r"[^\x00-\x7F]"), v)), v) if fold_accents else v
     squeezed = F.trim(F.regexp_replace(F.lower(base), " +", " "))
     return squeezed if keep_symbols else F.regexp_replace(squeezed, r"[^\p{L}\p{N} ]", "")
 

@@ -113,29 +113,27 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str =
     return top_k(best, ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 
-def components(edges: DataFrame, left: str, right: str, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Connected components of a two-sided graph (entity, key value): ``entity, component``.
 
     Every round, entities hear the smallest label of their keys, the whole group of a label joins
     the smallest label any of its members heard, and labels jump to the label of their label, so
     rounds grow with the logarithm of the group size even on long chains. All steps are minima
-    combined on the map side or joins against one row per key; each round is cut into a table.
+    combined on the map side or joins against one row per key; each round is cut into a table, and rounds go on until no label moves.
     """
     links = materialise(edges.select(F.col(left).alias("e"), F.col(right).alias("k")).distinct())
     labels = materialise(links.groupBy("e").agg(F.min("e").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         at_key = links.join(labels, "e").groupBy("k").agg(F.min("label").alias("m"))
         heard = links.join(at_key, "k").groupBy("e").agg(F.min("m").alias("m"))
-        step = materialise(labels.join(heard, "e"))
+        step = labels.join(heard, "e")
         hook = step.groupBy("label").agg(F.min("m").alias("h"))
-        moved = materialise(step.join(hook, "label").select("e", F.col("label").alias("old"), F.least("m", "h").alias("new")))
+        moved = step.join(hook, "label").select("e", F.col("label").alias("old"), F.least("m", "h").alias("new"))
         up = moved.select(F.col("e").alias("_e"), F.col("new").alias("_up"))
         nxt = materialise(moved.join(up, F.col("new") == F.col("_e"), "left").select("e", "old", F.least("new", "_up").alias("label")))
         labels = nxt.select("e", "label")
-        if not nxt.filter(F.col("old") != F.col("label")).limit(1).count():
+        if not nxt.filter(F.col("old") != F.col("label")).head(1):
             break
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     return labels.select(F.col("e").alias("entity"), F.col("label").alias("component"))
 
 

@@ -108,7 +108,7 @@ def test_components_of_long_chain(spark):
     ids = list(range(400))
     random.Random(2).shuffle(ids)
     edges = [(ids[i], i) for i in range(400)] + [(ids[i], i - 1) for i in range(1, 400)] + [(1000, 5000), (1001, 5000)]
-    out = m.components(spark.createDataFrame(edges, "e long, k long"), "e", "k", max_rounds=15)
+    out = m.components(spark.createDataFrame(edges, "e long, k long"), "e", "k")
     got = {r["entity"]: r["component"] for r in out.collect()}
     assert {got[i] for i in ids} == {0} and got[1000] == got[1001] == 1000
 
