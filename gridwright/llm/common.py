@@ -80,6 +80,13 @@ def located(df: DataFrame) -> DataFrame:
         return stored.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
 
 
+def small_batches(spark, rows: int = 1000) -> None:
+    """Let Arrow batches hold at most ``rows`` rows: whole texts are long, and a worker holds a batch at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def fresh_dir(spark, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

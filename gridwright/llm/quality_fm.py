@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import small_batches
 from .learn import Adam, HELD_OUT, WordHashes, fold_of, labelled_sample, sigmoid
 
 WORDS = 1 << 15  # buckets of hashed words
@@ -140,6 +141,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The rows of ``docs``, all columns, whose score is at least ``least``; scored as in ``score``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text_at, chars_at = docs.columns.index(text_col), docs.columns.index(chars_col)
 
