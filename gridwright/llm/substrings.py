@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
@@ -17,6 +18,7 @@ PART_BYTES = 64 << 20  # text per part of the hash space
 LEAST_PARTS_BITS = 8
 FEW_DOCS, FEW_RUNS = 250_000, 4_000_000  # broadcast bounds: documents, and numbers in their lists (32 MB)
 LAST = (1 << 63) - 1  # order of a null id
+SETTLED_ROWS = 4096  # places in one record of those that need no comparison
 
 BLOCK_AT = np.dtype([("hash", "<u8"), ("id", "<i8"), ("text", "<i8"), ("at", "<i4")])
 WINDOW_AT = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("text", "<i8"), ("at", "<i4")])
@@ -103,6 +105,17 @@ SENT = "part int, kind byte, data binary"
 PLACES = "id long, text_hash long, at int"
 
 
+def _first_turn() -> int:
+    """Number before a task's first batch: batches count upwards from it, and no two tasks share one."""
+    return TaskContext.get().partitionId() << 32
+
+
+def _settled(found: np.ndarray, bits: int, turn: int) -> list[tuple[int, int, bytes]]:
+    """Places that need no comparison, in short records dealt over all parts, whatever the number of tasks and batches."""
+    cuts = range(0, len(found), SETTLED_ROWS)
+    return [(xxhash.xxh64_intdigest(f"{turn}:{at}", 13) % (1 << bits), SETTLED, found[at:at + SETTLED_ROWS].tobytes()) for at in cuts]
+
+
 def _anchors(gathered: _Gathered, block: int, bits: int, turn: int) -> pa.RecordBatch:
     """Every rolling window's hash once, and the aligned blocks.
 
@@ -119,8 +132,7 @@ def _anchors(gathered: _Gathered, block: int, bits: int, turn: int) -> pa.Record
     blocks = np.zeros(len(mine), dtype=BLOCK_AT)
     blocks["hash"], blocks["id"], blocks["text"], blocks["at"] = short[mine], doc[mine], text[mine], place[mine] // block
     again = times[np.searchsorted(probes, blocks["hash"])] > 1 if len(mine) else np.zeros(0, dtype=bool)
-    if again.any():
-        found.append((turn % (1 << bits), SETTLED, blocks[again].tobytes()))
+    found += _settled(blocks[again], bits, turn)
     alone = blocks[~again]
     parts = (alone["hash"] >> np.uint64(40)).astype(np.int64)
     order = np.argsort(parts, kind="stable")
@@ -169,7 +181,7 @@ def _extended(gathered: _Gathered, masks: list[np.ndarray], window: int, bits: i
     found = np.zeros(len(take), dtype=WINDOW_AT)
     found["h1"], found["h2"], found["id"], found["text"], found["at"] = h1[take], h2[take], doc[take], text[take], place[take]
     later, first = _later(found)
-    rows = [(turn % (1 << bits), SETTLED, later.tobytes())] if len(later) else []
+    rows = _settled(later, bits, turn)
     parts = (first["h1"] >> np.uint64(64 - bits)).astype(np.int64)
     rows += [(p, OPEN, first[b:e].tobytes()) for p, b, e in _cut(parts)]
     return _rows(rows)
@@ -195,7 +207,7 @@ def repeated_runs(rows: DataFrame, window: int, bits: int) -> DataFrame:
     block = window // 2
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, gathered, turn = _WordHashes(), _Gathered(), 0
+        cache, gathered, turn = _WordHashes(), _Gathered(), _first_turn()
         for batch in batches:
             for doc, text, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = text.as_py().split()
@@ -214,7 +226,7 @@ def repeated_runs(rows: DataFrame, window: int, bits: int) -> DataFrame:
     met = materialise(met)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, gathered, masks, turn = _WordHashes(), _Gathered(), [], 0
+        cache, gathered, masks, turn = _WordHashes(), _Gathered(), [], _first_turn()
         for batch in batches:
             for doc, text, key, blocks in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("text_hash").to_pylist(), batch.column("blocks"), strict=True):
                 words = text.as_py().split()

@@ -125,3 +125,21 @@ def test_removal_across_flushes(spark, monkeypatch):
     long = [f"l{i % 331}" for i in range(700)]
     rows = [(i, " ".join(long[i * 13:] + [f"u{i}_{j}" for j in range(40)])) for i in range(30)]
     check_removal(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+
+
+def test_settled_places_are_dealt_over_all_parts():
+    """The first batches of many tasks don't send what they settle to one group, nor one batch all of it."""
+    import numpy as np
+
+    from gridwright.llm import substrings
+
+    def settled(task, docs):
+        gathered = substrings._Gathered()
+        for doc in range(docs):
+            gathered.add(np.arange(40, dtype=np.uint64), doc, doc, 0)
+        sent = substrings._anchors(gathered, 10, 8, (task << 32) + 1).to_pylist()
+        return [(r["part"], len(r["data"]) // substrings.BLOCK_AT.itemsize) for r in sent if r["kind"] == substrings.SETTLED]
+
+    assert len({part for task in range(200) for part, _ in settled(task, 2)}) > 90
+    large = settled(0, 20_000)
+    assert sum(n for _, n in large) == 80_000 and len({part for part, _ in large}) > 10
