@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import quality_fm, quality_rules
+from ..session import materialise
+from .common import bounded_batches, fresh_dir, located
 from .exact import exact_dedup
 from .mixture import curriculum
 from .packing import pack
+from .periodic import periodic_runs, planted
 from .secrets import CANDIDATE_LEAST, KINDS, LEAN, LEAST, MARGIN, PATTERNS, STATES, find_secrets
 from .shards import shard
 from .simhash import near_duplicates
 from .substrings import remove_repeats
 from .toolcalls import declared_tools, events_of, link
+from .warc import deduplicate, read_archives, records_of, resolve, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,3 +189,30 @@ def op8_packing(t):
 def op10_substring_dedup(t):
     out = remove_repeats(t("documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op11_warc_revisits", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+    g AS (SELECT *, payload_bytes >= 1000 AND page_id < max(page_id) OVER (PARTITION BY h) AS again, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+    SELECT page_id, payload_bytes, sha1(h) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN again THEN last END AS refers_to FROM g""")
+def op11_warc_revisits(t):
+    pages = t("pages")
+    path = fresh_dir(pages.sparkSession, "warc")
+    write_archives(deduplicate(records_of(located(pages))), path)
+    found = resolve(read_archives(pages.sparkSession, path, payloads=False))
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", F.col("sha1").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_key").alias("refers_to"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(t):
+    docs = t("documents")
+    found = periodic_runs(docs.select("doc_id", planted(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("text")))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    length, period = best["length"], -best["period"]
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-best["start"]).alias("start"), length.alias("length"), period.alias("period"),
+                       F.floor(1000 * length / period).cast("long").alias("exponent_milli"), F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+                       F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    with bounded_batches(docs.sparkSession):
+        return materialise(out)
