@@ -10,6 +10,7 @@ from . import quality_fm, quality_rules
 from ..session import materialise
 from .common import bounded_batches, fresh_dir, located
 from .exact import exact_dedup
+from .hardneg import hard_negatives
 from .mixture import curriculum
 from .packing import pack
 from .periodic import periodic_runs, planted
@@ -216,3 +217,20 @@ def op12_periodic_runs(t):
                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
     with bounded_batches(docs.sparkSession):
         return materialise(out)
+
+
+@query("op13_hard_negatives", """
+    WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    a AS (SELECT vec_id AS anchor_id, label AS anchor_label, v AS anchor FROM r WHERE vec_id % 100 = 0),
+    s AS (SELECT anchor_id, vec_id, label = anchor_label AS same, list_dot_product(anchor, v)::BIGINT AS score FROM a, r),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same AND vec_id <> anchor_id
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10""")
+def op13_hard_negatives(t):
+    rows = t("embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    found = hard_negatives(rows, F.col("vec_id") % 100 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
