@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.numbers import parse_number
 from ..functions.props import overlay_all, sort_by
 from ..functions.text import words
+from ..session import materialise
 from .scale import bounded, carry_forward
 
 
@@ -26,11 +27,21 @@ def select_rows(grid: DataFrame, skip: int = 0, only: Sequence[int] = (), ignore
     return out.withColumn("cells", F.slice("cells", 1, max_columns)) if max_columns else out
 
 
-def melt(grid: DataFrame) -> DataFrame:
-    """One row per cell: ``file, row_no, col_no`` (from 1) and the trimmed text."""
-    cell = F.trim(F.regexp_replace("value", r"\n", " "))
-    return grid.select("file", "row_no", F.posexplode("cells").alias("p", "value")).select(
-        "file", "row_no", (F.col("p") + 1).alias("col_no"), F.coalesce(cell, F.lit("")).alias("value"))
+def melt(grid: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per cell: ``file, row_no``, the columns of ``keep``, ``col_no`` (from 1) and the trimmed text."""
+    cell = F.trim(F.translate("value", "\n", " "))
+    return grid.select("file", "row_no", *keep, F.posexplode("cells").alias("p", "value")).select(
+        "file", "row_no", *keep, (F.col("p") + 1).alias("col_no"), F.coalesce(cell, F.lit("")).alias("value"))
+
+
+def dealt(grid: DataFrame, bucket: int = 2_000) -> DataFrame:
+    """Rows, still whole, dealt out by file and ``_bucket`` (of row numbers).
+
+    Cells melted from them stay in their task: work by row needs no exchange of cells. The number of tasks is
+    given, for adaptive execution would weigh the rows as they travel, not the cells and properties that come of them.
+    """
+    tasks = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return grid.withColumn("_bucket", F.floor(F.col("row_no") / bucket)).repartition(tasks, "file", "_bucket")
 
 
 def mapped_cells(header_rows: int = 0, header_columns: int = 0, mapped_rows: Sequence[int] | int = 0,
@@ -82,18 +93,83 @@ def attach_running_headers(cells: DataFrame, header_columns: Sequence[str], buck
     return carry_forward(cells, ["file", "col_no"], "row_no", header_columns, bucket)
 
 
-def carry_row(cells: DataFrame, props: Sequence[str], flows: Column) -> DataFrame:
+def header_states(cells: DataFrame, columns: Sequence[str], bucket: int = 20_000) -> DataFrame:
+    """What holds in each column from a header row on: ``file, row_no, head, state``, the interval table of a file.
+
+    ``cells`` are those of header rows only (``file, row_no, col_no, head`` and ``columns``); ``state`` is an array with
+    one struct of ``columns`` per column of the file. Newer header rows overlay older ones.
+    """
+    widest = cells.groupBy("file").agg(F.max("col_no").alias("_w"))
+    rows = cells.select("file", "row_no", "head").distinct().join(bounded(widest), "file")
+    every = rows.select("file", "row_no", "head", F.explode(F.sequence(F.lit(1), "_w")).alias("col_no"))  # a short row ends no column
+    padded = materialise(every.join(cells.drop("head"), ["file", "row_no", "col_no"], "left"))
+    carried = attach_running_headers(padded, columns, bucket)
+    own = F.struct("col_no", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("s"))
+    return carried.groupBy("file", "row_no").agg(F.max("head").alias("head"), F.array_sort(F.collect_list(own)).alias("_a")).select(
+        "file", "row_no", "head", F.transform("_a", lambda x: x["s"]).alias("state"))
+
+
+def with_header_state(grid: DataFrame, states: DataFrame, bucket: int = 20_000) -> DataFrame:
+    """Body rows with the ``state`` of the last header row at or above them, dealt out as by :func:`dealt`.
+
+    Rows and states travel once, as they are, and meet in one ordered pass over each bucket; a bucket
+    starts with the last state of those before it. Header rows (``head``) themselves are left out.
+    """
+    at = F.floor(F.col("row_no") / bucket)
+    kind = states.schema["state"].dataType
+    tails = states.groupBy("file", at.alias("_bucket")).agg(F.max_by("state", "row_no").alias("state"))
+    buckets = grid.select("file", at.alias("_bucket")).distinct()
+    earlier = Window.partitionBy("file").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    either = buckets.withColumn("state", F.lit(None).cast(kind)).unionByName(tails).groupBy("file", "_bucket").agg(F.max_by("state", F.col("state").isNotNull()).alias("state"))
+    starts = either.select("file", "_bucket", F.last("state", True).over(earlier).alias("state")).filter(F.col("state").isNotNull())
+    none = F.lit(None).cast("array<string>").alias("cells")
+    united = (grid.select("file", "row_no", "cells", F.lit(None).cast(kind).alias("state"), F.lit(False).alias("head"), F.lit(2).alias("_kind"))
+              .unionByName(states.select("file", "row_no", none, "state", F.col("head").cast("boolean").alias("head"), F.lit(1).alias("_kind")))
+              .unionByName(starts.select("file", (F.col("_bucket") * bucket).alias("row_no"), none, "state", F.lit(False).alias("head"), F.lit(0).alias("_kind"))))
+    upto = Window.partitionBy("file", "_bucket").orderBy("row_no", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt(united, bucket).withColumns({"state": F.last("state", True).over(upto), "_head_at": F.last(F.when(F.col("head"), F.col("row_no")), True).over(upto)})
+    body = met.filter((F.col("_kind") == 2) & ~F.col("_head_at").eqNullSafe(F.col("row_no")))
+    return body.select("file", "_bucket", "row_no", "cells", "state")
+
+
+def carry_row(cells: DataFrame, props: Sequence[str], flows: Column, row: Sequence[str] = ("file", "row_no")) -> DataFrame:
     """Properties of cells where ``flows`` holds reach every cell of the row.
 
-    A cell keeps its own value, else takes the nearest one to its left, else the last one to its right.
+    A cell keeps its own value, else takes the nearest one to its left, else the last one to its right. ``row`` may name
+    further columns that cells were dealt out by.
     """
-    before = Window.partitionBy("file", "row_no").orderBy("col_no").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("file", "row_no").orderBy("col_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = Window.partitionBy(*row).orderBy("col_no").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*row).orderBy("col_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = cells.withColumns({f"_f:{p}": F.when(flows, F.col(f"`{p}`")) for p in props})
     carried = {p: F.coalesce(F.col(f"`{p}`"), F.last(F.col(f"`_f:{p}`"), True).over(before), F.last(F.col(f"`_f:{p}`"), True).over(whole)) for p in props}
     return out.withColumns(carried).drop(*[f"_f:{p}" for p in props])
 
 
+def fold_row(cells: DataFrame, row: Sequence[str], shared: Sequence[str], flows: Column, wanted: Column, flowing: dict[str, Column]) -> DataFrame:
+    """The row's own carry as a fold over its few flowing cells; only ``wanted`` cells come out.
+
+    As :func:`carry_row`: a cell keeps its own ``shared`` properties, else takes the nearest to its left, else the last of
+    the row; ``flowing`` are the values that flow where they differ from the cell's own. What is carried is also given alone,
+    as ``_c:<prop>``, for those. Cells must lie together by ``row`` (:func:`dealt`); then nothing is exchanged.
+    """
+    width = len(shared)
+    own = F.array(*[F.col(f"`{p}`") for p in shared]).cast("array<string>")
+    sent = F.array(*[flowing.get(p, F.col(f"`{p}`")) for p in shared]).cast("array<string>")
+    others = [c for c in cells.columns if c not in shared and c not in row and c != "col_no"]
+    whole_cell = F.struct("col_no", own.alias("v"), *[F.col(f"`{c}`").alias(c) for c in others])
+    rows = cells.groupBy(*row).agg(F.collect_list(F.when(flows, F.struct("col_no", sent.alias("v")))).alias("_flows"), F.collect_list(F.when(wanted, whole_cell)).alias("_cells"))
+    rows = rows.filter(F.size("_cells") > 0).withColumn("_flows", F.array_sort("_flows"))
+    nothing = F.array_repeat(F.lit(None).cast("string"), width)
+    newest = lambda cs: F.aggregate(cs, nothing, lambda acc, c: F.zip_with(acc, c["v"], lambda a, b: F.coalesce(b, a)))
+    first = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, y))
+    apart = rows.withColumn("_all", newest(F.col("_flows"))).select(*row, "_flows", "_all", F.explode("_cells").alias("_c"))
+    left = newest(F.filter("_flows", lambda c: c["col_no"] < F.col("_c.col_no")))
+    met = apart.select(*row, "_c", first(left, F.col("_all")).alias("_t"))
+    met = met.withColumn("_v", first(F.col("_c.v"), F.col("_t")))
+    return met.select(*row, "_c.col_no", *[F.get("_v", F.lit(i)).alias(p) for i, p in enumerate(shared)], *[F.col(f"_c.`{c}`").alias(c) for c in others],
+                      *[F.get("_t", F.lit(i)).alias(f"_c:{p}") for i, p in enumerate(shared) if p in flowing])
+
+
 def candidate_keys(grid: DataFrame, first_rows: int = 100, max_length: int = 80) -> DataFrame:
     """Distinct short, non-numeric texts of the first rows: the strings a PV map should cover."""
     cells = melt(grid.filter(F.col("row_no") <= first_rows))

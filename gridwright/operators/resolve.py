@@ -159,8 +159,10 @@ def apply_filters(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFram
 
 
 def process(df: DataFrame, schema: PvSchema) -> DataFrame:
-    """References, then pattern, format and expression rules, then references once more."""
+    """References, then pattern, format and expression rules, then references once more if there are rules."""
     df = substitute(df, schema.references)
+    if not any(schema.rules.get(r) for r in ("#Regex", "#Format", "#Eval")):
+        return df
     df = extract_patterns(df, schema.rules.get("#Regex", ()))
     df = apply_formats(df, schema.rules.get("#Format", ()))
     df = apply_expressions(df, schema.rules.get("#Eval", ()))

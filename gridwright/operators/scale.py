@@ -31,9 +31,12 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROA
 
 
 def localised(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """A measured-small table evaluated once and kept as a broadcast relation; larger ones are written out once."""
+    """A measured-small table evaluated once and kept as a broadcast relation; larger ones are written out once.
+
+    The small one is a single partition, so that further work on it needs no exchange.
+    """
     if fits(df, max_rows, max_bytes):
-        return F.broadcast(df.sparkSession.createDataFrame(df.toArrow()))
+        return F.broadcast(df.sparkSession.createDataFrame(df.toArrow()).coalesce(1))
     return materialise(df)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, fields, replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ids
 from ..functions.dates import period_of, resolve_date
@@ -52,7 +52,7 @@ class GridOptions:
     id_ignore: Sequence[str] = ("description", "name", "nameWithLanguage", "descriptionUrl", "alternateName")
     boolean_props: Sequence[str] = ()
     affixes: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
-    carry_bucket: int = 20_000
+    carry_bucket: int = 2_000
     resolve_duplicates: bool = True
     unused_variables: bool = False
     default_pv_key: str = "DEFAULT_PV"
@@ -94,13 +94,15 @@ def with_config_rows(options: GridOptions, pv_map: DataFrame) -> GridOptions:
     return replace(options, **changed)
 
 
-def file_level_properties(grid: DataFrame, pv_map: DataFrame, schema: PvSchema, options: GridOptions, table: DataFrame) -> DataFrame:
-    """``file, file_props``: what the map says about the file's name, over its default entry."""
-    named = g.file_properties(grid, options.word_delimiter)
-    hits = find_properties(named.select("header", "value").distinct(), pv_map, schema, delimiter=options.word_delimiter, table=table).select("value", "props")
+def file_level_properties(names: DataFrame, hits: DataFrame, table: DataFrame, options: GridOptions) -> DataFrame:
+    """``file, file_props``: what the map says about the file's name, over its default entry.
+
+    ``hits`` are the searched texts (:func:`searched`), the names of ``names`` among them.
+    """
     default = table.filter((F.col("namespace") == ANY) & (F.col("key") == options.default_pv_key)).select(F.lit(1).alias("_one"), F.col("props").alias("_default"))
-    joined = named.join(hits, "value", "left").withColumn("_one", F.lit(1)).join(F.broadcast(default), "_one", "left")  # one row at most
-    return joined.select("file", overlay_all(F.array_compact(F.array("_default", "props"))).alias("file_props")).filter(F.size("file_props") > 0)
+    own = hits.filter(F.col("_h") == "").select("value", "_p3")
+    joined = names.select("file", "value").join(own, "value", "left").withColumn("_one", F.lit(1)).join(F.broadcast(default), "_one", "left")  # one row at most
+    return joined.select("file", overlay_all(F.array_compact(F.array("_default", "_p3"))).alias("file_props")).filter(F.size("file_props") > 0)
 
 
 def ignored_reason(wide: DataFrame) -> Column:
@@ -140,25 +142,41 @@ def merge_duplicates(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, grouped.filter(~agree).select(*[prop(k) for k in key], *names, "n_rows", "min_value", "max_value")
 
 
+def _tagged(cells: DataFrame, schema: PvSchema, options: GridOptions, header: str | None) -> DataFrame:
+    """Cells with their header text ``_h``, whether the text is ``_plain`` and whether it is looked up at all (``_want``)."""
+    numeric = "" if schema.spaced_digits else r"|-?[0-9]+([.,][0-9]+)*"
+    plain = F.col("value").rlike(f"^([a-z0-9_%$-]*{numeric})$")
+    head = F.coalesce(F.col(header), F.lit("")) if header else F.lit("")
+    wanted = g.mapped_cells(options.header_rows, options.header_columns, options.mapped_rows, options.mapped_columns, schema.namespaces, header)
+    return cells.withColumns({"_h": head, "_plain": plain, "_want": wanted & (F.col("value") != "")})
+
+
+def searched(cells: DataFrame, pv_map: DataFrame, schema: PvSchema, options: GridOptions, table: DataFrame, header: str | None = None,
+             names: DataFrame | None = None) -> DataFrame:
+    """Properties (``_p3``) of the distinct texts of ``cells`` that aren't plain words or numbers: fall-backs and phrases. Stored.
+
+    ``names`` (``value``) are searched with them, whatever they look like.
+    """
+    rest = _tagged(cells, schema, options, header).filter(~F.col("_plain") & F.col("_want")).select(F.col("_h").alias("header"), "value")
+    rest = (rest if names is None else rest.unionByName(names.select(F.lit("").alias("header"), "value"))).distinct()
+    # one pass collects the distinct texts; everything the searches do afterwards reads that table
+    strings = materialise(rest.withColumn("header", F.nullif(F.col("header"), F.lit(""))))
+    hits = find_properties(strings, pv_map, schema, delimiter=options.word_delimiter, word_boundary=options.word_boundary, table=table, substrings=options.substrings)
+    return bounded(materialise(hits.select(F.coalesce("header", F.lit("")).alias("_h"), F.col("value"), F.col("props").alias("_p3"))))
+
+
 def attach_properties(cells: DataFrame, pv_map: DataFrame, schema: PvSchema, options: GridOptions, table: DataFrame,
-                      header: str | None = None) -> DataFrame:
+                      header: str | None = None, hits: DataFrame | None = None) -> DataFrame:
     """Add ``props`` (null when nothing is mapped) to cells.
 
     Plain lower-case words and numbers can only hit the map as they are: one broadcast join, no
     shuffle. Only the remaining distinct (header, text) pairs go through the fall-backs and the
-    phrase search, and are joined back.
+    phrase search (``hits``, if that was done already), and are joined back.
     """
-    numeric = r"^-?[0-9]+([.,][0-9]+)*$"
-    plain = F.col("value").rlike("^[a-z0-9_%$-]*$")
-    if not schema.spaced_digits:
-        plain = plain | F.col("value").rlike(numeric)
-    head = F.coalesce(F.col(header), F.lit("")) if header else F.lit("")
-    wanted = g.mapped_cells(options.header_rows, options.header_columns, options.mapped_rows, options.mapped_columns, schema.namespaces, header)
-    tagged = cells.withColumns({"_h": head, "_plain": plain, "_want": wanted & (F.col("value") != "")})
-
+    hits = searched(cells, pv_map, schema, options, table, header) if hits is None else hits
     direct = table.select(F.col("namespace").alias("_ns"), F.col("key").alias("_k"), F.col("props").alias("_p1"))
     ns = effective_namespace(F.col("_h"), [n for n in schema.namespaces if n]) if header else F.lit(ANY)
-    out = tagged.withColumns({"_ns": ns, "_k": F.when(F.col("_plain") & F.col("_want"), F.col("value"))}).join(direct, ["_ns", "_k"], "left")
+    out = _tagged(cells, schema, options, header).withColumns({"_ns": ns, "_k": F.when(F.col("_plain") & F.col("_want"), F.col("value"))}).join(direct, ["_ns", "_k"], "left")
     found = [F.col("_p1")]
     if schema.prefixed_keys:
         second = table.filter(F.col("namespace") == ANY).select(F.col("key").alias("_k2"), F.col("props").alias("_p2"))
@@ -166,13 +184,7 @@ def attach_properties(cells: DataFrame, pv_map: DataFrame, schema: PvSchema, opt
         out = out.withColumn("_k2", F.when(F.col("_plain") & F.col("_want") & F.col("_p1").isNull(), F.concat(label, F.lit(":"), F.col("value"))))
         out = out.join(second, "_k2", "left").drop("_k2")
         found.append(F.col("_p2"))
-
-    # one pass collects the distinct texts; everything the searches do afterwards reads that table
-    rest = tagged.filter(~F.col("_plain") & F.col("_want")).select(F.col("_h").alias("header"), "value").distinct()
-    strings = materialise(rest.withColumn("header", F.nullif(F.col("header"), F.lit(""))))
-    hits = find_properties(strings, pv_map, schema, delimiter=options.word_delimiter, word_boundary=options.word_boundary, table=table, substrings=options.substrings)
-    hits = materialise(hits.select(F.coalesce("header", F.lit("")).alias("_h"), F.col("value"), F.col("props").alias("_p3")))
-    out = out.join(bounded(hits), ["_h", "value"], "left")
+    out = out.join(hits, ["_h", "value"], "left")
     found.append(F.col("_p3"))
 
     if schema.prefixed_keys:
@@ -193,47 +205,58 @@ def positional_fallback(cells: DataFrame, table: DataFrame) -> DataFrame:
     return cells
 
 
-def _headed_cells(cells: DataFrame, pv_map: DataFrame, schema: PvSchema, options: GridOptions, props: Sequence[str],
-                  table: DataFrame) -> DataFrame:
-    """Body cells with own ``props`` and one ``h:<prop>`` column per header property."""
+def named_by_header(schema: PvSchema) -> bool:
+    """Whether what a cell's text means depends on the text above it."""
+    return len(schema.namespaces) > 1 or schema.prefixed_keys
+
+
+def _headed_cells(rows: DataFrame, pv_map: DataFrame, schema: PvSchema, options: GridOptions, props: Sequence[str],
+                  table: DataFrame, hits: DataFrame) -> DataFrame:
+    """Body cells with own ``props`` and one ``h:<prop>`` column per header property.
+
+    Rows are dealt out once, whole (``g.dealt``); their cells are melted in place and stay there.
+    """
+    by_header = named_by_header(schema)
     if options.header_rows > 0:
-        by_header = len(schema.namespaces) > 1 or schema.prefixed_keys
-        top_cells = cells.filter(F.col("row_no") <= options.header_rows)
-        known = attach_properties(top_cells if by_header else cells, pv_map, schema, options, table)
-        top = known.filter(F.col("row_no") <= options.header_rows)
+        cells = g.melt(g.dealt(rows, options.carry_bucket), ["_bucket"])
+        top_cells = g.melt(rows.filter(F.col("row_no") <= options.header_rows))
+        top = attach_properties(top_cells, pv_map, schema, options, table, hits=hits)
         folded = materialise(g.fold_headers(g.fill_merged(top, default=options.merged_cells)))
-        body = g.attach_fixed_headers((cells if by_header else known).filter(F.col("row_no") > options.header_rows), folded)
-        if by_header:
-            body = attach_properties(body, pv_map, schema, options, table, "header")
+        body = g.attach_fixed_headers(cells.filter(F.col("row_no") > options.header_rows), folded)
+        body = attach_properties(body, pv_map, schema, options, table, "header") if by_header else attach_properties(body, pv_map, schema, options, table, hits=hits)
         return body.withColumns({f"h:{p}": F.col("header_props")[p] for p in props}).drop("header", "header_props")
 
-    # header rows are those with mapped cells and no number
-    known = attach_properties(cells, pv_map, schema, options, table)
-    row = Window.partitionBy("file", "row_no")
-    number = parse_number(F.col("value"), options.decimal, options.separators).isNotNull()
-    flagged = known.withColumn("_head", (F.max(F.col("props").isNotNull().cast("int")).over(row) == 1)
-                               & (F.max((number & F.col("props").isNull()).cast("int")).over(row) == 0))
+    names = [f"h:{p}" for p in props] + (["header"] if by_header else [])
+    known = lambda cells: attach_properties(cells, pv_map, schema, options, table, hits=hits)
+    states = g.header_states(_header_cells(rows, known, schema, options, props, by_header), names, options.carry_bucket)
+    body = g.with_header_state(rows, materialise(states), options.carry_bucket)
+    headed = g.melt(body, ["_bucket", "state"]).withColumn("_s", F.get("state", F.col("col_no") - 1)).drop("state")
+    headed = headed.select("*", *[F.col(f"_s.`{n}`").alias(n) for n in names]).drop("_s")
+    if by_header:
+        return attach_properties(headed, pv_map, schema, options, table, "header").drop("header")
+    return attach_properties(headed, pv_map, schema, options, table, hits=hits)
+
+
+def _header_cells(rows: DataFrame, known: Callable[[DataFrame], DataFrame], schema: PvSchema, options: GridOptions, props: Sequence[str], named: bool) -> DataFrame:
+    """Cells of header rows, which have mapped cells and no unmapped number, and of rows with a ``#Header`` cell.
+
+    Rows are judged by three flags, combined where they lie; then the cells of those few rows are looked up again.
+    """
+    number = parse_number(F.col("value"), options.decimal, options.separators)
+    mapped = F.col("props").isNotNull()
+    listed = F.coalesce(F.col("props")["#Header"].isNotNull(), F.lit(False)) if "#Header" in schema.props else F.lit(False)
+    judged = known(g.melt(g.dealt(rows, options.carry_bucket), ["_bucket"])).groupBy("file", "_bucket", "row_no").agg(
+        F.max(mapped).alias("_m"), F.max(~mapped & number.isNotNull()).alias("_n"), F.max(listed).alias("_l"))
+    heads = judged.withColumn("head", F.col("_m") & ~F.col("_n")).filter(F.col("head") | F.col("_l")).select("file", "row_no", "head")
+    few = bounded(materialise(heads))
+    cells = materialise(known(g.melt(rows.join(few, ["file", "row_no"]), ["head"])))
     if options.merged_cells is not None or "#MergedCell" in schema.props:
-        flagged = g.fill_merged(flagged.withColumn("_props", F.col("props")), "_props", options.merged_cells)
-        source = F.col("_props")
+        cells = g.fill_merged(cells.withColumn("_props", F.col("props")), "_props", options.merged_cells)
     else:
-        source = F.col("props")
-    tagged = {f"h:{p}": F.when(F.col("_head"), source[p]) for p in props}
-    if "#Header" in schema.props:
-        listed = F.split(F.col("props")["#Header"], ",")
-        for p in props:
-            tagged[f"h:{p}"] = F.when(F.col("_head") | F.array_contains(listed, p), source[p])
-    flagged = flagged.withColumns(tagged)
-    names = list(tagged)
-    if len(schema.namespaces) > 1 or schema.prefixed_keys:
-        flagged = flagged.withColumn("header", F.when(F.col("_head"), F.col("value")))
-        names.append("header")
-    # read twice below: once for the carry inside buckets, once for the bucket ends
-    flagged = materialise(flagged)
-    carried = g.attach_running_headers(flagged, names, options.carry_bucket).filter(~F.col("_head")).drop("_head", "_props")
-    if "header" in names:
-        carried = attach_properties(carried.drop("props"), pv_map, schema, options, table, "header").drop("header")
-    return carried
+        cells = cells.withColumn("_props", F.col("props"))
+    shown = lambda p: (F.col("head") | F.array_contains(F.split(F.col("props")["#Header"], ","), p)) if "#Header" in schema.props else F.col("head")
+    texts = [F.when(F.col("head"), F.col("value")).alias("header")] if named else []
+    return cells.select("file", "row_no", "col_no", "head", *[F.when(shown(p), F.col("_props")[p]).alias(f"h:{p}") for p in props], *texts)
 
 
 def resolve_cells(cells: DataFrame, schema: PvSchema, options: GridOptions, props: Sequence[str], file_props: DataFrame | None = None) -> DataFrame:
@@ -241,7 +264,7 @@ def resolve_cells(cells: DataFrame, schema: PvSchema, options: GridOptions, prop
     number = parse_number(F.col("value"), options.decimal, options.separators)
     file_level = {}
     if file_props is not None:
-        cells = cells.join(bounded(file_props), "file", "left")
+        cells = cells.join(file_props, "file", "left")
         file_level = {p: F.col("file_props")[p] for p in props}
     columns = {p: F.coalesce(F.col("props")[p], F.col(f"`h:{p}`"), *([file_level[p]] if file_level else [])) for p in props}
     columns["Data"] = F.col("value")
@@ -250,17 +273,21 @@ def resolve_cells(cells: DataFrame, schema: PvSchema, options: GridOptions, prop
     if options.all_numbers_are_values:
         columns["value"] = F.coalesce(text, columns.get("value", F.lit(None).cast("string")))
     # the cell text lives on as Data, so that a property called "value" has its name to itself
-    keys = [F.col(k) for k in ROW_KEYS]
+    keys = [F.col(k) for k in (*ROW_KEYS, "_bucket")]
     wide = cells.select(*keys, *[c.alias(p) for p, c in columns.items()])
     wide = settle(resolve.process(wide, schema))
     has = lambda p: prop(p).isNotNull() if p in wide.columns else F.lit(False)
     no_value = ~(has("value") | has("measurementResult"))
-    shared = [p for p in wide.columns if p not in ROW_KEYS and p not in observe.INTERNAL_PROPS and p not in ("#Regex", "#Format", "#Eval", "value", "measurementResult")]
-    flows = wide.withColumns({f"_ok:{p}": F.when(valid_column(p), prop(p)) for p in schema.references if p in shared})
+    shared = [p for p in wide.columns if p not in (*ROW_KEYS, "_bucket") and p not in observe.INTERNAL_PROPS and p not in ("#Regex", "#Format", "#Eval", "value", "measurementResult")]
+    made = {r.split("=", 1)[0].strip() for r in schema.rules.get("#Format", ())}
+    wanted = ~no_value | (has("#Format") if made & {"value", "measurementResult"} else F.lit(False))
     # open references stay in their own cell
-    carried = g.carry_row(flows.withColumns({p: prop(f"_ok:{p}") for p in schema.references if p in shared}), shared, no_value)
-    carried = carried.drop(*[f"_ok:{p}" for p in schema.references])
+    flowing = {p: F.when(valid_column(p), prop(p)) for p in schema.references if p in shared}
+    carried = g.fold_row(wide, ("file", "_bucket", "row_no"), shared, no_value, wanted, flowing).drop("_bucket")
+    carried = settle(carried)
     carried = resolve.substitute(carried, schema.references)
+    # one that is still open gives way to what the row has
+    carried = carried.withColumns({p: F.when(valid_column(p), prop(p)).otherwise(F.col(f"`_c:{p}`")) for p in flowing}).drop(*[f"_c:{p}" for p in flowing])
     carried = resolve.apply_formats(carried, schema.rules.get("#Format", ()))
     return settle(carried)
 
@@ -315,12 +342,16 @@ def grid_to_observations(grid: DataFrame, pv_map: DataFrame, options: GridOption
     pv_map = pv_map.filter(~F.lower("key").startswith("config:"))
     schema = pv_schema(pv_map)
     table = localised(with_default_namespace(pv_map))
-    if file_props is None:
-        file_props = materialise(file_level_properties(grid, pv_map, schema, options, table))
-        file_props = file_props if file_props.head(1) else None
     props = [p for p in dict.fromkeys((*schema.all_props, "value")) if p not in ("Data",)]
     rows = g.select_rows(grid, options.skip_rows, options.process_rows, options.ignore_rows, options.min_columns, options.max_rows, options.max_columns)
-    cells = _headed_cells(g.melt(rows), pv_map, schema, options, props, table)
+    # header cells alone are known without their header, where that decides
+    first = rows.filter(F.col("row_no") <= options.header_rows) if options.header_rows > 0 and named_by_header(schema) else rows
+    names = None if file_props is not None else g.file_properties(grid, options.word_delimiter)
+    hits = searched(g.melt(first), pv_map, schema, options, table, names=names)
+    if file_props is None:
+        file_props = localised(file_level_properties(names, hits, table, options))
+        file_props = file_props if file_props.head(1) else None
+    cells = _headed_cells(rows, pv_map, schema, options, props, table, hits)
     wide = resolve_cells(cells, schema, options, props, file_props)
 
     result = valid_value(_value(wide, "measurementResult"))
