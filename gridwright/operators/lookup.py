@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.props import overlay_all, sort_by
 from ..functions.text import delimiter_char, words
 from ..session import materialise
-from .scale import bounded, fits, spread
+from .scale import bounded, localised, spread
 
 GLOBAL = "GLOBAL"
 ANY = "*"  # namespace of the merged default maps, used for headers that are no namespace themselves
@@ -149,35 +154,56 @@ def phrase_lookup(strings: DataFrame, pv_map: DataFrame, schema: PvSchema, keys:
                          F.transform("_o", lambda p: p["matched"]).alias("matched"))
 
 
-def _contained_keys(text: DataFrame, table: DataFrame, keys: Sequence[str], word_boundary: bool, few: int, anchor: int) -> DataFrame:
-    """``keys, key``: the map keys that occur in each text.
+def _contained_keys(text: DataFrame, table: DataFrame, keys: Sequence[str], word_boundary: bool, part_keys: int) -> DataFrame:
+    """``keys, key``: the map keys that occur in each text (``_v``).
 
-    A map of at most ``few`` keys is tested directly on every text. A larger one is met by
-    equi-joins: every position, with no more text than the longest key, is matched by a short
-    anchor against the distinct key heads, which tell the key lengths worth cutting there; the cut
-    pieces then join the whole keys.
+    An automaton of all keys runs once over each text, in Arrow batches, and tells every place where one ends. It is
+    built in parts of about ``part_keys`` keys, so neither the driver nor a task holds more at once, however large the map; a task's
+    worker builds a part once.
     """
-    boundary = lambda inner: r"(?<!\p{L})" + inner + r"(?!\p{L})"
-    if fits(table.select("key"), few):
-        literal = sorted(r["key"] for r in table.select("key").collect())
-        quoted = lambda k: "\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-        hit = lambda k: (F.col("_v").contains(k) & F.col("_v").rlike(boundary(quoted(k)))) if word_boundary else F.col("_v").contains(k)
-        found = F.array_compact(F.array(*[F.when(hit(k), F.lit(k)) for k in literal]))
-        return text.select(*keys, F.explode(found).alias("key"))
-    longest = table.agg(F.max(F.length("key"))).first()[0]
-    head = F.substr(F.col("key"), F.lit(1), F.least(F.length("key"), F.lit(anchor)))
-    heads = table.select(head.alias("head"), F.length("key").alias("n")).groupBy("head").agg(F.sort_array(F.collect_set("n")).alias("lengths"))
-    at = F.explode(F.transform(F.sequence(F.lit(1), F.length("_v")), lambda s: F.struct(
-        F.substr(F.col("_v"), s, F.lit(longest + 1)).alias("piece"),
-        F.when(s > 1, F.substr(F.col("_v"), s - 1, F.lit(1))).otherwise(F.lit("")).alias("left"))))
-    spots = text.select(*keys, at.alias("p")).select(*keys, "p.piece", "p.left").distinct()
-    anchors = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(anchor)), lambda k: F.substr(F.col("piece"), F.lit(1), k)))
-    cut = spots.select("*", F.explode(anchors).alias("head")).join(bounded(heads), "head").select(*keys, "piece", "left", F.explode("lengths").alias("n"))
-    cut = cut.filter(F.col("n") <= F.length("piece"))
-    if word_boundary:
-        cut = cut.filter(~F.col("left").rlike(r"\p{L}") & ~F.substr(F.col("piece"), F.col("n") + 1, F.lit(1)).rlike(r"\p{L}"))
-    pieces = cut.select(*keys, F.substr(F.col("piece"), F.lit(1), F.col("n")).alias("key")).distinct()
-    return pieces.join(bounded(table.select("key")), "key", "left_semi")
+    spark = text.sparkSession
+    parts = max(1, -(-table.count() // part_keys))
+    fields = text.select(*keys).schema
+    out = None
+    for part in range(parts):
+        some = table if parts == 1 else table.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == part)
+        shipped = spark.sparkContext.broadcast([r["key"] for r in some.select("key").toLocalIterator()])
+
+        def scan(batches: Iterator[pa.RecordBatch], shipped=shipped, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(name, shipped)
+            for batch in batches:
+                rows, found = [], []
+                for i, v in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                    hits = set()
+                    for end, key in automaton.iter(v):
+                        first = end - len(key) + 1
+                        if key in hits or word_boundary and (first and v[first - 1].isalpha() or v[end + 1:end + 2].isalpha()):
+                            continue
+                        hits.add(key)
+                    rows += [i] * len(hits)
+                    found += sorted(hits)
+                if rows:
+                    picked = batch.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([*picked.columns[:-1], pa.array(found)], names=[*batch.schema.names[:-1], "key"])
+
+        hits = text.select(*keys, "_v").mapInArrow(scan, StructType([*fields, StructField("key", StringType())]))
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
+
+
+def _automaton(name: str, shipped: Broadcast) -> ahocorasick.Automaton:
+    """The automaton of the shipped keys; a worker keeps the last one that it built."""
+    if name not in _AUTOMATA:
+        built = ahocorasick.Automaton()
+        for key in shipped.value:
+            built.add_word(key, key)
+        built.make_automaton()
+        _AUTOMATA.clear()
+        _AUTOMATA[name] = built
+    return _AUTOMATA[name]
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -189,12 +215,13 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 
 
 def substring_lookup(strings: DataFrame, pv_map: DataFrame, keys: Sequence[str], value: str = "value",
-                     word_boundary: bool = True, few: int = 300, anchor: int = 4) -> DataFrame:
+                     word_boundary: bool = True, part_keys: int = 100_000) -> DataFrame:
     """Keys contained in the text, longest first, each one blanking the text it used."""
-    table = pv_map.groupBy("key").agg(F.min_by("props", F.col("ord")).alias("props"), F.min("ord").alias("ord"))
+    pv_map = pv_map.filter("key <> ''")
+    table = localised(pv_map.groupBy("key").agg(F.min_by("props", F.col("ord")).alias("props"), F.min("ord").alias("ord")))
     text = spread(strings.select(*keys, F.col(value).alias("_v")).filter(F.length("_v") > 0), *keys)
-    pieces = _contained_keys(text, table, keys, word_boundary, few, anchor)
-    listed = pieces.join(bounded(table), "key").groupBy(*keys).agg(
+    pieces = _contained_keys(text, table, keys, word_boundary, part_keys)
+    listed = pieces.join(table, "key").groupBy(*keys).agg(
         sort_by(F.collect_list(F.struct((-F.length("key")).alias("size"), "ord", "key", "props")), "size", "ord").alias("_c"))
     found = _null_safe_join(listed, text, keys)
     start = F.struct(F.col("_v").alias("rest"), F.slice("_c", 1, 0).alias("picked"))

@@ -127,6 +127,18 @@ def substring_lookup_documents(t):
     return hits.select("doc_id", F.concat(F.coalesce(F.col("props")["t"], F.lit("")), F.coalesce(F.col("props")["o"], F.lit(""))).alias("found"))
 
 
+@query("substring_lookup_passages", """
+WITH k AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:4], ' ') AS key FROM benchmark UNION SELECT DISTINCT c_name FROM customer UNION SELECT DISTINCT o_orderkey || '-' || o_custkey FROM orders)
+SELECT doc_id, count(*)::BIGINT AS n_keys, min(key) AS first_key FROM documents JOIN k ON contains(text, key) GROUP BY doc_id""")
+def substring_lookup_passages(t):
+    """Heads of the benchmark's passages in whole documents, among very many keys that no text holds."""
+    b = t("benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("key"))
+    others = t("customer").select(F.col("c_name").alias("key")).union(t("orders").select(F.concat_ws("-", "o_orderkey", "o_custkey").alias("key")))
+    m = b.unionByName(others).distinct().select("key", F.create_map(F.lit("key"), F.col("key")).alias("props"), F.lit(0).alias("ord"))
+    hits = l.substring_lookup(t("documents").select("doc_id", F.col("text").alias("value")), m, ["doc_id"], word_boundary=False)
+    return hits.select("doc_id", F.size("matched").cast("long").alias("n_keys"), F.array_min("matched").alias("first_key"))
+
+
 @query("positional_lookup", """
 SELECT o_orderkey, CASE WHEN o_orderkey = 7 THEN 'cell' ELSE 'column' END AS kind FROM orders""")
 def positional_lookup(t):

@@ -26,6 +26,16 @@ def grid_file_scan(t):
     return ends.agg(F.sum("n").alias("n_rows"), F.sum(ok).alias("n_numbered"), F.sum("k").alias("key_sum"), F.max("w").cast("long").alias("width"))
 
 
+@query("grid_file_quoted", """SELECT doc_id, md5(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM documents""")
+def grid_file_quoted(t):
+    """Whole texts as quoted cells, line ends and quotes inside, written as text and read back by split."""
+    d = t("documents")
+    path = scratch(d.sparkSession, "quoted")
+    d.select(F.concat(F.col("doc_id"), F.lit(',"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')).alias("value")).write.text(path)
+    g = sg.read_grid(d.sparkSession, path + "/*.txt", quoted_newlines=True)
+    return g.select(F.get("cells", F.lit(0)).cast("long").alias("doc_id"), F.md5(F.get("cells", F.lit(1))).alias("digest"))
+
+
 @query("keyed_csv_load", "SELECT c_nationkey::BIGINT AS c_nationkey, max(c_acctbal) AS c_acctbal, array_to_string(list_sort(list_distinct(list(c_mktsegment))), ',') AS c_mktsegment FROM customer GROUP BY 1")
 def keyed_csv_load(t):
     c = t("customer")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import split_quoted, unquoted
-from ..operators.scale import bounded, with_position
+from ..operators.scale import bounded, fits, with_position
 from ..session import materialise
 
 
@@ -21,15 +22,15 @@ def read_grid(spark: SparkSession, paths: str | Sequence[str], delimiter: str =
     Text splits are read in parallel; a row's number is its place in the split plus the rows of the
     file's earlier splits (one small row per split), which takes a counting pass. With
     ``exact=False`` that pass is saved: numbers rise within a file but jump at split borders (the
-    byte offset of a split is at least the number of rows before it). With ``quoted_newlines`` a
-    file is read by one task.
+    byte offset of a split is at least the number of rows before it). With ``quoted_newlines`` line ends
+    inside double quotes end no row; a file with an odd number of quotes has none (:func:`_quoted_rows`).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if quoted_newlines:
-        return _whole_files(spark, paths, delimiter)
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.col("value"),
         F.monotonically_increasing_id().alias("_mid"))
+    if quoted_newlines:
+        return _quoted_rows(lines).select("file", "row_no", _split_csv("line", delimiter).alias("cells"))
     if not exact:
         local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
         return lines.select("file", (F.col("_start") + local + 1).alias("row_no"), _split_csv("value", delimiter).alias("cells"))
@@ -40,11 +41,90 @@ def read_grid(spark: SparkSession, paths: str | Sequence[str], delimiter: str =
     return numbered.select("file", (F.col("_offset") + F.col("_mid") - F.col("_first") + 1).alias("row_no"), _split_csv("value", delimiter).alias("cells"))
 
 
-def _whole_files(spark: SparkSession, paths: Sequence[str], delimiter: str) -> DataFrame:
-    """Line ends inside quotes don't end a row: rows are cut as cells are, by a delimiter outside quotes."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
-    rows = files.select("file", F.posexplode(split_quoted(F.regexp_replace("text", "\n$", ""), "\n")).alias("_at", "line")).filter(F.col("line") != "")
-    return rows.select("file", (F.col("_at") + 1).cast("long").alias("row_no"), _split_csv("line", delimiter).alias("cells"))
+_STATE = "file string, start long, n long, odd boolean, starts long"
+
+
+def _quote_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each split's effect on the quote state, a function of two states: whether it turns them round (``odd``), and how
+    many of its ``n`` lines start outside quotes if it is entered outside them (the others do if it is entered inside)."""
+    rows, at = [], None
+    for batch in batches:
+        quotes = [v.count('"') & 1 for v in batch.column(2).to_pylist()]
+        for file, start, odd in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), quotes, strict=True):
+            if at is None or at[0] != file or at[1] != start:
+                if at:
+                    rows.append(tuple(at))
+                at = [file, start, 0, False, 0]
+            at[2] += 1
+            at[4] += not at[3]
+            at[3] ^= bool(odd)
+    if at:
+        rows.append(tuple(at))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file", "start", "n", "odd", "starts"])
+
+
+def _joined_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each split's lines in order: ``file, row_no, start, whole, line``.
+
+    A row that goes on in the next split, or comes from the one before, is a piece (not ``whole``).
+    """
+    schema = pa.schema([("file", pa.string()), ("row_no", pa.int64()), ("start", pa.int64()), ("whole", pa.bool_()), ("line", pa.string())])
+    split, inside, number, open_, entered = None, False, 0, None, False
+    out: list[tuple] = []
+
+    def close(ends_inside: bool) -> None:
+        """The open row, as it is at its end or at the end of its split."""
+        if open_ is not None:
+            out.append((split[0], number, split[1], not (entered or ends_inside), "\n".join(open_)))
+
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(6)]
+        for file, start, value, enters, offset, plain in zip(*columns, strict=True):
+            if split != (file, start):
+                close(inside)
+                split, inside, number, open_, entered = (file, start), enters and not plain, offset, None, False
+            if not inside:
+                close(False)
+                open_, entered, number = [value], False, number + 1
+            elif open_ is None:
+                open_, entered = [value], True
+            else:
+                open_.append(value)
+            inside ^= bool(value.count('"') & 1) and not plain
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+            out.clear()
+    close(inside)
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _quoted_rows(lines: DataFrame) -> DataFrame:
+    """``file, row_no, line`` where line ends inside double quotes don't end a row; empty rows are left out.
+
+    Splits are read in parallel, twice. The first pass gives each split's effect on the quote state (one small row), the
+    composition of those before it the state in which it is entered and the number of rows before it. The second joins
+    lines as they stream by, one row at a time; only rows cut by a split border, two pieces a split at
+    most, are put together afterwards.
+    """
+    plain_lines = lines.select("file", "_start", "value")
+    states = materialise(plain_lines.mapInArrow(_quote_states, _STATE).withColumnRenamed("start", "_start"))
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.col("odd").cast("long")
+    entered = states.withColumns({
+        "_enters": F.coalesce(F.sum(number).over(before), F.lit(0)) % 2 == 1,
+        "_plain": F.sum(number).over(Window.partitionBy("file")) % 2 == 1})
+    begun = F.when(F.col("_plain"), F.col("n")).when(F.col("_enters"), F.col("n") - F.col("starts")).otherwise(F.col("starts"))
+    known = materialise(entered.withColumn("_offset", F.coalesce(F.sum(begun).over(before), F.lit(0))).select("file", "_start", "_enters", "_offset", "_plain"))
+    met = lines.join(bounded(known), ["file", "_start"])
+    if not fits(known):  # a shuffled join takes the lines of a split apart
+        met = met.repartition("file", "_start").sortWithinPartitions("file", "_start", "_mid")
+    pieces = met.select("file", "_start", "value", "_enters", "_offset", "_plain").mapInArrow(_joined_lines, "file string, row_no long, start long, whole boolean, line string")
+    stored = materialise(pieces)
+    cut = stored.filter("NOT whole").groupBy("file", "row_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "line"))), lambda x: x["line"]), "\n").alias("line"))
+    return stored.filter("whole").select("file", "row_no", "line").unionByName(cut).filter("line <> ''")
 
 
 def grid_of(df: DataFrame, columns: Sequence[str], order: Sequence[str], file: str | None = None) -> DataFrame:

@@ -49,15 +49,29 @@ def brute_substrings(text, keys, boundary):
     return out
 
 
-def test_substrings_small_and_large_maps(spark):
+def test_substrings_by_automata_of_any_size(spark):
     rnd = random.Random(9)
     keys = list(dict.fromkeys(["be", "beta", "a g", "zeta", "eps", "ta", "ga", "gamma d", "x.*y"]))
     texts = {" ".join(rnd.choices(WORDS + ["x.*y", "betas"], k=rnd.randint(1, 6))) for _ in range(80)}
     pv = pv_map_from_dict(spark, {"GLOBAL": {k: {"p": k} for k in keys}})
-    for boundary, few in itertools.product((True, False), (300, 0)):
-        got = {r["value"]: list(r["matched"]) for r in l.substring_lookup(strings(spark, texts), pv, ["value"], word_boundary=boundary, few=few).collect()}
+    for boundary, part in itertools.product((True, False), (100_000, 2)):
+        got = {r["value"]: list(r["matched"]) for r in l.substring_lookup(strings(spark, texts), pv, ["value"], word_boundary=boundary, part_keys=part).collect()}
         want = {t: brute_substrings(t, keys, boundary) for t in texts}
-        assert got == {t: w for t, w in want.items() if w}, (boundary, few)
+        assert got == {t: w for t, w in want.items() if w}, (boundary, part)
+
+
+def test_substrings_of_many_keys(spark):
+    """Thousands of keys on whole documents, in several automata."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    words = sorted({w for t in texts.values() for w in t.split()})
+    keys = words[::3] + [f"{a} {b}" for a, b in zip(words[::7], words[1::7])] + [f"none{i}" for i in range(2000)]
+    pv = spark.createDataFrame([(k, {"p": k}, i) for i, k in enumerate(dict.fromkeys(keys))], "key string, props map<string,string>, ord int")
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, value string")
+    got = {}
+    for r in l._contained_keys(df.withColumnRenamed("value", "_v"), pv, ["doc_id"], False, 900).collect():
+        got.setdefault(r["doc_id"], set()).add(r["key"])
+    assert len(set(keys)) > 3000
+    assert got == {i: w for i, t in texts.items() if (w := {k for k in set(keys) if k in t})}
 
 
 def normal(t):

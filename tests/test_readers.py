@@ -1,11 +1,13 @@
 """Readers and closures on inputs that are wide, deep, quoted or oddly parted."""
 
 import csv
+import random
 
 from pyspark.sql import functions as F
 
 from gridwright.operators.observe import merge_keyed
 from gridwright.operators.places import closure
+from gridwright.sources import grids
 from gridwright.sources.grids import read_grid
 from gridwright.sources.nodefiles import read_nodes, write_nodes
 from gridwright.sources.pvmaps import load_pv_map
@@ -36,6 +38,46 @@ def test_quoted_line_ends_and_any_number_of_columns(spark, tmp_path):
     assert cells_of(read_grid(spark, str(path), quoted_newlines=True)) == rows
 
 
+def quoted_rows(text):
+    """Rows cut at line ends outside quotes, by one walk over the text; with an odd number of quotes, at every line end."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    plain, rows, inside = text.count('"') % 2, [""], False
+    for c in text.removesuffix("\n"):
+        inside ^= c == '"' and not plain
+        if c == "\n" and not inside:
+            rows.append("")
+        else:
+            rows[-1] += c
+    return [(i, r) for i, r in enumerate(rows, 1) if r]
+
+
+def test_quoted_line_ends_over_many_splits(spark, tmp_path):
+    """Splits of a few bytes: rows span several, start anywhere, and are numbered as one task would."""
+    rnd = random.Random(3)
+    for k in range(3):
+        rows = [[rnd.choice(["a", "two\nlines", 'a "word"\n\n', "x" * rnd.randrange(60), "", "\n" * rnd.randrange(9)]) for _ in range(3)] for _ in range(120)]
+        with (tmp_path / f"f{k}.csv").open("w", newline="") as f:
+            csv.writer(f, lineterminator=rnd.choice(["\n", "\r\n"])).writerows(rows)
+            if k == 2:
+                f.write('odd "\nlast,1\n')
+    (tmp_path / "empty.csv").write_text("")
+    want = {}
+    for path in tmp_path.glob("*.csv"):
+        with path.open(newline="") as f:
+            want[path.name] = quoted_rows(f.read())
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("97", "1000", "128m"):
+            spark.conf.set(key, size)
+            lines = spark.read.text(str(tmp_path)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), "value", F.monotonically_increasing_id().alias("_mid"))
+            got = {}
+            for r in grids._quoted_rows(lines).collect():
+                got.setdefault(r["file"].rsplit("/", 1)[1], []).append((r["row_no"], r["line"]))
+            assert {n: sorted(r) for n, r in got.items()} == {n: r for n, r in want.items() if r}, size
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_map_rows_of_any_length(spark, tmp_path):
     path = tmp_path / "map.csv"
     path.write_text("key,property,value\n# a note\nlong," + ",".join(f"p{i},v{i}" for i in range(40)) + "\nshort,only\n")
