@@ -115,16 +115,28 @@ def ignored_reason(wide: DataFrame) -> Column:
     return reason
 
 
+def _same(left: Sequence[Column], right: Sequence[Column]) -> Column:
+    """Equality of keys, nulls included."""
+    out = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        out = out & a.eqNullSafe(b)
+    return out
+
+
 def merge_duplicates(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row per observation key, and the keys with different values, in one aggregate combined per task.
 
     Rows that carry ``#Aggregate`` are combined by its method, whatever their measurement method; the others must agree.
+    Combined rows are marked by their measurement method, merged means by ``statType``. A ``list`` keeps all its
+    values, a row each, told apart by ``ord``; the lists of a hot key need no single row.
     """
-    key = observe.obs_key_columns(obs, ["#Aggregate", "measurementMethod"])
+    if "#Aggregate" in obs.columns:
+        obs = obs.withColumns({c: F.lit(None).cast("string") for c in ("measurementMethod", "statType") if c not in obs.columns})
+    key = observe.obs_key_columns(obs, ["#Aggregate", "measurementMethod", "statType"])
     columns = [c for c in obs.columns if c != "#Aggregate"]
     others = [c for c in columns if c not in key]
     how = F.lower(F.coalesce(F.col("`#Aggregate`"), F.lit(""))) if "#Aggregate" in obs.columns else F.lit("")
-    tagged = obs.withColumn("_how", F.when(how.isin(*observe.AGGREGATES), how).otherwise(""))
+    tagged = obs.withColumn("_how", F.when(how.isin(*observe.AGGREGATES, "list"), how).otherwise(""))
     method = F.col("measurementMethod") if "measurementMethod" in columns else F.lit(None).cast("string")
     grouped = tagged.groupBy(*key, "_how", F.when(F.col("_how") == "", method).alias("_method")).agg(
         F.min_by(F.struct(*others), "ord").alias("_first"), F.max_by("value", "ord").alias("_last"), F.sum("value").alias("_sum"),
@@ -136,8 +148,14 @@ def merge_duplicates(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if "measurementMethod" in columns:
         marked = observe.aggregate_method(F.coalesce("_first.measurementMethod", F.lit("")), F.col("_how"), F.col("n_rows") > 1)
         made["measurementMethod"] = F.when(F.col("_how") == "", F.col("_first.measurementMethod")).otherwise(marked)
+    if "statType" in columns:
+        made["statType"] = F.when((F.col("_how") == "mean") & (F.col("n_rows") > 1), F.lit("dcs:meanValue")).otherwise(F.col("_first.statType"))
     agree = (F.col("_how") != "") | F.col("min_value").eqNullSafe(F.col("max_value"))
-    good = grouped.filter(agree).select(*[(made[c] if c in made else F.col(f"_first.`{c}`") if c in others else prop(c)).alias(c) for c in columns])
+    good = grouped.filter(agree & (F.col("_how") != "list")).select(*[(made[c] if c in made else F.col(f"_first.`{c}`") if c in others else prop(c)).alias(c) for c in columns])
+    if "#Aggregate" in obs.columns:
+        heads = grouped.filter("_how = 'list'").select(*[prop(k).alias(f"_k{i}") for i, k in enumerate(key)], made["measurementMethod"].alias("_marked"))
+        listed = tagged.filter("_how = 'list'").join(heads, _same([prop(k) for k in key], [F.col(f"_k{i}") for i in range(len(key))]))
+        good = good.unionByName(listed.withColumn("measurementMethod", F.col("_marked")).select(*[F.col(f"`{c}`") for c in columns]))
     names = [F.col("_method").alias("measurementMethod")] if "measurementMethod" in columns else []
     return good, grouped.filter(~agree).select(*[prop(k) for k in key], *names, "n_rows", "min_value", "max_value")
 
@@ -411,9 +429,9 @@ def grid_to_observations(grid: DataFrame, pv_map: DataFrame, options: GridOption
     if options.resolve_duplicates:
         good, conflicts = merge_duplicates(complete)
         key = [c for c in conflicts.columns if c not in ("n_rows", "min_value", "max_value")]
-        same = F.lit(True)
-        for i, k in enumerate(key):
-            same = same & prop(k).eqNullSafe(F.col(f"_k{i}"))
+        if "measurementMethod" in key and "measurementMethod" not in complete.columns:  # none of the rows names one
+            key.remove("measurementMethod")
+        same = _same([prop(k) for k in key], [F.col(f"_k{i}") for i in range(len(key))])
         lost = complete.join(conflicts.select(*[prop(k).alias(f"_k{i}") for i, k in enumerate(key)]), same, "left_semi")
         rejects = rejects.unionByName(lost.select(F.lit("duplicates").alias("stage"), F.lit("different values").alias("reason"), "ord.*"))
 

@@ -82,6 +82,36 @@ def grid_with_sections(t):
     return r.observations.select("observationAbout", "observationDate", "variableMeasured", "value")
 
 
+IMPORT_MAP = {"GLOBAL": {
+    "nation": {"observationAbout": "dcid:nation/{Number}", "observationDate": "2024"}, "balance": {"value": "@Number", "populationType": "dcs:Account", "measuredProperty": "dcs:balance"},
+    **{f"{s}.csv": {"segment": f"dcs:{s.title()}", **({"#Aggregate": how} if how else {})}
+       for s, how in (("BUILDING", "sum"), ("MACHINERY", "mean"), ("AUTOMOBILE", "list"), ("FURNITURE", "max"), ("HOUSEHOLD", ""))}}}
+
+
+@query("grid_import_full", """
+WITH c AS (SELECT c_mktsegment AS s, 'dcid:nation/' || c_nationkey AS about, upper(c_mktsegment[1]) || lower(substr(c_mktsegment, 2)) AS name, c_acctbal AS v FROM customer),
+g AS (SELECT s, about, name, count(*) AS n, sum(v) AS total, avg(v) AS mean, max(v) AS most, min(v) AS least FROM c GROUP BY ALL),
+o AS (SELECT about, name, CASE s WHEN 'BUILDING' THEN total WHEN 'MACHINERY' THEN mean WHEN 'FURNITURE' THEN most ELSE least END AS v,
+        CASE WHEN n > 1 AND s <> 'HOUSEHOLD' THEN 'dcs:Aggregate' END AS method, CASE WHEN n > 1 AND s = 'MACHINERY' THEN 'dcs:meanValue' END AS stat FROM g WHERE s <> 'AUTOMOBILE' AND (s <> 'HOUSEHOLD' OR least = most)
+      UNION ALL SELECT c.about, c.name, c.v, CASE WHEN n > 1 THEN 'dcs:Aggregate' END, NULL FROM c JOIN g USING (s, about) WHERE s = 'AUTOMOBILE')
+SELECT 'observation' AS kind, about, CASE name WHEN 'Building' THEN 'dcid:BuildingBalance' ELSE 'dcid:Balance_Account_' || name END AS what, round(v, 2) AS value, method, stat AS stat_type FROM o
+UNION ALL SELECT 'reject', 'duplicates', 'different values', sum(n)::DOUBLE, NULL, NULL FROM g WHERE s = 'HOUSEHOLD' AND least <> most HAVING count(*) > 0
+UNION ALL SELECT 'variable', NULL, CASE name WHEN 'Building' THEN 'BuildingBalance' ELSE 'Balance_Account_' || name END, NULL, NULL, NULL FROM (SELECT DISTINCT name FROM o)""")
+def grid_import_full(t):
+    """A sheet for each market segment, whose name says how repeats are combined: sums, means, lists, maxima, or not at all."""
+    c = t("customer")
+    grid = grid_of(c.select("c_custkey", F.concat("c_mktsegment", F.lit(".csv")).alias("sheet"), F.lit("row").alias("what"), F.col("c_nationkey").alias("Nation"),
+                            F.col("c_acctbal").cast("decimal(18,2)").alias("Balance")), ["what", "Nation", "Balance"], ["c_custkey"], "sheet")
+    known = c.sparkSession.createDataFrame([("BuildingBalance", {"typeOf": "dcs:StatisticalVariable", "statType": "dcs:measuredValue", "measuredProperty": "dcs:balance",
+                                                                 "populationType": "dcs:Account", "segment": "dcs:Building"})], "node string, props map<string,string>")
+    r = grid_to_observations(grid, pv_map_from_dict(c.sparkSession, IMPORT_MAP), GridOptions(), known_variables=known)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    obs = r.observations.select(F.lit("observation").alias("kind"), F.col("observationAbout").alias("about"), F.col("variableMeasured").alias("what"), F.round("value", 2).alias("value"),
+                                F.col("measurementMethod").alias("method"), F.col("statType").alias("stat_type"))
+    lost = r.counters().select(F.lit("reject"), F.col("stage"), F.col("reason"), F.col("n").cast("double"), none("string", "method"), none("string", "stat_type"))
+    return obs.union(lost).union(r.variables.select(F.lit("variable"), none("string", "about"), F.col("dcid"), none("double", "value"), none("string", "method"), none("string", "stat_type")))
+
+
 KEY = ["l_partkey", "l_returnflag"]
 
 

@@ -2,9 +2,10 @@ import math
 import random
 from datetime import date, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from gridwright.operators.series import filter_outliers
+from gridwright.operators.series import _walk, filter_outliers
 
 
 def brute(rows, lo, hi, ratio, yearly, recent):
@@ -65,3 +66,32 @@ def test_bounds_only_is_a_filter(spark):
     out = filter_outliers(df, ["s"], min_value=2.0)
     assert [r[0] for r in out.select(F.col("observationDate")).orderBy("observationDate").collect()] == ["2021", "2022"]
     assert filter_outliers(df, ["s"]).count() == 3
+
+
+def test_walk_in_batches_of_any_size():
+    """Stretches of steady, wild and missing values, cut anywhere, against one step at a time."""
+    rng = np.random.default_rng(8)
+    for lo, hi, ratio, yearly in ((None, None, 0.5, None), (1.0, 50.0, 2.0, None), (None, 60.0, None, 3.0), (0.5, None, 1.0, 9.0)):
+        n = 4000
+        v = np.where(rng.random(n) < 0.02, rng.choice([np.nan, 0.0, 400.0, -3.0], n), 10 + rng.random(n) * rng.choice([0.1, 9.0], n))
+        v[1000:2500] *= 8  # a level that is never reached by the rules
+        d, new = np.cumsum(rng.integers(0, 4, n)).astype(float), rng.random(n) < 0.002
+        last, want = None, []
+        for i in range(n):
+            last = None if new[i] else last
+            ok = np.isnan(v[i]) or not (lo is not None and v[i] < lo or hi is not None and v[i] > hi)
+            if ok and last and not np.isnan(v[i]):
+                base, gap = min(abs(last[0]), abs(v[i])), abs(last[0] - v[i])
+                change = gap / base if base > 0 else (0.0 if gap == 0 else math.inf)
+                years = abs(d[i] - last[1]) / 365
+                ok = not (ratio is not None and change > ratio or yearly is not None and change > 0 and (years == 0 or change / years > yearly))
+            if ok:
+                last = None if np.isnan(v[i]) else (v[i], d[i])
+            want.append(ok)
+        state, got, at = None, [], 0
+        while at < n:
+            to = min(n, at + int(rng.integers(1, 700)))
+            keep, state = _walk(new[at:to], v[at:to], d[at:to], lo, hi, ratio, yearly, state)
+            got += keep.tolist()
+            at = to
+        assert got == want and 0 < sum(got) < n
