@@ -14,7 +14,7 @@ from .hardneg import hard_negatives
 from .mixture import curriculum
 from .packing import pack
 from .periodic import periodic_runs, planted
-from .secrets import CANDIDATE_LEAST, KINDS, LEAN, LEAST, MARGIN, PATTERNS, STATES, find_secrets
+from .secrets import ALPHABET, CANDIDATE_LEAST, KINDS, LEAST, MARGIN, PATTERNS, STATES, find_secrets, standard
 from .shards import shard
 from .simhash import near_duplicates
 from .substrings import remove_repeats
@@ -70,19 +70,9 @@ def _secret_matches() -> str:
     s AS (SELECT doc_id, kind, value, least, long, (gap + coalesce(sum(gap + long) OVER (PARTITION BY doc_id, kind ORDER BY i
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS a FROM e),
     f AS (SELECT doc_id, kind, value, a, a + long AS z FROM s WHERE len(value) >= least),
-    x AS (SELECT value, true AS r FROM f WHERE kind < 3 UNION ALL SELECT to_base64(unhex(md5(t))), true FROM d
-          UNION ALL SELECT value, false FROM f WHERE kind = 3 AND regexp_full_match(value, '[A-Za-z_-]+')),
-    p AS (SELECT r, substr(value, i, 2) AS pair, count(*) AS n FROM (SELECT r, value, unnest(range(1, len(value))) AS i FROM x) GROUP BY 1, 2),
-    st AS (SELECT r, substr(pair, 1, 1) AS c, sum(n)::BIGINT AS n FROM p GROUP BY 1, 2),
-    sn AS (SELECT r, substr(pair, 2, 1) AS c, sum(n)::BIGINT AS n FROM p GROUP BY 1, 2),
-    tt AS (SELECT coalesce(sum(n) FILTER (r), 0)::BIGINT AS t1, coalesce(sum(n) FILTER (NOT r), 0)::BIGINT AS t0 FROM p),
-    c AS (SELECT doc_id, a, z, substr(value, i, 2) AS pair FROM (SELECT *, unnest(range(1, len(value))) AS i FROM f WHERE kind = 3)),
-    l AS (SELECT pair, round(1000 * (
-            ln((coalesce(p1.n, 0) + {LEAN} * ((coalesce(n1.n, 0) + 1)::DOUBLE / (t1 + {STATES}))) / (coalesce(s1.n, 0) + {LEAN}))
-            - ln((coalesce(p0.n, 0) + {LEAN} * ((coalesce(n0.n, 0) + 1)::DOUBLE / (t0 + {STATES}))) / (coalesce(s0.n, 0) + {LEAN}))))::BIGINT AS llr
-          FROM (SELECT DISTINCT pair FROM c) q LEFT JOIN (SELECT pair, n FROM p WHERE r) p1 USING (pair) LEFT JOIN (SELECT pair, n FROM p WHERE NOT r) p0 USING (pair)
-          LEFT JOIN (SELECT c, n FROM st WHERE r) s1 ON s1.c = substr(pair, 1, 1) LEFT JOIN (SELECT c, n FROM st WHERE NOT r) s0 ON s0.c = substr(pair, 1, 1)
-          LEFT JOIN (SELECT c, n FROM sn WHERE r) n1 ON n1.c = substr(pair, 2, 1) LEFT JOIN (SELECT c, n FROM sn WHERE NOT r) n0 ON n0.c = substr(pair, 2, 1), tt),
+    l AS (SELECT unnest(range({STATES * STATES})) AS pair, unnest({list(standard())}) AS llr),
+    c AS (SELECT doc_id, a, z, instr('{ALPHABET}', substr(value, i, 1)) * {STATES} + instr('{ALPHABET}', substr(value, i + 1, 1)) AS pair
+          FROM (SELECT *, unnest(range(1, len(value))) AS i FROM f WHERE kind = 3)),
     k AS (SELECT doc_id, a, z FROM c JOIN l USING (pair) GROUP BY 1, 2, 3 HAVING sum(llr - {MARGIN}) > 0),
     y AS (SELECT doc_id, kind, a, z FROM f WHERE kind < 3 UNION ALL
           SELECT doc_id, 3, a, z FROM k WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = k.doc_id AND f.kind < 3 AND f.a < k.z AND k.a < f.z)),
@@ -161,6 +151,32 @@ def op7_tool_calls(t):
     return linked.withColumn("level", F.coalesce("level", F.lit(-1)))
 
 
+@query("tool_calls_whole_texts", """
+    WITH a AS (SELECT conv_id AS conv, turn, 'c' || conv_id || '-' || turn AS id, ['search', 'fetch', 'convert'][len(text) % 3 + 1] AS name, len(text) AS n,
+            'c' || conv_id || '-' || (turn // 2) AS need, text FROM conversations WHERE role = 'assistant'),
+    r AS (SELECT conv_id AS conv, turn, CASE role WHEN 'user' THEN 'c' || conv_id || '-' || (turn - 1) END AS id, text FROM conversations WHERE role IS DISTINCT FROM 'assistant'),
+    l0 AS (SELECT id, need FROM a WHERE turn // 2 < turn),
+    e AS (SELECT l0.id, l0.need FROM l0 JOIN a ON a.id = l0.need),
+    l AS (WITH RECURSIVE w(id, level) AS (SELECT id, 0 FROM a WHERE id NOT IN (SELECT id FROM e) UNION ALL
+            SELECT e.id, w.level + 1 FROM e JOIN w ON e.need = w.id) SELECT id, max(level) AS level FROM w GROUP BY id),
+    c AS (SELECT conv, turn, id, 'call' AS event, '{"arguments":{' || CASE WHEN n % 11 = 0 THEN '"Extra":{"a":null,"b":true},' ELSE '' END || '"after":["' || need || '"],'
+            || CASE WHEN n % 7 = 0 THEN '' WHEN n % 5 = 0 THEN '"limit":"' || (n % 50) || '",' ELSE '"limit":' || (n % 50) || ',' END
+            || '"query":' || to_json(text)::VARCHAR || '},"id":"' || id || '","name":"' || name || '","type":"call"}' AS json,
+            CASE name WHEN 'convert' THEN 'unknown tool' ELSE array_to_string(list_sort(list_filter([
+              CASE WHEN n % 7 = 0 AND name = 'fetch' THEN 'missing limit' END, CASE WHEN n % 7 <> 0 AND n % 5 = 0 THEN 'type of limit' END,
+              CASE WHEN n % 11 = 0 AND name = 'search' THEN 'unknown Extra' END], lambda x: x IS NOT NULL)), ',') END AS problems FROM a),
+    v AS (SELECT conv, turn, id, event, json, problems, coalesce(id IN (SELECT id FROM r), false) AS linked FROM c UNION ALL
+          SELECT conv, turn, id, 'result', '{"content":' || to_json(text)::VARCHAR || ',"id":' || coalesce('"' || id || '"', 'null') || ',"type":"result"}',
+            CASE WHEN id IN (SELECT id FROM a) THEN '' ELSE 'no call' END, coalesce(id IN (SELECT id FROM a), false) FROM r)
+    SELECT conv, id, event, row_number() OVER (PARTITION BY conv ORDER BY coalesce(level, 1048576), turn, event, id, json) - 1 AS position, coalesce(level, -1) AS level, linked, problems, json
+    FROM v LEFT JOIN l USING (id)""")
+def tool_calls_whole_texts(t):
+    """As ``op7_tool_calls``, with whole texts as arguments and every turn an event."""
+    talks = t("conversations")
+    linked = link(*events_of(talks, whole=True), declared_tools(talks.sparkSession))
+    return linked.withColumn("level", F.coalesce("level", F.lit(-1)))
+
+
 def _packing_sql(buckets: int = 16, budget: int = 65_536) -> str:
     """The dynamic programme with one CTE per bucket: layer k has the least cost of the first j cells in k buckets."""
     layers = ["l0 AS (SELECT 0::BIGINT AS j, 0::BIGINT AS cost, 0::BIGINT AS cut)"]

@@ -48,6 +48,54 @@ def test_models_add_random_strings(spark, docs):
     assert got[1] == "markov:8:28" and got[4] == ""
 
 
+def test_held_out_strings():
+    """Precision and recall on strings that trained nothing, of words that trained nothing."""
+    from gridwright.llm.identifiers import labelled, parted
+    from gridwright.llm.secrets import ALPHABET, MARGIN, STATES, standard
+
+    model = standard()
+
+    def lead(value):
+        codes = [ALPHABET.find(c) + 1 for c in value]
+        return sum(model[a * STATES + b] - MARGIN for a, b in zip(codes, codes[1:]))
+
+    flagged = Counter((random, lead(v) > 0) for v, random in parted(labelled())[1])
+    precision = flagged[True, True] / (flagged[True, True] + flagged[False, True])
+    recall = flagged[True, True] / (flagged[True, True] + flagged[True, False])
+    print(f"precision {precision:.4f} recall {recall:.4f}")
+    assert precision >= 0.99 and recall >= 0.99
+    for name in ("getElementsByTagName2", "transaction_log_2024_01_15", "AbstractSingletonProxyFactoryBean2", "test_case_number_12345678", "https-www-example-com-2023",
+                 "user_profile_settings_v2", "my-docker-image-latest-1", "QuarterlyRevenueForecastSpreadsheet2023", "-" * 40, "_" * 20):
+        assert lead(name) <= 0, name
+    for secret in ("qX7vT2pLw9RzB4nKd8Yf", "xK9mP2vL8nQ4wR7tAb", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "sk-proj-9aZ81kQmVb27XyTnR5cW"):
+        assert lead(secret) > 0, secret
+
+
+def test_planted_strings_are_found(spark):
+    """Random strings in running text are found whole; ordinary names beside them are not."""
+    from gridwright.llm.identifiers import ordinary_string, random_string
+
+    rows, want = [], {}
+    for i in range(3, 400, 4):
+        # a run of hex is a base span already
+        secret, name = random_string(i * 8), ordinary_string(i)
+        if len(set(name)) == 1:
+            continue
+        rows.append((i, f"see {name} for {secret} or {name}."))
+        want[i] = f"markov:{len(name) + 9}:{len(name) + 9 + len(secret)}"
+    got = {r["doc_id"]: r["spans"] for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_identifiers_of_other_conversations_do_not_meet(spark):
+    calls = spark.createDataFrame([(1, 0, "call_1", "search", '{"query":"x"}', []), (2, 0, "call_1", "search", '{"query":"y"}', []), (2, 2, "call_2", "search", '{"query":"z"}', ["call_1"]),
+                                   (3, 0, "call_2", "search", '{"query":"z"}', ["call_1"])], "conv long, turn long, id string, name string, args string, needs array<string>")
+    results = spark.createDataFrame([(1, 1, "call_1", "r")], "conv long, turn long, id string, content string")
+    got = {(r["conv"], r["id"], r["event"]): (r["level"], r["linked"], r["problems"]) for r in link(calls, results, declared_tools(spark)).collect()}
+    assert got == {(1, "call_1", "call"): (0, True, ""), (1, "call_1", "result"): (0, True, ""), (2, "call_1", "call"): (0, False, ""), (2, "call_2", "call"): (1, False, ""),
+                   (3, "call_2", "call"): (0, False, "")}
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([
         (1, 0, "a", "search", '{"query":"x", "limit": 2}', []), (1, 4, "b", "fetch", '{"limit": "2", "query": "y"}', ["c"]), (1, 6, "c", "search", "[1]", ["a", "zz"]),
