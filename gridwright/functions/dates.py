@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
-# Output patterns per grain and free-form patterns tried in this order.
+# Output patterns per grain, and the free-form patterns with the shapes of the texts they read:
+# 9 is a digit, @ three letters, # more letters.
 GRAIN_PATTERNS = ("yyyy", "yyyy-MM", "yyyy-MM-dd")
-FREE_PATTERNS = (
-    "yyyy-MM-dd", "yyyy-M-d", "yyyy/MM/dd", "yyyyMMdd", "MM/dd/yyyy", "M/d/yyyy", "d MMM yyyy", "d MMMM yyyy",
-    "MMM d yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMMM d, yyyy", "dd-MM-yyyy", "yyyy-MM-dd HH:mm:ss",
-)
-MONTH_PATTERNS = ("yyyy-MM", "yyyy-M", "MMM yyyy", "MMMM yyyy", "MM/yyyy", "yyyy MMM", "yyyy MMMM")
+FREE_PATTERNS = {
+    "yyyyMMdd": ("99999999",), "M/d/yyyy": ("9/9/9999", "99/9/9999", "9/99/9999", "99/99/9999"), "d MMM yyyy": ("9 @ 9999", "99 @ 9999"), "d MMMM yyyy": ("9 # 9999", "99 # 9999"),
+    "MMM d yyyy": ("@ 9 9999", "@ 99 9999"), "MMMM d yyyy": ("# 9 9999", "# 99 9999"), "MMM d, yyyy": ("@ 9, 9999", "@ 99, 9999"), "MMMM d, yyyy": ("# 9, 9999", "# 99, 9999"),
+    "dd-MM-yyyy": ("99-99-9999",), "yyyy-MM-dd HH:mm:ss": ("9999-99-99 99:99:99",),
+}
+MONTH_PATTERNS = {"MMM yyyy": ("@ 9999",), "MMMM yyyy": ("# 9999",), "MM/yyyy": ("99/9999",), "yyyy MMM": ("9999 @",), "yyyy MMMM": ("9999 #",)}
+OWN_PATTERNS = {"yyyy": ("9999",), "yyyy-M": ("9999-9", "9999-99"), "yyyy-M-d": ("9999-9-9", "9999-9-99", "9999-99-9", "9999-99-99")}
 
 
 def _dashes(v: Column) -> Column:
@@ -36,24 +41,31 @@ def _parsed(v: Column, pattern: str) -> Column:
 def resolve_date(v: Column, input_format: Column | str | None = None, output_format: str | None = None) -> Column:
     """Text to ``yyyy``, ``yyyy-MM`` or ``yyyy-MM-dd``; null when nothing parses.
 
-    Order: the text itself at its own grain, then ``input_format``, then the free-form lists.
+    Order: the text itself at its own grain, then ``input_format``, then the free-form patterns. The text's shape picks
+    one pattern, so each way costs one attempt at most and texts that are no dates cost none.
     """
     t = F.trim(v)
-    dashed = F.regexp_replace(t, "[^A-Za-z0-9]+", "-")
-    own = (
-        F.when(dashed.rlike(r"^\d{4}$"), F.date_format(_parsed(dashed, "yyyy"), output_format or "yyyy"))
-        .when(dashed.rlike(r"^\d{4}-\d{1,2}$"), F.date_format(_parsed(dashed, "yyyy-M"), output_format or "yyyy-MM"))
-        .when(dashed.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"),
-              F.date_format(_parsed(dashed, "yyyy-M-d"), output_format or "yyyy-MM-dd"))
-    )
-    options = [own]
+    digits = F.translate(t, "0123456789", "9999999999")
+
+    def read(text: Column, shape: Column, tables: Sequence[tuple[dict[str, tuple[str, ...]], str | None]]) -> Column:
+        """The text by the one pattern that its shape picks; the shape is worked out once."""
+        def pick(s: Column) -> Column:
+            out = F.lit(None).cast("string")
+            for patterns, grain in tables:
+                for pattern, shapes in patterns.items():
+                    out = F.when(s.isin(*shapes), F.date_format(_parsed(text, pattern), output_format or grain or GRAIN_PATTERNS[pattern.count("-")])).otherwise(out)
+            return out
+
+        return F.get(F.transform(F.array(shape), pick), F.lit(0))
+
+    options = [read(F.regexp_replace(t, "[^A-Za-z0-9]+", "-"), F.regexp_replace(digits, "[^A-Za-z0-9]+", "-"), [(OWN_PATTERNS, None)])]
     if isinstance(input_format, str):
         grain = "yyyy-MM-dd" if "d" in input_format else "yyyy-MM" if "M" in input_format else "yyyy"
         options.append(F.date_format(_parsed(t, input_format), output_format or grain))
     elif input_format is not None:
         options.append(F.date_format(F.try_to_timestamp(t, input_format), output_format or "yyyy-MM-dd"))
-    options += [F.date_format(_parsed(t, p), output_format or "yyyy-MM-dd") for p in FREE_PATTERNS]
-    options += [F.date_format(_parsed(t, p), output_format or "yyyy-MM") for p in MONTH_PATTERNS]
+    lettered = F.regexp_replace(F.regexp_replace(digits, "[A-Za-z]{4,}", "#"), "[A-Za-z]{3}", "@")
+    options.append(read(t, lettered, [(MONTH_PATTERNS, "yyyy-MM"), (FREE_PATTERNS, "yyyy-MM-dd")]))
     return F.coalesce(*options)
 
 
