@@ -234,3 +234,17 @@ def reference_id(column: str) -> Column:
 def count_reasons(df: DataFrame, stage: str = "stage", reason: str = "reason") -> DataFrame:
     """Named counts per stage."""
     return df.groupBy(stage, reason).agg(F.count(F.lit(1)).alias("n"))
+
+
+def extreme_counters(df: DataFrame, columns: Sequence[str], stage: str = "stage") -> DataFrame:
+    """Minimum and maximum counters: the least and greatest number seen per stage, in long form, one pass."""
+    names = [c for c in columns]
+    aggs = [f(F.col(f"`{c}`").cast("double")).alias(f"{kind}{i}") for i, c in enumerate(names) for kind, f in (("min", F.min), ("max", F.max))]
+    rows = F.array(*[F.struct(F.lit(f"{kind}-{c}").alias("counter"), F.col(f"{kind}{i}").alias("value")) for i, c in enumerate(names) for kind in ("min", "max")])
+    return df.groupBy(stage).agg(*aggs).select(stage, F.explode(rows).alias("r")).select(stage, "r.counter", "r.value").filter(F.col("value").isNotNull())
+
+
+def all_counters(df: DataFrame, columns: Sequence[str], stage: str = "stage", reason: str = "reason", prefix: str = "") -> DataFrame:
+    """Counts per stage and reason, and the extremes of ``columns``, as ``stage, counter, value``."""
+    counts = count_reasons(df, stage, reason).select(stage, F.col(reason).alias("counter"), F.col("n").cast("double").alias("value"))
+    return counts.unionByName(extreme_counters(df, columns, stage)).withColumn("counter", F.concat(F.lit(prefix), F.col("counter")))

@@ -1,6 +1,6 @@
 """Queries over the given tables, one per operator."""
 
-from . import grids, nodes, observations, profiles, scalars, matching, sources  # noqa: F401
+from . import grids, hooks, matching, nodes, observations, profiles, scalars, sources  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
