@@ -121,11 +121,10 @@ def merge_keyed(rows: DataFrame, key: Sequence[str], how: dict[str, str], defaul
     """Per-column merge of rows with the same key. Text columns turn sum and mean into a list.
 
     ``count_of`` names the weight column of a mean. Lists are sorted unique values joined by
-    commas; they are made distinct, combined per task, before a cell is built. :func:`listed_values` is their long form.
+    commas, made distinct in each task first, in the one aggregate that merges all columns. :func:`listed_values` is their long form.
     """
     types = dict(rows.dtypes)
     aggs: list[Column] = []
-    lists: list[tuple[str, str]] = []
     merged = [c for c in rows.columns if c not in key and c not in order and c not in (count_of or {}).values()]
     for c in merged:
         mode = how.get(c, default)
@@ -133,7 +132,9 @@ def merge_keyed(rows: DataFrame, key: Sequence[str], how: dict[str, str], defaul
             mode = "list"
         col = F.col(f"`{c}`")
         if mode in ("list", "set"):
-            lists.append((c, mode))
+            parts = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split(col.cast("string"), ",")))))
+            parts = F.when(F.count(col) > 0, parts)
+            aggs.append((F.array_join(parts, ",") if mode == "list" else parts).alias(c))
             continue
         if mode == "mean" and count_of and c in count_of:
             weight = F.coalesce(F.col(count_of[c]), F.lit(1))
@@ -144,14 +145,6 @@ def merge_keyed(rows: DataFrame, key: Sequence[str], how: dict[str, str], defaul
                     "last": lambda: F.max_by(col, F.when(col.isNotNull(), F.struct(*order)))}[mode]()
         aggs.append(expr.alias(c))
     out = rows.groupBy(*key).agg(*aggs) if aggs else rows.select(*key).distinct()
-    for c, mode in lists:
-        array = F.array_sort(F.collect_list("item"))
-        one = listed_values(rows, key, c).groupBy(*key).agg((F.array_join(array, ",") if mode == "list" else array).alias(c))
-        one = one.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], c)
-        same = F.lit(True)
-        for i, k in enumerate(key):  # a null key is a key
-            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        out = out.join(one, same, "left").drop(*[f"_k{i}" for i in range(len(key))])
     return out.select(*key, *merged)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import camel_to_words, capitalize_first, strip_namespace
-from .scale import bounded, spread
+from .scale import bounded, localised, spread
 
 URL = r"(https?://[^\s\"'<>,)]+)"
 # Properties whose values are not prose.
@@ -28,14 +28,13 @@ def unspelled(prop: Column, value: Column, ignored: Sequence[str] = UNSPELLED_PR
 def misspelled(triples: DataFrame, dictionary: DataFrame, word: str = "word", ignored: Sequence[str] = UNSPELLED_PROPS) -> DataFrame:
     """Words of properties and values that are in no dictionary: ``node, prop, word, n``.
 
-    Distinct words meet the dictionary first; the bad ones are joined back.
+    Words meet the dictionary as they are found, so only the bad ones are grouped.
     """
     checked = triples.filter(~unspelled(F.col("prop"), F.col("value"), ignored))
     spoken = spread(checked, "node").select("node", "prop", F.explode(F.concat(text_words(F.col("prop")), text_words(strip_namespace(F.col("value"))))).alias("w"))
-    used = spoken.groupBy("node", "prop", F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    known = dictionary.select(F.lower(F.col(word)).alias("word")).distinct()
-    bad = used.select("word").distinct().join(bounded(known), "word", "left_anti")
-    return used.join(bad, "word", "left_semi").select("node", "prop", "word", "n")
+    known = localised(dictionary.select(F.lower(F.col(word)).alias("word")).filter("word IS NOT NULL").distinct())
+    bad = spoken.select("node", "prop", F.lower("w").alias("word")).join(known, "word", "left_anti")
+    return bad.groupBy("node", "prop", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def urls(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:

@@ -143,16 +143,21 @@ def grid_of(df: DataFrame, columns: Sequence[str], order: Sequence[str], file: s
 
 
 def combine_files(spark: SparkSession, paths: Sequence[str], by_name: bool = False) -> DataFrame:
-    """Rows of several CSV files under the header of the first (by position), or under all headers (by name)."""
-    tables = [spark.read.csv(p, header=True) for p in paths]
-    out = tables[0]
-    for t in tables[1:]:
-        if by_name:
-            out = out.unionByName(t, allowMissingColumns=True)
-        else:
-            width = len(out.columns)
-            cols = [F.col(f"`{c}`") for c in t.columns[:width]] + [F.lit(None).cast("string")] * max(0, width - len(t.columns))
-            out = out.union(t.select(*[c.alias(n) for c, n in zip(cols, out.columns)]))
+    """Rows of several CSV files under the header of the first (by position), or under all headers (by name).
+
+    By position all files are one scan. By name it is one scan for each different header, however many files share it.
+    """
+    def headed(files: Sequence[str]) -> DataFrame:
+        return spark.read.schema(spark.read.csv(files[0], header=True).schema).csv(list(files), header=True)
+
+    if not by_name:
+        return headed(paths)
+    first = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), "value", F.monotonically_increasing_id().alias("_mid"))
+    heads = first.filter("_start = 0").groupBy("file").agg(F.min_by("value", "_mid").alias("head")).groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    out = None
+    for r in sorted(heads.collect(), key=lambda r: r["files"]):
+        t = headed(r["files"])
+        out = t if out is None else out.unionByName(t, allowMissingColumns=True)
     return out
 
 

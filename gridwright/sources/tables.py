@@ -27,9 +27,17 @@ def load_keyed(spark: SparkSession, paths: str | Sequence[str], key: Sequence[st
     return merge_keyed(rows, key, dict(how or {}), default)
 
 
-def keyed_table(rows: DataFrame, props: str = "props", key: str = "key") -> DataFrame:
-    """Property maps to a wide table whose columns are all properties seen (a bounded list of names)."""
-    names = [r[0] for r in rows.select(F.explode(F.map_keys(props))).distinct().orderBy("col").collect()]
+def keyed_table(rows: DataFrame, props: str = "props", key: str = "key", names: Sequence[str] | None = None, most: int = 5_000) -> DataFrame:
+    """Property maps to a wide table whose columns are ``names``, or all properties seen.
+
+    No more than ``most`` names are gathered: a table with more has no use as columns, so that is an error; its
+    long form is ``rows.select(key, F.explode(props))``.
+    """
+    if names is None:
+        found = rows.select(F.explode(F.map_keys(props)).alias("name")).distinct().limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"more than {most} properties; pass names or keep the long form")
+        names = sorted(r["name"] for r in found)
     return rows.select(key, *[F.col(props)[n].alias(n) for n in names])
 
 

@@ -11,7 +11,7 @@ from gridwright.sources import grids
 from gridwright.sources.grids import read_grid
 from gridwright.sources.nodefiles import read_nodes, write_nodes
 from gridwright.sources.pvmaps import load_pv_map
-from gridwright.sources.tables import load_keyed
+from gridwright.sources.tables import keyed_table, load_keyed
 
 
 def cells_of(df):
@@ -122,3 +122,24 @@ def test_a_null_key_keeps_its_lists(spark):
     rows = spark.createDataFrame([(None, "a,b", 1), (None, "b,c", 2), ("k", "d", 3)], "key string, items string, ord int")
     got = {r["key"]: r["items"] for r in merge_keyed(rows, ["key"], {"items": "list"}).collect()}
     assert got == {None: "a,b,c", "k": "d"}
+
+
+def test_files_combined_by_position_and_by_name(spark, tmp_path):
+    texts = {"a.csv": "x,y\n1,2\n3,4\n", "b.csv": "x,y\n5,6\n", "c.csv": "y,z\n7,8\n", "d.csv": "p\n9\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    paths = [str(tmp_path / n) for n in texts]
+    got = grids.combine_files(spark, paths)
+    assert got.columns == ["x", "y"] and sorted(map(tuple, got.collect()), key=repr) == [("1", "2"), ("3", "4"), ("5", "6"), ("7", "8"), ("9", None)]
+    named = grids.combine_files(spark, paths, by_name=True)
+    assert sorted((tuple(r[c] for c in "xyzp") for r in named.collect()), key=repr) == [
+        ("1", "2", None, None), ("3", "4", None, None), ("5", "6", None, None), (None, "7", "8", None), (None, None, None, "9")]
+
+
+def test_too_many_names_are_no_columns(spark):
+    import pytest
+
+    rows = spark.createDataFrame([(i, {f"p{i}": "v"}) for i in range(20)], "key long, props map<string,string>")
+    assert len(keyed_table(rows).columns) == 21 and keyed_table(rows, names=["p3"]).filter("p3 = 'v'").count() == 1
+    with pytest.raises(ValueError, match="long form"):
+        keyed_table(rows, most=5)
