@@ -67,20 +67,35 @@ def categorical_columns(profile: DataFrame) -> DataFrame:
     return profile.filter(few & (F.col("n_distinct") > 1) & ~is_id_name(F.col("column"))).select("column", "n_distinct", "rows")
 
 
-def redundant_pairs(df: DataFrame, profile: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Column pairs in 1:1 correspondence. Only pairs with equal distinct counts are compared, all in one pass."""
+def column_signatures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column (``i``, its place) a hash of how its values divide the rows, whatever the values are; and ``n_distinct``.
+
+    A value's rows are summed up as 32-bit pieces of two hashes of the row, which doesn't depend on their order; the
+    sums of all values of a column give its signature ``g0`` to ``g3``. Work grows with the number of columns.
+    """
+    text = lambda c: F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
+
+    def pieces(name: str, *parts: Column) -> list[Column]:
+        both = [F.xxhash64(*parts, F.lit(salt)) for salt in (1, 2)]
+        halves = [h for b in both for h in (b.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(b, 32))]
+        return [h.alias(f"{name}{k}") for k, h in enumerate(halves)]
+
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), text(c).alias("v")) for i, c in enumerate(columns)]))
+    rows = df.select(*pieces("q", *[text(c) for c in columns]), values.alias("x")).select("q0", "q1", "q2", "q3", "x.*")
+    classes = rows.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"q{k}").alias(f"s{k}") for k in range(4)])
+    each = classes.select("i", "v", *pieces("p", "n", "s0", "s1", "s2", "s3"))
+    return each.groupBy("i").agg(F.count_if(F.col("v") != "").alias("n_distinct"), *[F.sum(f"p{k}").alias(f"g{k}") for k in range(4)])
+
+
+def redundant_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Column pairs in 1:1 correspondence: those whose values divide the rows alike, empty ones included."""
     columns = list(columns or df.columns)
-    profile = materialise(profile)
-    counts = {r["column"]: r["n_distinct"] for r in profile.select("column", "n_distinct").collect()}
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:] if counts[a] == counts[b] and counts[a] > 1]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string, n_distinct long")
-    text = lambda c: F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), text(a).alias("a"), text(b).alias("b")) for a, b in pairs]))
-    seen = df.select(rows.alias("r")).select("r.*").filter((F.col("a") != "") | (F.col("b") != "")).distinct()
-    together = seen.groupBy("column_a", "column_b").agg(F.count(F.lit(1)).alias("n_distinct"))
-    side = profile.select(F.col("column").alias("column_a"), F.col("n_distinct").alias("_n"))
-    return together.join(F.broadcast(side), "column_a").filter(F.col("n_distinct") == F.col("_n")).drop("_n")
+    # one row for each column
+    signed = materialise(column_signatures(df, columns).filter("n_distinct > 1"))
+    other = signed.withColumnRenamed("i", "j")
+    pairs = signed.join(other, ["n_distinct", "g0", "g1", "g2", "g3"]).filter("i < j")
+    name = lambda place: F.get(F.array(*[F.lit(c) for c in columns]), F.col(place))
+    return pairs.select(name("i").alias("column_a"), name("j").alias("column_b"), "n_distinct")
 
 
 def derived_by_name(headers: Sequence[str]) -> list[str]:
@@ -136,7 +151,7 @@ def numeric_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def classify_columns(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """One label per column: constant, derived, metadata, redundant, numeric, categorical or text."""
     profile = materialise(column_profile(df) if profile is None else profile)
-    pairs = materialise(redundant_pairs(df, profile).select(F.col("column_b").alias("column")).distinct().withColumn("_red", F.lit(True)))
+    pairs = materialise(redundant_pairs(df).select(F.col("column_b").alias("column")).distinct().withColumn("_red", F.lit(True)))
     numeric = [r["column"] for r in profile.filter(F.col("numeric_share") > 0.8).select("column").collect()]
     by_name = derived_by_name(df.columns)
     by_share = materialise(percentage_columns(df, numeric).select(F.col("pct_column").alias("column")).distinct().withColumn("_pct", F.lit(True)))

@@ -41,7 +41,7 @@ def categorical_columns(t):
 SELECT 'nation_no', 'nation', count(DISTINCT c_nationkey) FROM customer""")
 def redundant_columns(t):
     c = t("customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("nation_no"), F.concat(F.lit("N"), F.col("c_nationkey")).alias("nation"), "c_mktsegment")
-    return p.redundant_pairs(c, p.column_profile(c))
+    return p.redundant_pairs(c)
 
 
 @query("percentage_columns", """SELECT 'share' AS pct_column, 'c_acctbal' AS base_column, round(sum(abs(c_acctbal)) + 1, 0) AS total FROM customer""")
