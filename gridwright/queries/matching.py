@@ -18,6 +18,9 @@ r AS (SELECT qn, cn, hits, pos, rare + (len(qn) - pos) * 10000 + hits * 100 AS s
 """
 
 
+GRAM_TAIL = GRAMS[GRAMS.index("cg AS"):]
+
+
 def gram_sides(t):
     q = t("part").select(F.concat(F.col("p_name"), F.lit(" item")).alias("query")).distinct()
     c = t("part").select(F.concat_ws(" ", "p_name", "p_type").alias("key")).distinct().withColumn("id", F.col("key"))
@@ -87,11 +90,23 @@ def resolve_places(t):
     return pl.resolve_places(names, "place", mapped, table)[0]
 
 
-@query("place_name_match")
+NORMAL = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}} ]', '', 'g')"
+
+
+@query("place_name_match", f"""
+WITH n AS (SELECT 'country/' || n_name AS dcid, n_name, 'N' || n_nationkey AS alt, r_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey),
+f AS (SELECT dcid, n_name AS key FROM n UNION SELECT dcid, alt FROM n UNION SELECT dcid, n_name || ' ' || r_name FROM n UNION SELECT dcid, alt || ' ' || r_name FROM n),
+c AS (SELECT dcid, key, {NORMAL.format('key')} AS cn FROM f),
+q AS (SELECT DISTINCT n_name || ' ' || r_name AS query, {NORMAL.format("n_name || ' ' || r_name")} AS qn FROM customer JOIN n ON c_nationkey = n_nationkey),
+""" + GRAM_TAIL.format(f="0.1") + """,
+h AS (SELECT query, dcid, key, score FROM r JOIN q USING (qn) JOIN c USING (cn)),
+b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query, dcid ORDER BY round(score, 9) DESC, key DESC) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, dcid) AS rank FROM b)
+SELECT query, dcid, round(score, 6) AS score, key AS matched_name, rank FROM k WHERE rank <= 3""")
 def place_name_match(t):
     names = t("customer").join(bounded(t("nation").join(bounded(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))), F.col("c_nationkey") == F.col("n_nationkey"))
     queries = names.select(F.concat_ws(" ", "n_name", "r_name").alias("query")).distinct()
-    return pl.match_names(queries, gazetteer(t), k=3, types=["Country"])
+    return pl.match_names(queries, gazetteer(t), k=3, types=["Country"]).withColumn("score", F.round("score", 6))
 
 
 @query("place_matches_wide", """
@@ -145,10 +160,16 @@ def merged_entity_values(t):
     return out.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("component").alias("n_components"))
 
 
-@query("schema_search")
+@query("schema_search", """
+WITH p AS (SELECT p_name, p_partkey, p_name || ' ' || p_type AS key, upper(p_type[1]) || lower(substr(p_type, 2)) AS kind FROM part),
+q AS (SELECT DISTINCT p_name AS query, lower(p_name) AS qn FROM p),
+c AS (SELECT key, lower(key) AS cn, min(p_partkey) AS id, min(kind) AS kind FROM p GROUP BY 1, 2 HAVING min(kind) IN ('Small', 'Medium', 'Large')),
+""" + GRAM_TAIL.format(f="0.7") + """,
+k AS (SELECT query, id, kind, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM r JOIN q USING (qn) JOIN c USING (cn))
+SELECT query, id, kind AS "typeOf", 'is' || kind AS prop, round(score, 6) AS score, rank FROM k WHERE rank <= 3""")
 def schema_search(t):
     p = t("part")
     nodes = p.groupBy(F.concat_ws(" ", "p_name", "p_type").alias("text")).agg(F.min("p_partkey").alias("id"), F.min(F.initcap("p_type")).alias("typeOf"))
     sub = p.select(F.initcap("p_type").alias("child"), F.when(F.col("p_type").isin("SMALL", "LARGE", "MEDIUM"), F.lit("Sized")).otherwise(F.lit("Other")).alias("parent")).distinct()
     rng = p.select(F.concat(F.lit("is"), F.initcap("p_type")).alias("prop"), F.initcap("p_type").alias("type")).distinct()
-    return m.schema_search(p.select(F.col("p_name").alias("query")).distinct(), nodes, ["Sized"], sub, rng, k=3)
+    return m.schema_search(p.select(F.col("p_name").alias("query")).distinct(), nodes, ["Sized"], sub, rng, k=3).withColumn("score", F.round("score", 6))
