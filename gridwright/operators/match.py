@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import match_form
@@ -68,48 +68,125 @@ def gram_match(queries: DataFrame, corpus: DataFrame, query: str = "query", key:
     return q.join(ranked, "qn").select("query", "key", F.col("ord").alias(order), "score", "hits", "position", "rank")
 
 
+MOST_CELLS, CELL_ROWS = 1024, 4096  # cells of a corpus, and rows of a cell that are compared at once
+ZERO = -1  # the cell of vectors without length
+
+
+def _unit_rows(column: pa.Array) -> np.ndarray:
+    """Rows of a list column at length one; those without length stay zero."""
+    rows = np.array(column.to_pylist(), dtype=float).reshape(len(column), -1)
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+
+def _batch(rows: Sequence[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def vector_cells(corpus: DataFrame, corpus_id: str, vector: str, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, list]:
+    """Unit vectors by cell (``cell``, ``piece``, ``id``, ``v``), stored; and per cell its middle, radius and number of rows.
+
+    The middles are a sample of the corpus, one for about ``cell_rows`` rows, ``MOST_CELLS`` at most; a row belongs to the nearest.
+    Large cells are dealt into pieces by a hash of the id.
+    """
+    rows = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    n = rows.count()
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(MOST_CELLS, -(-n // cell_rows)))).toArrow()
+    middles = _unit_rows(chosen["v"].combine_chunks()) if n else np.zeros((0, 0))
+    schema = pa.schema([("cell", pa.int32()), ("id", pa.int64()), ("v", pa.list_(pa.float64())), ("far", pa.float64())])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _unit_rows(batch.column(1))
+            if not len(v):
+                continue
+            dots = v @ middles.T
+            cell = dots.argmax(axis=1).astype(np.int32)
+            far = np.linalg.norm(v - middles[cell], axis=1)
+            cell[~v.any(axis=1)] = ZERO
+            yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0), pa.array(v.tolist(), schema.types[2]), pa.array(far)], schema=schema)
+
+    laid = materialise(rows.mapInArrow(assign, "cell int, id long, v array<double>, far double"))
+    sizes = laid.groupBy("cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
+    cells = [(r["cell"], None if r["cell"] == ZERO else middles[r["cell"]], r["radius"], r["n"], max(1, -(-r["n"] // cell_rows))) for r in sizes]
+    pieces = dict((c, p) for c, _, _, _, p in cells if p > 1)
+    split = F.lit(1)
+    for c, p in pieces.items():
+        split = F.when(F.col("cell") == c, F.lit(p)).otherwise(split)
+    return laid.select("cell", F.pmod(F.xxhash64("id"), split).alias("piece"), "id", "v"), cells
+
+
+def near_cells(queries: DataFrame, cells: list, k: int) -> DataFrame:
+    """Each unit query (``id``, ``v``) once for every piece of the cells that may hold one of its ``k`` nearest: ``cell, piece, id, v``.
+
+    The nearest cells with ``k`` rows between them bound the kth distance; by the triangle inequality a cell whose
+    middle is farther off than that and its radius together has none. Vectors without length are always met.
+    """
+    solid = [c for c in cells if c[0] != ZERO]
+    middles = np.array([c[1] for c in solid])
+    radius, counts = np.array([c[2] for c in solid]), np.array([c[3] for c in solid])
+    always = [(c[0], piece) for c in cells if c[0] == ZERO for piece in range(c[4])]
+    schema = pa.schema([("cell", pa.int32()), ("piece", pa.int64()), ("id", pa.int64()), ("v", pa.list_(pa.float64()))])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, q in zip(batch.column(0).to_pylist(), _unit_rows(batch.column(1)), strict=True):
+                to = list(always)
+                if len(solid):
+                    far = np.linalg.norm(middles - q, axis=1)
+                    order = np.argsort(far + radius, kind="stable")
+                    enough = np.searchsorted(np.cumsum(counts[order]), k)
+                    limit = np.inf if enough >= len(order) or not q.any() else (far + radius)[order[enough]]
+                    to += [(solid[i][0], piece) for i in np.flatnonzero(far - radius <= limit + 1e-9).tolist() for piece in range(solid[i][4])]
+                if to:
+                    yield _batch([(c, piece, number, q.tolist()) for c, piece in to], schema)
+
+    return queries.mapInArrow(route, "cell int, piece long, id long, v array<double>")
+
+
 def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", corpus_id: str = "id", vector: str = "embedding",
-                 block: int = 4096) -> DataFrame:
+                 cell_rows: int = CELL_ROWS) -> DataFrame:
     """Exact cosine top-k: ``query_id, id, score, rank``; equal scores by id.
 
-    Query vectors are taken in blocks of bounded size and sent to the corpus partitions, where each
-    task keeps its best k per query; no pair rows are made. Ids are longs.
+    The corpus lies in cells with a middle and a radius; a query is sent, as a row, to the cells that may hold one of its
+    best, and streams past each. Only the sampled middles (``MOST_CELLS`` at most) pass through the driver. Vectors without
+    length score 0. Null vectors are left out; ids are longs.
     """
-    spark = corpus.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    best = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        table = part.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).toArrow()
-        if table.num_rows == 0:
-            continue
-        qid = table["q"].to_numpy()
-        mat = np.array(table["v"].to_pylist(), dtype=float)
-        mat /= np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
-        shipped = spark.sparkContext.broadcast((qid, mat))
-
-        def local_best(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            qid, mat = shipped.value
-            scores = np.empty((len(qid), 0))
-            ids = np.empty((len(qid), 0), dtype=np.int64)
-            for pdf in batches:
-                if not len(pdf):
+    laid, cells = vector_cells(corpus, corpus_id, vector, cell_rows)
+    asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    routed = near_cells(asked, cells, k)
+    both = laid.withColumn("kind", F.lit(0)).unionByName(routed.withColumn("kind", F.lit(1)))
+    parts = max(1, min(sum(c[4] for c in cells), 10_000))
+    stream = both.repartition(parts, "cell", "piece").sortWithinPartitions("cell", "piece", "kind").select("cell", "piece", "kind", "id", "v")
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, rows, ids = None, [], None, None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            found: list[tuple] = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if tuple(keys[a, :2]) != now:
+                    now, held, rows = tuple(keys[a, :2]), [], None
+                number = batch.column(3).slice(a, b - a).to_numpy()
+                v = np.array(batch.column(4).slice(a, b - a).to_pylist(), dtype=float).reshape(b - a, -1)
+                if keys[a, 2] == 0:
+                    held.append((number, v))
                     continue
-                v = np.array(pdf["v"].tolist(), dtype=float)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                scores = np.hstack([scores, mat @ v.T])
-                ids = np.hstack([ids, np.broadcast_to(pdf["c"].to_numpy(), (len(qid), len(pdf)))])
-                take = np.lexsort((ids, -scores), axis=1)[:, :k]
-                scores, ids = np.take_along_axis(scores, take, 1), np.take_along_axis(ids, take, 1)
-            if ids.shape[1]:
-                yield pd.DataFrame({"query_id": np.repeat(qid, ids.shape[1]), "id": ids.ravel(), "score": scores.ravel()})
-
-        rows = corpus.select(F.col(corpus_id).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(
-            local_best, "query_id long, id long, score double")
-        best = rows if best is None else best.unionByName(rows)
-    if best is None:
-        best = spark.createDataFrame([], "query_id long, id long, score double")
+                if rows is None and held:
+                    ids, rows, held = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), []
+                for q, one in zip(number.tolist(), v, strict=True):
+                    if rows is not None:
+                        scores = np.einsum("ij,j->i", rows, one)  # the same for equal rows wherever they lie
+                        best = np.lexsort((ids, -scores))[:k]
+                        found += [(q, int(ids[i]), float(scores[i])) for i in best.tolist()]
+            if found:
+                yield _batch(found, schema)
+
+    best = stream.mapInArrow(compare, "query_id long, id long, score double")
     return top_k(best, ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridwright.operators import lookup as l, mapping, match as m, places as pl
@@ -166,9 +167,37 @@ def test_vector_blocks(spark):
     c, q = spark.createDataFrame(corpus, "id long, embedding array<double>").repartition(5), spark.createDataFrame(queries, "query_id long, embedding array<double>")
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
     want = {qi: [i for _, i in sorted((-cos(qv, cv), i) for i, cv in corpus)[:4]] for qi, qv in queries}
-    for block in (4096, 4):
+    for rows in (4096, 7):
         got = {}
-        for r in m.vector_top_k(q, c, 4, block=block).orderBy("query_id", "rank").collect():
+        for r in m.vector_top_k(q, c, 4, cell_rows=rows).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append(r["id"])
         assert got == want
     assert F is not None
+
+
+def test_vectors_in_clusters_are_compared_with_few_cells(spark):
+    """Clusters, copies of one vector, vectors without length and a large cell in pieces; most cells are left out."""
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(30, 6))
+    rows = [(i, (middles[i % 30] + rng.normal(size=6) * 0.01).tolist()) for i in range(900)]
+    rows += [(1000 + i, middles[3].tolist()) for i in range(80)] + [(2000, [0.0] * 6), (2001, [0.0] * 6), (2002, None)]
+    queries = [(1, middles[0].tolist()), (2, middles[3].tolist()), (3, [0.0] * 6), (4, rng.normal(size=6).tolist())]
+    c = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(5)
+    q = spark.createDataFrame(queries, "query_id long, embedding array<double>")
+
+    def unit(v):
+        v = np.array(v)
+        return v / np.linalg.norm(v) if v.any() else v
+
+    got = {}
+    for r in m.vector_top_k(q, c, 5, cell_rows=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 9)))
+    for number, v in queries:
+        scored = sorted((-round(float(unit(v) @ unit(x)), 9), i) for i, x in rows if x is not None)
+        assert sorted(s for _, s in got[number]) == sorted(-s for s, _ in scored[:5])
+        if number in (2, 3):  # ties by id
+            assert [i for i, _ in got[number]] == [i for _, i in scored[:5]]
+    laid, cells = m.vector_cells(c, "id", "embedding", 20)
+    met = m.near_cells(q.filter("query_id < 3").select(F.col("query_id").alias("id"), F.col("embedding").alias("v")), cells, 5)
+    compared = met.join(laid.select("cell", "piece", F.col("id").alias("row")), ["cell", "piece"]).count()
+    assert 0 < compared < 2 * len(rows) / 4
