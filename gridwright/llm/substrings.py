@@ -266,7 +266,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     Returns per row: the id, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one space,
     UTF-8 as binary). Null or empty text: no words. A null id comes after all others. Rows that share
     id and text are one document, and none of them removes the other; rows that share only the id
-    are different documents neither of which is earlier. Empty table: no rows. Other columns are not read.
+    count as one document, in which the smaller start is earlier. Empty table: no rows. Other columns are not read.
     """
     if window % 2:
         raise ValueError("window must be even")
