@@ -15,6 +15,7 @@ from ..functions.text import add_namespace, strip_namespace
 from ..operators import grid as g, observe, resolve
 from ..operators.lookup import PvSchema, find_properties, pv_schema, with_default_namespace, ANY, effective_namespace
 from ..operators.nodes import reuse_existing
+from ..operators.places import resolve_places
 from ..operators.resolve import prop
 from ..operators.scale import bounded, localised, settle
 from ..session import materialise
@@ -346,10 +347,11 @@ def _entries(columns: Mapping[str, Column]) -> Column:
 
 
 def grid_to_observations(grid: DataFrame, pv_map: DataFrame, options: GridOptions = GridOptions(), places: DataFrame | None = None,
-                         file_props: DataFrame | None = None, id_map: DataFrame | None = None, known_variables: DataFrame | None = None) -> Result:
+                         file_props: DataFrame | None = None, id_map: DataFrame | None = None, known_variables: DataFrame | None = None,
+                         gazetteer: DataFrame | None = None) -> Result:
     """Observations, variables and rejects of a grid (``file, row_no, cells``).
 
-    ``places`` (name, dcid) resolves names; ``id_map`` (old, new) renames generated ids;
+    ``places`` (name, dcid) resolves names, then ``gazetteer`` (places with names and parents) by likeness; ``id_map`` (old, new) renames generated ids;
     ``known_variables`` (node, props) lend their ids to variables with the same properties. File
     properties are looked up in the map by file name unless ``file_props`` gives them. The map's
     ``config:`` rows override ``options``. ``options.hook`` sees the observations before validation.
@@ -402,11 +404,6 @@ def grid_to_observations(grid: DataFrame, pv_map: DataFrame, options: GridOption
         tagged = remap(tagged, "_id", id_map, "old", "new")
 
     about = _value(tagged, "observationAbout")
-    if places is not None:
-        from ..functions.text import is_place_id
-        names = bounded(places.select(F.col("name").alias("_place"), F.col("dcid").alias("_pid")).dropDuplicates(["_place"]))
-        tagged = tagged.withColumn("_place", F.when(~is_place_id(about), about)).join(names, "_place", "left")
-        about = F.when(is_place_id(about), about).otherwise(add_namespace(F.col("_pid")))
     rest = [p for p in obs_props if p in ("unit", "measurementMethod", "scalingFactor", "measurementResult", "#Aggregate") or p in options.output_columns]
     period = _value(tagged, "observationPeriod")
     # read several times below: by the validation, the merge of duplicates, the variables and the rejects
@@ -416,6 +413,12 @@ def grid_to_observations(grid: DataFrame, pv_map: DataFrame, options: GridOption
         F.when(period == "", period_of(F.col("observationDate"))).otherwise(period).alias("observationPeriod"), *[prop(p) for p in rest],
         "_reason", F.struct(F.col("_id").alias("dcid"), _entries(columns).alias("e")).cast(entry).alias("_variable"),
         F.flatten(F.array(F.array().cast(f"array<{entry}>"), *[prop(d).cast(f"array<{entry}>") for d in tagged.columns if d.startswith("_dep")])).alias("_further"))))
+    if places is not None or gazetteer is not None:
+        # each distinct name once: an id as it is, then the table, then the gazetteer
+        names = stored.select(F.col("observationAbout").alias("name")).filter("name IS NOT NULL").distinct()
+        found, _ = resolve_places(names, "name", resolved=places, gazetteer=gazetteer)
+        table = bounded(materialise(found.select(F.col("name").alias("_place"), F.col("dcid").alias("_pid"))))
+        stored = stored.join(table, F.col("observationAbout") == F.col("_place"), "left").withColumn("observationAbout", F.col("_pid")).drop("_place", "_pid")
     rejects = stored.filter(F.col("_reason").isNotNull()).select(
         F.when(F.col("_reason") == "#Filter", "filters").otherwise("cells").alias("stage"), F.col("_reason").alias("reason"), "ord.*")
     left = stored.filter(F.col("_reason").isNull())

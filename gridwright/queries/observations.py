@@ -112,6 +112,28 @@ def grid_import_full(t):
     return obs.union(lost).union(r.variables.select(F.lit("variable"), none("string", "about"), F.col("dcid"), none("double", "value"), none("string", "method"), none("string", "stat_type")))
 
 
+PLACE_MAP = {"GLOBAL": {"place": {"observationAbout": "{Data}", "observationDate": "2024"}, "key": {"customer": "dcs:C{Number}"},
+                        "balance": {"value": "@Number", "populationType": "dcs:Account"}}}
+
+
+@query("grid_import_places", """
+SELECT 'dcid:country/' || n_name AS "observationAbout", 'dcid:Count_Account_C' || c_custkey AS "variableMeasured", c_acctbal AS value FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 5 <> 4""")
+def grid_import_places(t):
+    """Names resolved by a table, and those it lacks by likeness to a gazetteer's full names; unknown ones are left out."""
+    from .matching import gazetteer
+
+    n = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    turn = F.col("c_custkey") % 5
+    loose = F.lower(F.concat_ws("   ", "n_name", "r_name"))
+    name = F.when(turn < 2, F.concat(F.lit("Land of "), "n_name")).when(turn < 4, loose).otherwise("no such place at all")
+    c = t("customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("Key"), name.alias("Place"), F.col("c_acctbal").cast("decimal(18,2)").alias("Balance"))
+    known = n.select(F.concat(F.lit("Land of "), "n_name").alias("name"), F.concat(F.lit("country/"), "n_name").alias("dcid"))
+    grid = grid_of(c, ["Place", "Key", "Balance"], ["Key"])
+    r = grid_to_observations(grid, pv_map_from_dict(grid.sparkSession, PLACE_MAP), GridOptions(header_rows=1), places=known, gazetteer=gazetteer(t))
+    return r.observations.select("observationAbout", "variableMeasured", "value")
+
+
 KEY = ["l_partkey", "l_returnflag"]
 
 
