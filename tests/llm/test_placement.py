@@ -1,15 +1,19 @@
 """Shards, mixtures, exact copies and packing against plain Python."""
 
+import contextlib
 import hashlib
 import itertools
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from gridwright.llm.exact import exact_dedup
+from gridwright.llm.learn import WordHashes
 from gridwright.llm.mixture import curriculum, training_order
 from gridwright.llm.packing import best_edges, pack
 from gridwright.llm.shards import shard
@@ -149,6 +153,24 @@ def test_state_goes_on_from_its_checkpoint(spark, tmp_path):
     assert sorted((r["digest"], r["keeper"]["id"], r["n"]) for r in found.collect()) == [("a", 3, 2), ("b", 6, 1), ("c", 7, 1)]
 
 
+def test_state_stores_are_closed_with_their_tasks(spark):
+    rows = spark.createDataFrame([(i, f"text {i % 50}") for i in range(200)], "doc_id long, text string")
+    check_exact(rows)
+    pid = spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid()
+    files = []
+    for fd in os.listdir(f"/proc/{pid}/fd"):
+        with contextlib.suppress(OSError):  # closed meanwhile
+            files.append(os.readlink(f"/proc/{pid}/fd/{fd}"))
+    assert files and not [f for f in files if "StateStoreId" in f]
+
+
+def test_remembered_word_hashes_are_few():
+    cache = WordHashes()
+    some = [b"w%d" % i for i in range(100_000)]
+    assert cache.of(some).tolist() == [xxhash.xxh64_intdigest(w, 3) for w in some]
+    assert 0 < len(cache) <= 1 << 16
+
+
 def test_edges_are_optimal():
     lengths = [1, 2, 2, 3, 9, 10, 10, 11, 30, 31, 33, 80]
     cells = [(v, n, v * n) for v, n in sorted(Counter(lengths).items())]
