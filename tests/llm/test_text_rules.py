@@ -2,6 +2,7 @@
 
 import hashlib
 import importlib.util
+import json
 import re
 import zlib
 from collections import Counter
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwright.llm import quality_fm, quality_rules
+from gridwright.llm.queries import QUERIES
 from gridwright.llm.secrets import find_secrets
 from gridwright.llm.toolcalls import declared_tools, link
 
@@ -96,6 +98,16 @@ def test_identifiers_of_other_conversations_do_not_meet(spark):
                    (3, "call_2", "call"): (0, False, "")}
 
 
+def test_derived_calls_hold_whole_texts(spark, tmp_path):
+    text = {1: 'say "é"\n' + "abc " * 50 + "end", 3: "x" * 60 + "y", 5: "short", 7: ""}
+    rows = [(1, 0, "user", "go"), *[(1, t, "assistant", v) for t, v in text.items()], (1, 2, "user", "answer " * 30), (1, 9, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["id"], r["event"]): json.loads(r["json"]) for r in QUERIES["op7_tool_calls"](spark, str(tmp_path)).collect()}
+    assert {t: got[f"c1-{t}", "call"]["arguments"]["query"] for t in text} == text
+    assert got["c1-9", "call"]["arguments"] is None
+    assert sorted(e for _, e in got) == ["call"] * 5 + ["result"] and got["c1-1", "result"]["content"] == "answer " * 30
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([
         (1, 0, "a", "search", '{"query":"x", "limit": 2}', []), (1, 4, "b", "fetch", '{"limit": "2", "query": "y"}', ["c"]), (1, 6, "c", "search", "[1]", ["a", "zz"]),
