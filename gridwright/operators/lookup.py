@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
@@ -157,38 +159,189 @@ def phrase_lookup(strings: DataFrame, pv_map: DataFrame, schema: PvSchema, keys:
 def _contained_keys(text: DataFrame, table: DataFrame, keys: Sequence[str], word_boundary: bool, part_keys: int) -> DataFrame:
     """``keys, key``: the map keys that occur in each text (``_v``).
 
-    An automaton of all keys runs once over each text, in Arrow batches, and tells every place where one ends. It is
-    built in parts of about ``part_keys`` keys, so neither the driver nor a task holds more at once, however large the map; a task's
-    worker builds a part once.
+    Up to ``part_keys`` keys make one automaton, which runs once over each text, in Arrow batches, and tells every place where
+    a key ends; a task's worker builds it once. More keys are met by ``_looked_up_keys``, which reads the texts once too, however many there are.
+    """
+    if table.count() > part_keys:
+        return _looked_up_keys(text, table, keys, word_boundary)
+    shipped = text.sparkSession.sparkContext.broadcast([r["key"] for r in table.select("key").toLocalIterator()])
+
+    def scan(batches: Iterator[pa.RecordBatch], name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(name, shipped)
+        for batch in batches:
+            rows, found = [], []
+            for i, v in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                hits = set()
+                for end, key in automaton.iter(v):
+                    first = end - len(key) + 1
+                    if key in hits or word_boundary and (first and v[first - 1].isalpha() or v[end + 1:end + 2].isalpha()):
+                        continue
+                    hits.add(key)
+                rows += [i] * len(hits)
+                found += sorted(hits)
+            if rows:
+                picked = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*picked.columns[:-1], pa.array(found)], names=[*batch.schema.names[:-1], "key"])
+
+    return text.select(*keys, "_v").mapInArrow(scan, StructType([*text.select(*keys).schema.fields, StructField("key", StringType())]))
+
+
+def _looked_up_keys(text: DataFrame, table: DataFrame, keys: Sequence[str], word_boundary: bool) -> DataFrame:
+    """As ``_contained_keys``, for maps of any size: one pass over the keys, one over the texts, then joins on the key.
+
+    The first pass marks hashes of the keys and of their beginnings in a bit map of bounded size. The second sends the stretches of
+    the texts that the marks may mean, each once a text; the joins keep those that are keys. So the bit map decides the work, never the result.
     """
     spark = text.sparkSession
-    parts = max(1, -(-table.count() // part_keys))
-    fields = text.select(*keys).schema
-    out = None
-    for part in range(parts):
-        some = table if parts == 1 else table.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == part)
-        shipped = spark.sparkContext.broadcast([r["key"] for r in some.select("key").toLocalIterator()])
-
-        def scan(batches: Iterator[pa.RecordBatch], shipped=shipped, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(name, shipped)
-            for batch in batches:
-                rows, found = [], []
-                for i, v in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                    hits = set()
-                    for end, key in automaton.iter(v):
-                        first = end - len(key) + 1
-                        if key in hits or word_boundary and (first and v[first - 1].isalpha() or v[end + 1:end + 2].isalpha()):
-                            continue
-                        hits.add(key)
-                    rows += [i] * len(hits)
-                    found += sorted(hits)
-                if rows:
-                    picked = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([*picked.columns[:-1], pa.array(found)], names=[*batch.schema.names[:-1], "key"])
-
-        hits = text.select(*keys, "_v").mapInArrow(scan, StructType([*fields, StructField("key", StringType())]))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    lengths, bits, marks = _marks(table)
+    shipped = spark.sparkContext.broadcast(marks)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.frombuffer(shipped.value, dtype=np.uint8)
+        for batch in batches:
+            data, ends = _bytes_of(batch.column(batch.num_columns - 1))
+            found = set()
+            for row, first, last in _marked_stretches(data, ends, lengths, bits, marked):
+                try:
+                    key = data[first:last].tobytes().decode()
+                except UnicodeDecodeError:  # cut inside a character
+                    continue
+                if word_boundary and (data[max(ends[row], first - 4):first].tobytes().decode(errors="ignore")[-1:].isalpha()
+                                      or data[last:min(ends[row + 1], last + 4)].tobytes().decode(errors="ignore")[:1].isalpha()):
+                    continue
+                found.add((row, key))
+            if found:
+                rows, of = zip(*sorted(found), strict=True)
+                picked = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*picked.columns[:-1], pa.array(of)], names=[*batch.schema.names[:-1], "key"])
+
+    stretches = materialise(text.select(*keys, "_v").mapInArrow(scan, StructType([*text.select(*keys).schema.fields, StructField("key", StringType())])))
+    sought = bounded(materialise(stretches.select("key").distinct()))
+    real = bounded(materialise(table.select("key").join(sought, "key", "left_semi").distinct()))
+    return stretches.join(real, "key", "left_semi")
+
+
+START = 4  # bytes of a key's beginning that every place of a text is asked for, in a small bit map of its own
+START_BITS, LEAST_BITS, MOST_BITS = 24, 20, 29
+BEGINNINGS = (8, 16, 32, 64)  # bytes of further beginnings
+STRETCH = 1 << 20  # bytes of text hashed at a time
+PIECE = 1 << 16  # bytes of the bit map that travel in a row
+_BASE = 0x9E3779B97F4A7C15
+_OF_BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
+_POWERS: list[np.ndarray] = []
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings, none of them null, and where they begin and end."""
+    plain = column.cast(pa.large_binary())
+    ends = np.frombuffer(plain.buffers()[1], dtype=np.int64)[plain.offset:plain.offset + len(plain) + 1]
+    return np.frombuffer(plain.buffers()[2] or b"", dtype=np.uint8), ends
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse, modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.append(np.uint64(1), np.full(2 * n, b, dtype=np.uint64)), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS
+
+
+class _Hashes:
+    """Hashes of all stretches of some bytes, each in constant time: differences of one running sum."""
+
+    def __init__(self, data: np.ndarray):
+        power, self.inverse = _powers(len(data) + 1)
+        self.sums = np.append(np.uint64(0), np.cumsum(_OF_BYTE[data] * power[:len(data)], dtype=np.uint64))
+
+    def of(self, first: np.ndarray, length: np.ndarray | int, whole: bool) -> np.ndarray:
+        h = (self.sums[first + length] - self.sums[first]) * self.inverse[first]
+        h ^= np.asarray(2 * length + whole).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
+
+
+def _places(hashes: np.ndarray, bits: int, turn: int) -> np.ndarray:
+    """Bits of the map that hashes mark; those of ``START`` (turn 0) lie before all others."""
+    mixed = hashes * np.uint64((0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)[turn])
+    return (mixed >> np.uint64(64 - (bits if turn else START_BITS))).astype(np.int64) + ((1 << START_BITS) if turn else 0)
+
+
+def _is_marked(marked: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (marked[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _marks(table: DataFrame) -> tuple[list[int], int, bytes]:
+    """The lengths of the keys in bytes, the size of the bit map as a power of 2 and the bit map."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * table.count()).bit_length()))
+    size = ((1 << START_BITS) + (1 << bits)) // 8
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked, lengths = np.zeros(size, dtype=np.uint8), set()
+        for batch in batches:
+            data, ends = _bytes_of(batch.column(0))
+            if len(ends) < 2:
+                continue
+            hashes, first, length = _Hashes(data[ends[0]:ends[-1]]), ends[:-1] - ends[0], np.diff(ends)
+            lengths.update(np.unique(length).tolist())
+            whole = hashes.of(first, length, True)
+            places = [_places(whole, bits, 1), _places(whole, bits, 2)]
+            for n in (START, *BEGINNINGS):
+                places.append(_places(hashes.of(first[length >= n], n, False), bits, int(n > START)))
+            at = np.concatenate(places)
+            np.bitwise_or.at(marked, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        if lengths:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array(sorted(lengths), dtype="<i8").tobytes()], pa.binary())], names=["piece", "bytes"])
+        for at in range(0, size if lengths else 0, PIECE):
+            if (part := marked[at:at + PIECE]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([at // PIECE], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["piece", "bytes"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged: dict[int, np.ndarray] = {}
+        lengths: set[int] = set()
+        for batch in batches:
+            for piece, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if piece < 0:
+                    lengths.update(np.frombuffer(part, dtype="<i8").tolist())
+                else:
+                    of = np.frombuffer(zlib.decompress(part), dtype=np.uint8)
+                    merged[piece] = merged[piece] | of if piece in merged else of
+        for piece, of in merged.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zlib.compress(of.tobytes(), 1)], pa.binary())], names=["piece", "bytes"])
+        if lengths:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array(sorted(lengths), dtype="<i8").tobytes()], pa.binary())], names=["piece", "bytes"])
+
+    found = table.select("key").mapInArrow(mark, "piece int, bytes binary").repartition("piece").mapInArrow(merge, "piece int, bytes binary").toArrow()
+    lengths, marked = [], bytearray(size)
+    for piece, part in zip(found.column(0).to_pylist(), found.column(1), strict=True):
+        if piece < 0:
+            lengths = np.frombuffer(part.as_py(), dtype="<i8").tolist()
+        else:
+            of = zlib.decompress(part.as_py())
+            marked[piece * PIECE:piece * PIECE + len(of)] = of
+    return lengths, bits, bytes(marked)
+
+
+def _marked_stretches(data: np.ndarray, ends: np.ndarray, lengths: Sequence[int], bits: int, marked: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Row, first byte and end of all stretches of rows (from ``ends`` to the next) that are as long as some key and marked.
+
+    Places are narrowed down by ever longer beginnings of keys before whole lengths are tried.
+    """
+    for begin in range(int(ends[0]), int(ends[-1]), STRETCH):
+        end = min(begin + STRETCH, int(ends[-1]))
+        hashes = _Hashes(data[begin:min(end + max(lengths), int(ends[-1]))])
+        rows = np.searchsorted(ends, np.arange(begin, end), side="right") - 1
+        room = ends[rows + 1] - np.arange(begin, end)  # bytes up to the row's end
+        at, least = np.arange(end - begin), {}
+        for n in (n for n in (1, START, *BEGINNINGS) if n <= max(lengths)):
+            if n > 1:
+                at = at[room[at] >= n]
+                at = at[_is_marked(marked, _places(hashes.of(at, n, False), bits, int(n > START)))]
+            least[n] = at
+        for length in lengths:
+            at = least[max(n for n in least if n <= length)]
+            at = at[room[at] >= length]
+            whole = hashes.of(at, length, True)
+            at = at[_is_marked(marked, _places(whole, bits, 1)) & _is_marked(marked, _places(whole, bits, 2))]
+            yield from zip(rows[at].tolist(), (at + begin).tolist(), (at + begin + length).tolist(), strict=True)
 
 
 _AUTOMATA: dict[str, ahocorasick.Automaton] = {}
@@ -216,11 +369,20 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 
 def substring_lookup(strings: DataFrame, pv_map: DataFrame, keys: Sequence[str], value: str = "value",
                      word_boundary: bool = True, part_keys: int = 100_000) -> DataFrame:
-    """Keys contained in the text, longest first, each one blanking the text it used."""
-    pv_map = pv_map.filter("key <> ''")
-    table = localised(pv_map.groupBy("key").agg(F.min_by("props", F.col("ord")).alias("props"), F.min("ord").alias("ord")))
-    text = spread(strings.select(*keys, F.col(value).alias("_v")).filter(F.length("_v") > 0), *keys)
-    pieces = _contained_keys(text, table, keys, word_boundary, part_keys)
+    """Keys contained in the text, longest first, each one blanking the text it used.
+
+    The map is stored once. A large one is not grouped as a whole, only its keys that some text holds.
+    """
+    pv_map = materialise(pv_map.filter("key <> ''").select("key", "props", "ord"))
+    text = strings.select(*keys, F.col(value).alias("_v")).filter(F.length("_v") > 0)
+    merged = lambda rows: localised(rows.groupBy("key").agg(F.min_by("props", F.col("ord")).alias("props"), F.min("ord").alias("ord")))
+    if pv_map.count() > part_keys:
+        pieces = materialise(_contained_keys(spread(text, *keys), pv_map, keys, word_boundary, part_keys))
+        held = bounded(materialise(pieces.select("key").distinct()))
+        table = merged(materialise(pv_map.join(held, "key", "left_semi")))
+    else:
+        table, text = merged(pv_map), spread(text, *keys)
+        pieces = _contained_keys(text, table, keys, word_boundary, part_keys)
     listed = pieces.join(table, "key").groupBy(*keys).agg(
         sort_by(F.collect_list(F.struct((-F.length("key")).alias("size"), "ord", "key", "props")), "size", "ord").alias("_c"))
     found = _null_safe_join(listed, text, keys)

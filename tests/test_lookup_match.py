@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gridwright.operators import lookup as l, mapping, match as m, places as pl
@@ -75,6 +76,35 @@ def test_substrings_of_many_keys(spark):
     assert got == {i: w for i, t in texts.items() if (w := {k for k in set(keys) if k in t})}
 
 
+def test_stretches_end_with_their_row(monkeypatch):
+    """Over borders of the hashed pieces, but never of rows; equal bytes have equal hashes wherever they lie."""
+    monkeypatch.setattr(l, "STRETCH", 7)
+    texts, lengths = ["abcdefghijklmno", "", "pq", "rstuvwxyzabcdefg" * 2, "y"], [1, 3, 5, 9, 17]
+    data, ends = l._bytes_of(pa.array(["before", *texts])[1:])
+    everything = np.full((1 << 24) + (1 << 20), 255, dtype=np.uint8)
+    got = sorted((row, data[a:b].tobytes().decode()) for row, a, b in l._marked_stretches(data, ends, lengths, 20, everything))
+    assert got == sorted((i, t[a:a + n]) for i, t in enumerate(texts) for n in lengths for a in range(len(t) - n + 1))
+    hashes = l._Hashes(np.frombuffer(b"some words, some words", dtype=np.uint8))
+    assert hashes.of(np.array([0]), 10, True) == hashes.of(np.array([12]), 10, True) != hashes.of(np.array([1]), 10, True)
+
+
+def test_substrings_of_many_keys_read_the_texts_once(spark, monkeypatch):
+    """More keys than an automaton takes: odd lengths, cut characters, borders of rows, repeated keys and rows."""
+    texts = ["é", "aé\U0001f600b", "xx customer-0001 yy", "0001", "ab" * 40 + "c", "customer-000", "1 customer-0001", "Éab ab,ab", "w" * 70, "w" * 69, "", None, "ab"]
+    keys = ["é", "\U0001f600", "0001", "customer-0001", "ab", "b", "a", "abc", "w" * 70, "ab" * 40, "", "zz", "-", "ɩ", *[f"key {i}" for i in range(50)]]
+    rows = [(i, t) for i, t in enumerate([*texts, "ab"])]
+    pv = spark.createDataFrame([(k, {"p": f"{n}{k}"}, n) for n in range(2) for k in keys], "key string, props map<string,string>, ord int").repartition(3)
+    df = spark.createDataFrame([*rows, rows[2]], "id long, value string").repartition(2)
+    scans, stretches = [], l._looked_up_keys
+    monkeypatch.setattr(l, "_looked_up_keys", lambda *a: (scans.append(1), stretches(*a))[1])
+    for boundary in (True, False):
+        found = l.substring_lookup(df, pv, ["id"], word_boundary=boundary, part_keys=5).collect()
+        got = {r["id"]: (set(r["matched"]), r["props"]["p"][0]) for r in found}
+        want = {i: set(brute_substrings(t, [k for k in keys if k], boundary)) for i, t in rows if t}
+        assert got == {i: (w, "0") for i, w in want.items() if w} and len(found) == len(got) + 1
+    assert len(scans) == 2
+
+
 def normal(t):
     return "".join(c for c in " ".join(w for w in t.lower().split(" ") if w) if c.isalnum() or c == " ")
 
